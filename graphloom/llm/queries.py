@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality, secrets, tokens
+from . import decontaminate, licenses, mixing, quality, secrets, tokens, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_warc": warc.op6_warc,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_token_output": tokens.op8_token_output,
         "op9_license_scan": licenses.op9_license_scan,
