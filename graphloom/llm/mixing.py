@@ -110,14 +110,11 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], costs:
     return taken
 
 
-def mix(docs: DataFrame, text: str = "text", sources=None, plan: Mix = Mix()) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken``; ``sources`` is an array column
-    of the sources that hold a document (default: its one ``source``). ``source_size`` and ``target``
-    are those of the document's first source."""
-    return decide(docs, text, sources, plan)
-
-
 def decide(docs: DataFrame, text: str = "text", sources=None, plan: Mix = Mix(), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row for each document: ``keys``, ``size``, ``source_size``, ``target``, ``taken`` words and ``copies``.
+
+    ``sources`` is an array column of the sources that hold a document (default: its one
+    ``source``); ``source_size`` and ``target`` are those of the first."""
     spark = docs.sparkSession
     held = F.array(F.col("source").cast("string")) if sources is None else sources
     sized = docs.select(*keys, n_words(text).alias("size"), F.array_sort(F.array_distinct(held)).alias("pattern"), F.xxhash64(F.lit(plan.seed), *keys, F.col(text)).alias("seeded"))
@@ -161,6 +158,17 @@ def decide(docs: DataFrame, text: str = "text", sources=None, plan: Mix = Mix(),
     return chosen.join(best, "uid", "left").select(*keys, "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * (F.coalesce("whole", F.lit(0)) + extra)).alias("taken"), (F.coalesce("whole", F.lit(0)) + extra).alias("copies"))
 
 
+def repeat(docs: DataFrame, text: str = "text", plan: Mix = Mix()) -> DataFrame:
+    """``docs`` as the mix takes them: a document that it takes twice stands twice, one that it leaves out is absent.
+
+    Rows are matched by id and text; rows equal in both share their copies, rounded up to whole ones each."""
+    taken = decide(docs.withColumn("__text", F.xxhash64(F.col(text))), text, None, plan, ("doc_id", "__text"))
+    taken = taken.filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash")))
+    share = F.ceil(F.col("__copies") / F.col("__rows")).cast("int")
+    return rows.withColumn("__one", F.explode(F.array_repeat(F.lit(1), share))).select(*docs.columns)
+
+
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Every document's part in the mix."""
     return decide(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")

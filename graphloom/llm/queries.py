@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, nearjoin, quality, secrets, tokens, toxicity, warc
+from . import decontaminate, licenses, mixing, nearjoin, quality, secrets, substrings, tokens, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": nearjoin.op1_ngram_jaccard_join,
+        "op2_substring_dedup": substrings.op2_substring_dedup,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_toxicity": toxicity.op5_toxicity,
