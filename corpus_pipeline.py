@@ -1,30 +1,52 @@
 """Corpus pipeline: quality rules, near duplicates, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a stage
-returns as Parquet and reads it again as the next stage's documents.
+returns as Parquet and reads it again as the next stage's documents. All stages but the last
+return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import mixing, quality, tokens
+from graphloom.llm import decontaminate, mixing, nearjoin, quality, tokens
 from graphloom.llm.workspace import stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject by the quality rules; frequent lines go from the documents that stay."""
+    """Documents that the quality rules keep, without the lines that too many documents of their source share."""
     return quality.clean(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return nearjoin.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an overlap with a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    return mixing.repeat(docs)
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token files in id order; a row for each document in them."""
+    """Token files in id order; a row for each document in them."""
     return tokens.encode_all(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("token_output", token_output)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("token_output", token_output),
+]
 
-#: Tokenizers and flows are beyond SQL; tests hold the stages against brute force.
+#: Exact near duplicates, flows and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
