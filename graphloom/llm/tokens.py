@@ -8,9 +8,10 @@ The last row of a file is padded; ``mask`` tells ids from padding. Beside each f
 index (document, first id, number of ids). A file gets its final name by one rename when it is
 whole, so a task that runs again, or twice, does no harm.
 
-Encoding caches pieces: between a non-space and a following ASCII space character the
-tokenizer's pattern always has a boundary, so a text is cut there and each distinct piece is
-encoded once a task. Texts with other Unicode spaces are encoded whole.
+Encoding caches pieces: the tokenizer's pattern always has a boundary before a space that
+follows a non-space, and after a run of letters, so a text is cut there and each distinct piece
+is encoded once a worker process. Texts with other letters, marks or spaces than ASCII's and
+Latin ones are encoded whole.
 
 Edge cases: a null text is an empty document of one end id; repeated rows are documents of
 their own; an empty table gives an empty table; a document longer than a row spans rows.
@@ -19,18 +20,19 @@ their own; an empty table gives an empty table; a document longer than a row spa
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import textkit as T
 from .workspace import new_folder, stash
 
 
@@ -40,11 +42,14 @@ class Layout:
     length: int = 2048
     end_id: int = 0
     rows_per_batch: int = 256
-    cache: int = 400_000
+    cache: int = 1_000_000
 
 
-_PIECE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
-_OTHER_SPACE = re.compile(r"(?![\x20\x09-\x0D])\s|[\u0085᠎​﻿]")
+#: Texts with other letters, marks or spaces than these are encoded whole.
+_OTHER = r"[^\x00-\x1b\x20-\x7f\x{00c0}-\x{00d6}\x{00d8}-\x{00f6}\x{00f8}-\x{024f}]"
+_IS_SPACE, _IS_LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class Encoder:
@@ -57,25 +62,67 @@ class Encoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        known, pieces = self.known, _PIECE.findall(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        new = list({p for p in pieces if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([known[p] for p in pieces])
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}  # piece hash -> row of ``first``/``size``
+        self.ids, self.n_ids = np.zeros(1 << 16, self.dtype), 0
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def learn(self, hashes: list[int], pieces: list[str]) -> None:
+        for lo in range(0, len(pieces), 8192):
+            for h, e in zip(hashes[lo : lo + 8192], self.tokenizer.encode_batch_fast(pieces[lo : lo + 8192], add_special_tokens=False)):
+                k, n = len(self.place), len(e.ids)
+                while self.n_ids + n > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                if k == len(self.first):
+                    self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+                self.ids[self.n_ids : self.n_ids + n] = e.ids
+                self.first[k], self.size[k], self.place[h] = self.n_ids, n, k
+                self.n_ids += n
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, an end id after each text's, and the number of ids of each text."""
+        data, at = T.raw(texts)
+        n = len(at) - 1
+        space, letter = _IS_SPACE[data], _IS_LETTER[data]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = (space[1:] & ~space[:-1]) | (letter[:-1] & ~letter[1:])
+        odd = pc.match_substring_regex(texts, _OTHER).fill_null(False).to_numpy(zero_copy_only=False)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).fill_null(False).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(odd):
+            begins[at[k] : at[k + 1]] = False
+        full = np.flatnonzero(np.diff(at))
+        begins[at[full]] = True
+        start = np.flatnonzero(begins)
+        stop = np.append(start[1:], len(data))
+        uniq, first, back = np.unique(T.span_hashes(data, start, stop), return_index=True, return_inverse=True)
+        if len(self.place) > self.most:
+            self.clear()
+        keys = uniq.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.place]
+        raw = data.tobytes()
+        self.learn([keys[k] for k in new], [raw[start[first[k]] : stop[first[k]]].decode() for k in new])
+        piece = np.array([self.place[h] for h in keys], np.int64)[back] if keys else np.zeros(0, np.int64)
+        size, begin = self.size[piece].astype(np.int64), self.first[piece]
+        ends = np.searchsorted(start, at[1:])
+        per_text = np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])]) + 1
+        out = np.full(int(per_text.sum()), end_id, self.dtype)
+        real = np.ones(len(out), bool)
+        real[np.cumsum(per_text) - 1] = False
+        out[real] = self.ids[np.repeat(begin - T.split_offsets(size)[:-1], size) + np.arange(size.sum())]
+        return out, per_text
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, most: int) -> Encoder:
+    """This process's encoder: what one task has learnt serves the next."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def _fs(path: str):
@@ -147,19 +194,15 @@ def _write(folder: str, layout: Layout):
         name, attempt, packer, at = f"part-{context.partitionId():06d}", str(context.taskAttemptId()), None, 0
         for batch in batches:
             if packer is None:
-                encode = Encoder(layout.tokenizer, layout.cache)
+                encode = encoder(layout.tokenizer, layout.cache)
                 packer = _Packer(f"{folder}/{name}.arrow", layout, encode.dtype, attempt)
                 index = _File(f"{folder}/{name}.index.arrow", _INDEX, attempt)
-                end, wide = np.array([layout.end_id], encode.dtype).tobytes(), np.dtype(encode.dtype).itemsize
-                first = batch["doc_id"][0].as_py()
-            sizes = []
-            for text in batch["text"]:
-                ids = encode(text.as_py() or "") + end
-                packer.add(ids)
-                sizes.append(len(ids) // wide)
-            starts = at + np.concatenate([[0], np.cumsum(sizes)])
-            index.writer.write_batch(pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(starts[:-1]), pa.array(np.array(sizes, np.int64))], schema=_INDEX))
-            at = int(starts[-1])
+            for lo, hi in T.slices(batch["text"], 8 << 20):
+                ids, sizes = encode(batch["text"].slice(lo, hi - lo), layout.end_id)
+                packer.add(ids.tobytes())
+                starts = at + T.split_offsets(sizes)
+                index.writer.write_batch(pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), pa.array(starts[:-1]), pa.array(sizes)], schema=_INDEX))
+                at = int(starts[-1])
         if packer is not None:
             packer.close()
             index.close()
