@@ -193,6 +193,7 @@ def spans(docs: DataFrame, p: Windows = Windows(), doc_id: str = "doc_id", text:
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
     emitted = keyed.mapInArrow(_emit(p), EMITTED)
     again = emitted.groupBy("anchor").agg(F.count("*").alias("seen"), F.min("seg").alias("s1"), F.max("seg").alias("s2")).filter("seen > 1").select("anchor", (F.col("s1") != F.col("s2")).alias("several"))
+    again = stash(again, "substring-anchors")  # a join of two plain exchanges is one that Spark can split where an anchor is hot
     shared = stash(emitted.join(again, "anchor"), "substring-segments")
 
     first = stash(shared.groupBy("anchor", "seg", "several").agg(F.min(F.struct("doc", "start")).alias("f"), F.max("n").alias("n")).select("anchor", "seg", "several", "f.doc", "f.start", "n"), "substring-first")
@@ -200,7 +201,7 @@ def spans(docs: DataFrame, p: Windows = Windows(), doc_id: str = "doc_id", text:
     copies = shared.join(heads, ["anchor", "seg"]).filter((F.col("doc") != F.col("d0")) | (F.col("start") != F.col("s0"))).select("doc", F.col("start").alias("s"), (F.col("start") + F.col("n")).cast("int").alias("e"))
 
     several = first.filter("several")
-    crowded = several.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > p.hot).select("anchor", F.lit(True).alias("hot"))
+    crowded = stash(several.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > p.hot).select("anchor", F.lit(True).alias("hot")), "substring-hot")
     wanted = several.join(crowded, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     shards = partitions(spark, several.count(), p.shard_segments)
     shipped = keyed.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_ship(p), SHIPPED)
