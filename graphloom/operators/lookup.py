@@ -174,37 +174,41 @@ def with_source(found: DataFrame, text: DataFrame, around: int = 1) -> DataFrame
 
 # --- without an index: the same questions put to the text ---------------------
 
-_FN = r"(?:fn|def|func|function|sub|proc)"
-_TYPE = r"(?:class|struct|enum|trait|interface|type|impl|module|mod)"
+#: Words that introduce a definition, by kind.
+DEFINING = {
+    "function": "fn|def|function|func", "method": "fn|def|function|func", "class": "class", "struct": "struct", "interface": "interface", "enum": "enum", "trait": "trait",
+    "type_alias": "type|delegate", "constant": "const", "variable": "let|var|val", "module": "module|mod",
+}
+ANY_DEFINING = "fn|def|function|func|class|struct|enum|trait|interface|module|type|const|let|var|val|delegate"
+IMPORTING = "import|from|require|use|using|include"
 
 
-def _name(name: str) -> str:
+def _literal(name: str) -> str:
     import re
 
     return re.sub(r"([^\w])", r"\\\1", name)
 
 
 def grep_symbols(text: DataFrame, name: str, kind: str | None = None) -> DataFrame:
-    word = {None: rf"(?:{_FN}|{_TYPE}|const|let|var|static)", "function": _FN, "method": _FN, "constant": "(?:const|static)", "variable": "(?:let|var)"}.get(kind, _TYPE)
-    return X.grep(text, rf"\b{word}\s+\w*{_name(name)}", regex=True)
+    return X.grep(text, rf"(?:{DEFINING.get(kind, ANY_DEFINING)})\s+{_literal(name)}\b", regex=True)
 
 
 def grep_references(text: DataFrame, name: str) -> DataFrame:
-    return X.grep(text, rf"\b{_name(name)}\b", regex=True).withColumn("confidence", F.lit(0.5))
+    return X.grep(text, rf"\b{_literal(name)}\b", regex=True).withColumn("confidence", F.lit(0.5))
 
 
 def grep_signatures(text: DataFrame, name: str) -> DataFrame:
-    return X.grep(text, rf"\b{_FN}\s+\w*{_name(name)}\w*\s*[(<]", regex=True)
+    return X.grep(text, rf"(?:{DEFINING['function']})\s+{_literal(name)}\s*\(", regex=True)
 
 
 def grep_file_symbols(text: DataFrame, file: str) -> DataFrame:
-    found = X.grep(text.filter(F.col("file") == file), rf"\b(?:{_FN}|{_TYPE})\s+\w+", regex=True)
-    return found.withColumn("name", F.regexp_extract("content", rf"\b(?:{_FN}|{_TYPE})\s+(\w+)", 1))
+    pattern = rf"\b(?:{ANY_DEFINING})\s+(\w+)"
+    return X.grep(text.filter(F.col("file") == file), pattern, regex=True).withColumn("name", F.regexp_extract("content", pattern, 1))
 
 
 def grep_deps(text: DataFrame, file: str) -> DataFrame:
-    return text.filter((F.col("file") == file) & X.is_import_line("content"))
+    return X.grep(text.filter(F.col("file") == file), rf"\b(?:{IMPORTING})\s+", regex=True)
 
 
-def grep_rdeps(text: DataFrame, file_stem: str) -> DataFrame:
-    return text.filter(X.is_import_line("content") & F.col("content").contains(file_stem))
+def grep_rdeps(text: DataFrame, stem: str) -> DataFrame:
+    return X.grep(text, rf"(?:{IMPORTING})\s+.*{_literal(stem)}", regex=True)

@@ -328,11 +328,11 @@ SELECT CAST(b.depth AS BIGINT) AS hop, b.name, s.kind, s.file, s.line FROM back
     "summary_tree": (
         _on(summary.roll_up),
         O.sql(
-            """, up AS (SELECT path, unnest(list_concat(['.'], list_transform(range(1, len(string_split(path, '/')) + 1), lambda n: array_to_string(string_split(path, '/')[1:n], '/')))) AS at FROM (SELECT path FROM files UNION SELECT source_file FROM imports)
-), f AS (SELECT at, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines FROM files JOIN up USING (path) GROUP BY at
-), s AS (SELECT at, count(*) AS symbols FROM symbols JOIN up ON up.path = file GROUP BY at
-), d AS (SELECT at, count(DISTINCT import_path) AS deps FROM imports JOIN up ON up.path = source_file GROUP BY at)
-SELECT f.at AS path, CASE WHEN f.at = '.' THEN NULL WHEN contains(f.at, '/') THEN regexp_replace(f.at, '/[^/]*$', '') ELSE '.' END AS parent, CAST(CASE WHEN f.at = '.' THEN 0 ELSE len(string_split(f.at, '/')) END AS BIGINT) AS depth, files, lines, coalesce(symbols, 0) AS symbols, coalesce(deps, 0) AS deps FROM f LEFT JOIN s USING (at) LEFT JOIN d USING (at)"""
+            """, up AS (SELECT path, CASE WHEN n = 0 THEN '.' ELSE array_to_string(list_slice(string_split(path, '/'), 1, n), '/') END AS node FROM (SELECT path, unnest(range(0, len(string_split(path, '/')) + 1)) AS n FROM (SELECT path FROM files UNION SELECT source_file FROM imports))
+), f AS (SELECT node, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines FROM files JOIN up USING (path) GROUP BY node
+), s AS (SELECT node, count(*) AS symbols FROM symbols JOIN up ON up.path = file GROUP BY node
+), d AS (SELECT node, count(DISTINCT import_path) AS deps FROM imports JOIN up ON up.path = source_file GROUP BY node)
+SELECT f.node AS path, CASE WHEN f.node = '.' THEN NULL WHEN contains(f.node, '/') THEN regexp_replace(f.node, '/[^/]*$', '') ELSE '.' END AS parent, CAST(CASE WHEN f.node = '.' THEN 0 ELSE len(string_split(f.node, '/')) END AS BIGINT) AS depth, files, lines, coalesce(symbols, 0) AS symbols, coalesce(deps, 0) AS deps FROM f LEFT JOIN s USING (node) LEFT JOIN d USING (node)"""
         ),
     ),
     "summary_children": (_on(lambda ix: summary.children(ix, ".").select("path", "files", "lines", "symbols")), O.sql("SELECT 'src/' || string_split(path, '/')[2] AS path, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines, CAST(sum(symbols_count) AS BIGINT) AS symbols FROM files GROUP BY 1")),
@@ -356,7 +356,7 @@ SELECT f.at AS path, CASE WHEN f.at = '.' THEN NULL WHEN contains(f.at, '/') THE
     "hunk_overlap": (_touched, O.sql(_SNAPSHOT_SQL + " SELECT id, file, name, kind, line FROM touched")),
     "change_merge": (
         _merge,
-        O.sql(_SNAPSHOT_SQL + ", both AS (SELECT file, name, kind, line, change, 0 AS p, 'parser' AS via FROM diff WHERE change IS NOT NULL UNION ALL SELECT file, name, kind, line, 'modified', 1, 'hunk' FROM touched) SELECT file, name, kind, line, change, via FROM (SELECT *, row_number() OVER (PARTITION BY file, name, kind ORDER BY p, line, change) AS r FROM both) WHERE r = 1"),
+        O.sql(_SNAPSHOT_SQL + ", mixed AS (SELECT file, name, kind, line, change, 0 AS p, 'parser' AS via FROM diff WHERE change IS NOT NULL UNION ALL SELECT file, name, kind, line, 'modified', 1, 'hunk' FROM touched) SELECT file, name, kind, line, change, via FROM (SELECT *, row_number() OVER (PARTITION BY file, name, kind ORDER BY p, line, change) AS r FROM mixed) WHERE r = 1"),
     ),
     "change_blast": (_on(lambda ix: changes.affected(ix, _few_changes(ix), 2)), O.sql(_FEW_SQL + O.blast(2, names="SELECT name FROM few") + " SELECT * FROM affected")),
     "change_risk": (
