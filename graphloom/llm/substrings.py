@@ -139,6 +139,9 @@ def repeats(doc: np.ndarray, start: np.ndarray, words: np.ndarray, offsets: np.n
     fresh = np.ones(len(order), bool)
     fresh[1:] = (key[order][1:] != key[order][:-1]) | (size[order][1:] != size[order][:-1])
     uniq = order[fresh]
+    # the same segment at a later place is a repeat as a whole
+    head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    later = order[(doc[order] != doc[head]) | (start[order] != start[head])]
     n = size[uniq]
     symbols = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
     sigma = int(symbols.max(initial=0)) + 1
@@ -163,8 +166,8 @@ def repeats(doc: np.ndarray, start: np.ndarray, words: np.ndarray, offsets: np.n
     who, off, lo, _ = index.matching(text, first, n, window)
     own = (docs[uniq[who]] << 34) + start[uniq[who]] + off
     gone = earliest[np.searchsorted(heads, lo, "right") - 1] < own
-    d, s = doc[uniq[who[gone]]], start[uniq[who[gone]]] + off[gone]
-    return d, s, s + window
+    s = start[uniq[who[gone]]] + off[gone]
+    return np.concatenate([doc[uniq[who[gone]]], doc[later]]), np.concatenate([s, start[later]]), np.concatenate([s + window, start[later] + size[later]])
 
 
 def _search(p: Windows):
