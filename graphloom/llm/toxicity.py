@@ -1,10 +1,13 @@
 """Toxicity: subword-bag embeddings, averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its character n-grams (3 to 5, with word ends), a
-text's vector the mean over its words; two softmax rows turn it into a probability. Vectors and
-softmax are learnt together, so a misspelling that training never saw shares most n-grams, and
-so most of its vector, with the word it stands for. Since all is linear up to the softmax, the
-trained model folds into one number for each n-gram bucket, and scoring is a lookup.
+A word is the bag of its character n-grams (3 to 5, with word ends) and itself; a text's vector
+is the weighted mean of its subwords' vectors, and two softmax rows turn it into a probability.
+A subword weighs by the square of its log inverse document frequency in the training rows, and
+nothing where too few of them (``least_share``, at least 2) hold it: what only a few texts hold
+could only be memorised. Vectors and softmax are learnt together, so a misspelling that training
+never saw shares most n-grams, and so most of its vector, with the word it stands for. Since all
+is linear up to the softmax, the trained model folds into two numbers for each bucket (share and
+weight), and scoring is a lookup.
 
 Labels: a sample of at most about ``max_rows`` labelled rows (the smallest seeded hashes of
 their ids; every labelled row where there are fewer) is turned into n-gram counts on the
@@ -31,15 +34,17 @@ from . import textkit as T
 
 @dataclass(frozen=True)
 class Model:
-    buckets: int = 1 << 17
+    buckets: int = 1 << 20
     dim: int = 8
     least: int = 3
     most: int = 5
     max_rows: int = 6000
-    epochs: int = 12
+    epochs: int = 8
+    least_steps: int = 400
     batch: int = 64
     rate: float = 0.05
-    decay: float = 1e-6
+    decay: float = 1e-2
+    least_share: float = 0.0075
     seed: int = 5
 
 
@@ -112,16 +117,24 @@ def _bags(model: Model):
     return run
 
 
-def train(bags: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, model: Model) -> tuple[np.ndarray, float]:
-    """Vectors and softmax by Adagrad on minibatches; returns the log-odds of each bucket and of nothing."""
+def train(bags: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, float]:
+    """Vectors and softmax by Adagrad on minibatches; returns each bucket's weight, its weighted log-odds, and the bias."""
+    held = np.zeros(model.buckets)
+    for x in bags:
+        held[x] += 1
+    weight = np.where(held >= max(2, model.least_share * len(bags)), np.log((len(bags) + 1) / np.maximum(held, 1)) ** 2, 0)
+    for i, (x, v) in enumerate(zip(bags, weights)):
+        v = v * weight[x]
+        some = v > 0
+        bags[i], weights[i] = x[some], (v[some] / max(v.sum(), 1e-12)).astype(np.float32)
     rng = np.random.default_rng(model.seed)
     e = rng.normal(0, 0.1, (model.buckets, model.dim)).astype(np.float32)
     w = rng.normal(0, 0.5, (2, model.dim)).astype(np.float32)
     b = np.zeros(2, np.float32)
     ge, gw, gb = np.full(model.buckets, 1e-6, np.float32), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
     n = len(labels)
-    scale = np.float32(np.mean([np.sqrt((x**2).sum()) for x in weights if len(x)]) if n else 1)
-    for _ in range(model.epochs):
+    scale = np.float32(np.mean([np.sqrt((x**2).sum()) for x in weights if len(x)] or [1]))
+    for _ in range(max(model.epochs, -(-model.least_steps // max(1, -(-n // model.batch))))):
         order = rng.permutation(n)
         for lo in range(0, n, model.batch):
             pick = [i for i in order[lo : lo + model.batch] if len(bags[i])]
@@ -143,27 +156,27 @@ def train(bags: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray,
             for value, g, dw in ((w, gw, d.T @ text), (b, gb, d.sum(0))):
                 g += dw**2
                 value -= model.rate * dw / np.sqrt(g)
-    return (e @ (w[1] - w[0])) / scale, float(b[1] - b[0])
+    return weight, weight * (e @ (w[1] - w[0])) / scale, float(b[1] - b[0])
 
 
 def _score(shared, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, bias = shared.value
+        weight, odds, bias = shared.value
         for batch in batches:
             scores = []
             for lo, hi in T.slices(batch["text"], 1 << 20):
                 n = hi - lo
                 row, which, bucket, of = subwords(batch["text"].slice(lo, n), model)
                 size = int(which.max()) + 1 if len(which) else 0
-                word = np.bincount(of, odds[bucket], minlength=size) / np.maximum(np.bincount(of, minlength=size), 1)
-                total = np.bincount(row, word[which] if size else None, minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
-                scores.append(1 / (1 + np.exp(-np.clip(total + bias, -60, 60))))
+                parts = np.maximum(np.bincount(of, minlength=size), 1)
+                up, down = (np.bincount(row, (np.bincount(of, x[bucket], minlength=size) / parts)[which], minlength=n) if size else np.zeros(n) for x in (odds, weight))
+                scores.append(1 / (1 + np.exp(-np.clip(up / np.where(down > 0, down, 1) + bias, -60, 60))))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc_id", "score"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: Model = Model(), doc_id="doc_id", text="text", label="toxic", usable=None) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, model: Model = Model(), doc_id="doc_id", text="text", label="toxic", usable=None) -> tuple[np.ndarray, np.ndarray, float]:
     """Train on a bounded sample of ``labels`` rows for which ``usable`` (a column of the id) holds."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("long")).alias("label"))
     if usable is not None:
@@ -175,15 +188,15 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model = Model(), doc_id="doc_
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("doc_id", "text", "label").mapInArrow(_bags(model), "doc_id long, label long, bag binary, weight binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("bag", "ascending")]) if rows.num_rows else rows
     if not rows.num_rows:
-        return np.zeros(model.buckets), 0.0
+        return np.zeros(model.buckets), np.zeros(model.buckets), 0.0
     bags = [np.frombuffer(x.as_py(), np.int32) for x in rows["bag"]]
     weights = [np.frombuffer(x.as_py(), np.float32) for x in rows["weight"]]
     return train(bags, weights, rows["label"].to_numpy().astype(int), model)
 
 
-def score(docs: DataFrame, fitted: tuple[np.ndarray, float], model: Model = Model(), doc_id="doc_id", text="text") -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[np.ndarray, np.ndarray, float], model: Model = Model(), doc_id="doc_id", text="text") -> DataFrame:
     """``doc_id`` and ``score`` of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast((fitted[0].astype(np.float64), fitted[1]))  # 8 bytes a bucket, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast((fitted[0].astype(np.float32), fitted[1].astype(np.float32), fitted[2]))  # 8 bytes a bucket, whatever the corpus
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_score(shared, model), "doc_id long, score double")
 
 
