@@ -117,7 +117,7 @@ def decide(docs: DataFrame, text: str = "text", sources=None, plan: Mix = Mix(),
     ``source``); ``source_size`` and ``target`` are those of the first."""
     spark = docs.sparkSession
     held = F.array(F.col("source").cast("string")) if sources is None else sources
-    sized = docs.select(*keys, n_words(text).alias("size"), F.array_sort(F.array_distinct(held)).alias("pattern"), F.xxhash64(F.lit(plan.seed), *keys, F.col(text)).alias("seeded"))
+    sized = docs.select(*keys, n_words(text).alias("size"), F.array_sort(F.array_distinct(held)).alias("pattern"), F.xxhash64(F.lit(plan.seed), "doc_id", F.col(text)).alias("seeded"))
     sized = stash(sized.withColumn("uid", F.monotonically_increasing_id()).withColumn("bucket", F.pmod("seeded", F.lit(plan.buckets)).cast("int")), "mix-sizes")
 
     sums = sized.groupBy("pattern").agg(F.sum("size").alias("size")).filter(F.size("pattern") > 0).limit(plan.max_patterns + 1).collect()

@@ -354,3 +354,22 @@ def _with_words(text: str):
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class and number of links."""
     return resolve(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")
+
+
+def oracle() -> str:
+    """The query's rows: sets, all pairs that share a shingle, exact similarity, components by closure."""
+    return """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)
+), size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM reach r JOIN edge e ON e.a = r.doc_id),
+class AS (SELECT doc_id, min(c) AS class_id FROM reach GROUP BY doc_id),
+deg AS (SELECT a AS doc_id, count(*) AS n_links FROM edge GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM class LEFT JOIN deg USING (doc_id)
+"""

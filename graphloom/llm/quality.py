@@ -180,3 +180,29 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words")
+
+
+def oracle() -> str:
+    """The query's rows from words, lines and windows spelled out."""
+    return """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, source IS NULL AS no_host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+spot AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM spot),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM win) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(0, 5) t(k) GROUP BY doc_id),
+line AS (SELECT doc_id, host, no_host, text, unnest(string_split(text, chr(10))) AS x FROM d),
+lw AS (SELECT *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n, array_to_string(regexp_extract_all(lower(x), '[^\\x20\\x09-\\x0D]+'), ' ') AS norm FROM line),
+l AS (SELECT * FROM lw WHERE n > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM l GROUP BY doc_id),
+hosts AS (SELECT host, no_host, count(DISTINCT text) AS texts FROM d GROUP BY ALL),
+freq AS (SELECT host, no_host, norm FROM (SELECT host, no_host, norm, count(DISTINCT text) AS k FROM l GROUP BY ALL) JOIN hosts USING (host, no_host) WHERE k > 20 AND k > texts * 0.1),
+cut AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_line_words FROM l JOIN freq USING (host, no_host, norm) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_line_words, 0) AS n_line_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN cut USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_line_words >= 10 AND n_words - n_line_words >= 0.5 * n_words AS kept, n_line_words FROM f
+"""
