@@ -53,6 +53,11 @@ def _walk(start: DataFrame, expand: Callable[[DataFrame, int], DataFrame], depth
     return out
 
 
+def _kept(edges: DataFrame, depth: int) -> DataFrame:
+    """Edges that several levels read are computed once."""
+    return edges.persist() if depth > 1 else edges
+
+
 def _confident(ix: Index, minimum: float | None) -> DataFrame:
     return ix.refs.filter(F.col("confidence") >= X.confidence(minimum))
 
@@ -64,6 +69,7 @@ def callers(ix: Index, name: str, depth: int = 1, min_confidence: float | None =
     first caller line. ``name`` itself may appear where it calls itself, directly or not."""
     refs = _confident(ix, min_confidence)
     who = ix.symbols.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"), "kind", F.col("file").alias("caller_file"), F.col("line").alias("caller_line"), "signature")
+    refs = _kept(refs.select("name", "file", "line", "caller_id", "target_id", "confidence"), depth)
     filtered = refs
     if reference_file:
         ids = symbol_ids(ix, name, reference_file)
@@ -89,7 +95,7 @@ def callees(ix: Index, name: str, depth: int = 1, min_confidence: float | None =
     """What ``name`` calls, as call sites, up to ``depth`` steps away."""
     refs = _confident(ix, min_confidence)
     who = ix.symbols.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"), F.col("file").alias("source_file"))
-    edges = refs.join(who, "caller_id")
+    edges = _kept(refs.join(who, "caller_id").drop("col"), depth)
 
     def expand(frontier: DataFrame, level: int) -> DataFrame:
         found = edges.join(frontier, F.col("caller") == F.col("at"))
@@ -204,7 +210,7 @@ def blast(ix: Index, names: list[str] | DataFrame, direction: str = "upstream",
     start = seeds(ix, *names) if isinstance(names, list) else names.select(F.col("name").alias("source"), F.col("name").alias("at")).distinct()
     refs = _confident(ix, min_confidence)
     who = ix.symbols.select(F.col("id").alias("caller_id"), F.col("name").alias("caller"), F.col("kind").alias("caller_kind"), F.col("file").alias("caller_file"), F.col("line").alias("caller_line"))
-    edges = refs.join(who, "caller_id")
+    edges = _kept(refs.join(who, "caller_id").drop("col", "context"), depth)
 
     def upstream(frontier: DataFrame, level: int) -> DataFrame:
         found = edges.join(frontier, F.col("name") == F.col("at")).select("source", F.col("caller").alias("name"), F.col("caller_kind").alias("kind"), F.col("caller_file").alias("file"), F.col("caller_line").alias("line"), "confidence", F.lit(0).alias("via"))

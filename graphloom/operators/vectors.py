@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,9 +36,25 @@ def literal(vector: list[float]):
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
+def _scores(query: list[float]):
+    wanted = np.array(query, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch["vector"].is_valid())
+            flat = batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch["symbol_id"].cast(pa.int64()), pa.array(flat.reshape(-1, len(wanted)) @ wanted)], ["symbol_id", "score"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
-    """(symbol_id, score) of the k nearest by dot product; ties by id. Each task keeps k rows."""
-    return vectors.select("symbol_id", dot("vector", literal(query)).alias("score")).orderBy(F.desc("score"), "symbol_id").limit(k)
+    """(symbol_id, score) of the k nearest by dot product; ties by id. Each task keeps k rows.
+
+    Scores are one matrix product a batch: over wide vectors some three times as fast as folding
+    arrays in the JVM, which runs outside generated code (see README)."""
+    scored = vectors.select("symbol_id", "vector").mapInArrow(_scores(query), "symbol_id long, score double")
+    return scored.orderBy(F.desc("score"), "symbol_id").limit(k)
 
 
 def resolved(scored: DataFrame, ix: Index) -> DataFrame:
