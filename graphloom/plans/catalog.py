@@ -285,6 +285,10 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "rdeps": (_on(lambda ix: lookup.rdeps(ix, "src/m1/f12.rs")), O.sql("SELECT DISTINCT source_file FROM imports WHERE lower(import_path) LIKE '%f12' AND source_file <> 'src/m1/f12.rs'")),
     "show_symbol": (_on(lambda ix: lookup.show_symbol(ix, "red_", file="f1").drop("end_line")), O.sql("SELECT id, name, kind, file, line, scope, signature FROM symbols WHERE contains(lower(name), 'red_') AND contains(lower(file), 'f1')")),
     "show_file": (_on(lambda ix: lookup.show_file(ix, "src/m1/")), O.sql("SELECT id, name, kind, file, line, end_line, signature FROM symbols WHERE starts_with(lower(file), 'src/m1/') AND scope IS NULL")),
+    "show_shallow": (
+        _on(lambda ix: lookup.bodies(lookup.show_symbol(ix, "red_", kind="class"), ix, ix.symbols.select(F.col("file").alias("path"), F.lit("").alias("content")).limit(0), "shallow").select("id", "name", "file", "body")),
+        O.sql("SELECT id, name, file, signature AS body FROM symbols WHERE contains(lower(name), 'red_') AND kind = 'class'"),
+    ),
     "show_lines": (lambda s, d: P.table(s, d, "documents").select("doc_id", X.line_range("text", 2, 4).alias("body")), "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS body FROM documents"),
     "callers_d1": (_with(lambda ix, n: graph.callers(ix, n, 1)), O.callers(1)),
     "callers_d3": (_with(lambda ix, n: graph.callers(ix, n, 3)), O.callers(3)),
