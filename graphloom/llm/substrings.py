@@ -46,8 +46,8 @@ from .workspace import partitions, stash
 class Windows:
     window: int = 20
     anchor: int = 6
-    hot: int = 20_000
-    shard_segments: int = 50_000
+    hot: int = 8_000
+    shard_segments: int = 16_000
 
 
 _LAST = (1 << 63) - 1  # stands for a null id: after all others
