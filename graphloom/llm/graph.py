@@ -21,17 +21,18 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that the joins below read two plain exchanges and Spark can split a node's many rows
-        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # The join has one key more than the aggregation. So neither side comes as the aggregation left it: both are
+        # plain exchanges, which Spark can split where a node has very many neighbours.
+        salt = F.pmod(F.xxhash64("v"), F.lit(2)).cast("int").alias("salt")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.array(F.lit(0), F.lit(1))).alias("salt"))
+        large = both.filter("v > u").select("u", "v", salt).join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node that is its own least neighbour keeps its edges; the others pass theirs on
-        large = stash(large.filter("u <> v").distinct(), "large")
-        small_min = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = large.filter("u <> v").distinct()
+        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_min.select("u", F.col("m").alias("v")))
         new = stash(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         new_mark = _mark(new)
-        for old in (now, least, large, small_min):
-            discard(old)
+        discard(now)
         now = new
         if new_mark == mark:
             break

@@ -294,7 +294,9 @@ def resolve(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text:
     bands = reps.mapInArrow(_explode_bands(join), "rep long, band int, key long")
     shared = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     members = stash(bands.join(shared, "key"), "near-bands")  # only buckets of two or more
-    near = components(members.select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+    # a text and all its buckets' leaders meet at the least of them: a first round that needs no join
+    star = members.groupBy("rep").agg(F.min("leader").alias("v"), F.collect_set("leader").alias("leaders"))
+    near = components(star.select(F.explode(F.array_union("leaders", F.array("rep"))).alias("u"), "v"))
     near = near.unionByName(near.select(F.col("root").alias("u"), "root").distinct())
     sizes = near.groupBy("root").agg(F.count("*").alias("around"))
     active = stash(near.join(sizes, "root").select(F.col("u").alias("rep"), F.col("root").alias("hood"), "around"), "near-active")
