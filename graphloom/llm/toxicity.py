@@ -186,12 +186,17 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model = Model(), doc_id="doc_
     if count > model.max_rows:
         known = known.filter(rank < int((1 << 30) * model.max_rows / count))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("doc_id", "text", "label").mapInArrow(_bags(model), "doc_id long, label long, bag binary, weight binary").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("bag", "ascending")]) if rows.num_rows else rows
     if not rows.num_rows:
         return np.zeros(model.buckets), np.zeros(model.buckets), 0.0
-    bags = [np.frombuffer(x.as_py(), np.int32) for x in rows["bag"]]
-    weights = [np.frombuffer(x.as_py(), np.float32) for x in rows["weight"]]
-    return train(bags, weights, rows["label"].to_numpy().astype(int), model)
+    # views into what was collected, in an order that no partitioning changes
+    views = []
+    for name, kind in (("bag", np.int32), ("weight", np.float32)):
+        data, at = T.raw(rows[name])
+        rows = rows.drop_columns([name])
+        views.append([data[a:b].view(kind) for a, b in zip(at[:-1], at[1:])])
+    ids, labels = rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(int)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(views[0][i]), views[0][i].tobytes()[:64]))
+    return train([views[0][i] for i in order], [views[1][i] for i in order], labels[order], model)
 
 
 def score(docs: DataFrame, fitted: tuple[np.ndarray, np.ndarray, float], model: Model = Model(), doc_id="doc_id", text="text") -> DataFrame:
