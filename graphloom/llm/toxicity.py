@@ -38,7 +38,7 @@ class Model:
     dim: int = 8
     least: int = 3
     most: int = 5
-    max_rows: int = 6000
+    max_rows: int = 5000
     epochs: int = 8
     least_steps: int = 400
     batch: int = 64
@@ -128,7 +128,8 @@ def train(bags: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray,
         some = v > 0
         bags[i], weights[i] = x[some], (v[some] / max(v.sum(), 1e-12)).astype(np.float32)
     rng = np.random.default_rng(model.seed)
-    e = rng.normal(0, 0.1, (model.buckets, model.dim)).astype(np.float32)
+    e = rng.standard_normal((model.buckets, model.dim), np.float32)
+    e *= np.float32(0.1)
     w = rng.normal(0, 0.5, (2, model.dim)).astype(np.float32)
     b = np.zeros(2, np.float32)
     ge, gw, gb = np.full(model.buckets, 1e-6, np.float32), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
