@@ -2,9 +2,11 @@
 
 A word is the bag of its character n-grams (3 to 5, with word ends) and itself; a text's vector
 is the weighted mean of its subwords' vectors, and two softmax rows turn it into a probability.
-A subword weighs by the square of its log inverse document frequency in the training rows, and
-nothing where too few of them (``least_share``, at least 2) hold it: what only a few texts hold
-could only be memorised. Vectors and softmax are learnt together, so a misspelling that training
+A subword weighs by the square of how far its toxic log-odds in the training rows are from those
+of all rows, after ``prior`` rows of the usual mixture are added to its own: what both classes
+hold alike weighs nothing, what a few rows of one class hold weighs little, and only what a
+single row holds (``least_rows``), which could only be memorised, is left out. So the toxic words
+of a language with few rows count, however many rows the other languages have. Vectors and softmax are learnt together, so a misspelling that training
 never saw shares most n-grams, and so most of its vector, with the word it stands for. Since all
 is linear up to the softmax, the trained model folds into two numbers for each bucket (share and
 weight), and scoring is a lookup.
@@ -44,7 +46,8 @@ class Model:
     batch: int = 64
     rate: float = 0.05
     decay: float = 1e-2
-    least_share: float = 0.0075
+    least_rows: int = 2
+    prior: float = 50
     seed: int = 5
 
 
@@ -117,12 +120,20 @@ def _bags(model: Model):
     return run
 
 
+def evidence(bags: list[np.ndarray], labels: np.ndarray, model: Model) -> np.ndarray:
+    """Each bucket's weight: its squared log-odds of being toxic, shrunk and relative to all rows'."""
+    held, toxic = np.zeros(model.buckets), np.zeros(model.buckets)
+    for x, y in zip(bags, labels):
+        held[x] += 1
+        toxic[x] += y
+    usual = (labels.sum() + 0.5) / (len(labels) + 1)
+    odds = np.log((toxic + model.prior * usual) / (held - toxic + model.prior * (1 - usual))) - np.log(usual / (1 - usual))
+    return np.where(held >= model.least_rows, odds**2, 0)
+
+
 def train(bags: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, float]:
     """Vectors and softmax by Adagrad on minibatches; returns each bucket's weight, its weighted log-odds, and the bias."""
-    held = np.zeros(model.buckets)
-    for x in bags:
-        held[x] += 1
-    weight = np.where(held >= max(2, model.least_share * len(bags)), np.log((len(bags) + 1) / np.maximum(held, 1)) ** 2, 0)
+    weight = evidence(bags, labels, model)
     for i, (x, v) in enumerate(zip(bags, weights)):
         v = v * weight[x]
         some = v > 0

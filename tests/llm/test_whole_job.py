@@ -1,0 +1,23 @@
+"""What counts is not cut off: rare evidence and large hosts."""
+
+import random
+
+import numpy as np
+
+from graphloom.llm import toxicity
+
+
+def test_rare_toxic_words_keep_their_weight():
+    """Six of 2,000 rows, all toxic, hold a minority language's toxic words (buckets 900 to 904)."""
+    r = random.Random(7)
+    model = toxicity.Model(buckets=1 << 10)
+    labels = np.array([int(k % 10 == 0) for k in range(2000)])
+    bags = [sorted({*r.sample(range(600), 20), *(r.sample(range(600, 640), 4) if y else ())}) for y in labels]
+    for k in range(0, 60, 10):
+        bags[k] = sorted({*r.sample(range(600), 20), *range(900, 905)})
+    bags = [np.array(b, np.int32) for b in bags]
+    weights = [np.full(len(b), 1 / len(b), np.float32) for b in bags]
+    weight, odds, bias = toxicity.train(bags, weights, labels, model)
+    assert (weight[900:905] > 0).all()
+    unseen = np.array([*r.sample(range(600), 20), *range(900, 905)])
+    assert odds[unseen].sum() / weight[unseen].sum() + bias > 0
