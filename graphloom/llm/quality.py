@@ -2,8 +2,9 @@
 
 A document's own counts come from one Arrow pass. For the cross-document rule each line is
 normalised (lower case, words joined by one space) and hashed; a line is *frequent* on a host
-when more distinct texts of that host than ``limit`` hold it, ``limit`` being the larger of
-``min_docs`` and ``max_share`` of the host's distinct texts. Copies of one text count once, so a
+when more distinct texts of that host than ``limit`` hold it, ``limit`` being ``max_share``
+of the host's distinct texts but at least ``min_docs`` and, however large the host, at most
+``max_docs``. Copies of one text count once, so a
 document does not lose its lines merely because it was copied. Frequent lines are removed and
 a document is rejected when what is left is under ``min_words`` words or under ``min_left`` of
 its words.
@@ -31,7 +32,8 @@ class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
     repeat_window: int = 5
-    min_docs: int = 20
+    min_docs: int = 5
+    max_docs: int = 20
     max_share: float = 0.10
     min_left: float = 0.5
 
@@ -137,7 +139,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
         .agg(F.countDistinct("text_hash").alias("docs"))
         .filter(F.col("docs") > rules.min_docs)
         .join(hosts, ["host", "no_host"])
-        .filter(F.col("docs") > F.col("host_docs") * rules.max_share)
+        .filter((F.col("docs") > rules.max_docs) | (F.col("docs") > F.col("host_docs") * rules.max_share))
         .select("host", "no_host", "line_hash")
     )
     cut = lines.join(frequent, ["host", "no_host", "line_hash"]).groupBy("uid").agg(F.sum("words").cast("long").alias("n_line_words"), F.sort_array(F.collect_set("at")).alias("cut"))

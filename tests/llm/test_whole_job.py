@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from graphloom.llm import toxicity
+from graphloom.llm import quality, toxicity
 
 
 def test_rare_toxic_words_keep_their_weight():
@@ -21,3 +21,13 @@ def test_rare_toxic_words_keep_their_weight():
     assert (weight[900:905] > 0).all()
     unseen = np.array([*r.sample(range(600), 20), *range(900, 905)])
     assert odds[unseen].sum() / weight[unseen].sum() + bias > 0
+
+
+def test_frequent_lines_of_large_and_small_hosts(spark, llm_docs):
+    """21 of 300 texts (7 %) and 6 of 30 texts share a line, which is more than 20 and more than a tenth; 20 of 300 and 5 of 30 do not count."""
+    text = lambda host, k: " ".join(f"{host}{k}x{j}" for j in range(40))
+    lines = {("large", k): "shared by many texts" if k < 21 else "shared by some texts" if k < 41 else "" for k in range(300)}
+    lines |= {("small", k): "shared by many texts" if k < 6 else "shared by some texts" if k < 11 else "" for k in range(30)}
+    rows = [(n, f"{text(*at)}\n{line}", at[0]) for n, (at, line) in enumerate(lines.items())]
+    found = {r.doc_id: r.n_line_words for r in quality.judge(llm_docs(rows)).collect()}
+    assert found == {n: 4 * ("many" in t) for n, t, _ in rows}
