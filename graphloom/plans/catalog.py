@@ -187,7 +187,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(vectors.silhouette(_labelled(spark, sf_dir).filter("id < 200")), "silhouette")
+    return _rounded(vectors.silhouette(_labelled(spark, sf_dir)), "silhouette")
 
 
 _SILHOUETTE_SQL = """WITH p AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 200),
