@@ -308,7 +308,7 @@ SELECT CAST(b.depth AS BIGINT) AS hop, b.name, s.kind, s.file, s.line FROM back
         ),
     ),
     "entry_points": (_on(lambda ix: graph.entry_points(ix, 0.9)), O.sql("SELECT id, name, kind, file, line FROM symbols s WHERE kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.name = s.name AND r.caller_id IS NOT NULL AND r.confidence >= 0.9)")),
-    "flow_trace": (_on(lambda ix: graph.flows(ix, graph.entry_points(ix, 0.9).limit(20), 5, 4, 0.5)), None),
+    "flow_trace": (_on(lambda ix: graph.flows(ix, graph.entry_points(ix, 0.9), 5, 4, 0.5)), None),
     "blast_up": (_with(lambda ix, n: graph.blast(ix, [n], "upstream", 3)), O.sql(O.blast(3) + " SELECT * FROM affected")),
     "blast_down": (_with(lambda ix, n: graph.blast(ix, [n], "downstream", 2)), O.sql(O.blast(2, True) + " SELECT * FROM affected")),
     "blast_tiers": (_with(lambda ix, n: graph.blast_tiers(graph.blast(ix, [n], "upstream", 3))), O.sql(O.blast(3) + " SELECT source, severity, count(*) AS n, count(DISTINCT file) AS files, min(depth) AS least_depth FROM affected GROUP BY source, severity")),
@@ -367,7 +367,7 @@ SELECT f.node AS path, CASE WHEN f.node = '.' THEN NULL WHEN contains(f.node, '/
         _on(lambda ix: changes.combined_risk(ix, _few_changes(ix), 2)),
         O.sql(_FEW_SQL + O.blast(2, names="SELECT name FROM few") + f" SELECT max(n) AS most, CAST(sum(n) AS BIGINT) AS total, {O.RISK.format('max(n)')} AS risk FROM (SELECT count(*) AS n FROM affected GROUP BY source)"),
     ),
-    "change_flows": (_on(lambda ix: changes.affected_flows(ix, ix.symbols.filter("id % 3 = 0").select("name"), graph.entry_points(ix, 0.9).limit(20), 5, 4, 0.5)), None),
+    "change_flows": (_on(lambda ix: changes.affected_flows(ix, _diff(ix), graph.entry_points(ix, 0.9), 5, 4, 0.5)), None),
     "resolve_targets": (
         _resolve,
         O.sql(", loc AS (SELECT file, name, arg_max(id, line * 1000000000 + id) AS id FROM symbols GROUP BY file, name), uni AS (SELECT name, min(id) AS id FROM symbols GROUP BY name HAVING count(*) = 1) SELECT DISTINCT r.name, r.file, r.line, coalesce(l.id, u.id) AS target_id FROM refs r LEFT JOIN loc l ON l.file = r.file AND l.name = r.name LEFT JOIN uni u ON u.name = r.name"),

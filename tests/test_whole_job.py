@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from helpers import make, rows
 
 from graphloom.plans import catalog
 
@@ -24,3 +25,16 @@ def test_silhouette_counts_every_embedding(spark):
         scores.append(0 if a is None or b is None or max(a, b) == 0 else (b - a) / max(a, b))
     got = catalog.queries()["silhouette_given_labels"](spark, SF).first()
     assert got.points == len(given) and abs(got.silhouette - np.mean(scores)) < 1e-6
+
+
+def test_flows_start_at_every_entry_point(spark, monkeypatch):
+    """30 entries call symbol 40, which the diff modifies, and 36, which it leaves alone."""
+    symbols = [(k, f"s{k}", "function", f"f{k:02}.rs", 1) for k in [*range(1, 31), 36, 40]]
+    ix = make(spark, symbols, refs=[(f"s{callee}", f"f{k:02}.rs", 2, k, 0.95) for k in range(1, 31) for callee in (36, 40)])
+    monkeypatch.setattr(catalog.P, "index", lambda *_: ix)
+    queries = catalog.queries()
+    flows = queries["flow_trace"](spark, "")
+    assert {e for (e,) in rows(flows, "entry")} == {f"s{k}" for k in range(1, 31)}
+    # a modified (every fifth) or removed (every seventh) entry counts as itself and as its first step
+    own = {k for k in range(1, 31) if k % 5 == 0 or k % 7 == 0}
+    assert dict(rows(queries["change_flows"](spark, ""), "entry", "matches")) == {f"s{k}": 1 + 2 * (k in own) for k in range(1, 31)}
