@@ -98,10 +98,6 @@ def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.merged(_diff(P.index(spark, sf_dir)), _touched(spark, sf_dir).withColumn("change", F.lit("modified")))
 
 
-def _few_changes(ix) -> DataFrame:
-    return _diff(ix).filter("change = 'added' OR change = 'removed'").withColumn("name", F.regexp_replace("name", "_new$", "")).select("name").distinct().orderBy("name").limit(5)
-
-
 _FEW_SQL = _SNAPSHOT_SQL + ", few AS (SELECT DISTINCT regexp_replace(name, '_new$', '') AS name FROM diff WHERE change IN ('added', 'removed') ORDER BY name LIMIT 5)"
 
 
@@ -362,9 +358,9 @@ SELECT f.node AS path, CASE WHEN f.node = '.' THEN NULL WHEN contains(f.node, '/
         _merge,
         O.sql(_SNAPSHOT_SQL + ", mixed AS (SELECT file, name, kind, line, change, 0 AS p, 'parser' AS via FROM diff WHERE change IS NOT NULL UNION ALL SELECT file, name, kind, line, 'modified', 1, 'hunk' FROM touched) SELECT file, name, kind, line, change, via FROM (SELECT *, row_number() OVER (PARTITION BY file, name, kind ORDER BY p, line, change) AS r FROM mixed) WHERE r = 1"),
     ),
-    "change_blast": (_on(lambda ix: changes.affected(ix, _few_changes(ix), 2)), O.sql(_FEW_SQL + O.blast(2, names="SELECT name FROM few") + " SELECT * FROM affected")),
+    "change_blast": (_on(lambda ix: changes.affected(ix, _diff(ix), 2)), O.sql(_FEW_SQL + O.blast(2, names="SELECT name FROM few") + " SELECT * FROM affected")),
     "change_risk": (
-        _on(lambda ix: changes.combined_risk(ix, _few_changes(ix), 2)),
+        _on(lambda ix: changes.combined_risk(ix, _diff(ix), 2)),
         O.sql(_FEW_SQL + O.blast(2, names="SELECT name FROM few") + f" SELECT max(n) AS most, CAST(sum(n) AS BIGINT) AS total, {O.RISK.format('max(n)')} AS risk FROM (SELECT count(*) AS n FROM affected GROUP BY source)"),
     ),
     "change_flows": (_on(lambda ix: changes.affected_flows(ix, _diff(ix), graph.entry_points(ix, 0.9), 5, 4, 0.5)), None),

@@ -38,3 +38,17 @@ def test_flows_start_at_every_entry_point(spark, monkeypatch):
     # a modified (every fifth) or removed (every seventh) entry counts as itself and as its first step
     own = {k for k in range(1, 31) if k % 5 == 0 or k % 7 == 0}
     assert dict(rows(queries["change_flows"](spark, ""), "entry", "matches")) == {f"s{k}": 1 + 2 * (k in own) for k in range(1, 31)}
+
+
+def test_blast_of_every_changed_name(spark, monkeypatch):
+    """Of symbols 1 to 40 those divisible by 5 or 7 change; symbol 100 + k, where it does not change itself, calls k and 141 calls all."""
+    symbols = [(k, f"s{k}", "function", f"f{k:02}.rs", 1) for k in range(1, 41)] + [(k, f"c{k}", "function", "c.rs", k) for k in range(101, 142)]
+    symbols = [x for x in symbols if x[0] < 100 or (x[0] % 5 and x[0] % 7)]
+    calls = [(f"s{k}", "c.rs", k, caller, 0.95) for k in range(1, 41) for caller in (100 + k, 141) if caller in {x[0] for x in symbols}]
+    ix = make(spark, symbols, refs=calls)
+    monkeypatch.setattr(catalog.P, "index", lambda *_: ix)
+    changed = {f"s{k}" for k in range(1, 41) if k % 5 == 0 or k % 7 == 0}
+    want = {(c[0], f"c{c[3]}") for c in calls if c[0] in changed}
+    assert {(source, name) for source, name in rows(catalog.queries()["change_blast"](spark, ""), "source", "name")} == want
+    risk = catalog.queries()["change_risk"](spark, "").first()
+    assert risk.total == len(want) and risk.most == max(sum(s == x for s, _ in want) for x in changed)
