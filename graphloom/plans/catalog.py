@@ -320,7 +320,7 @@ SELECT CAST(b.depth AS BIGINT) AS hop, b.name, s.kind, s.file, s.line FROM back
         _with(lambda ix, n: context.callees(ix, context.matching(ix, n))),
         O.sql("SELECT DISTINCT s.id, r.name, coalesce(d.kind, 'function') AS kind, coalesce(d.file, '') AS file, coalesce(d.line, 0) AS line FROM symbols s JOIN seed USING (name) JOIN refs r ON r.caller_id = s.id LEFT JOIN symbols d ON d.name = r.name AND d.kind IN ('function', 'method')"),
     ),
-    "ctx_children": (_with(lambda ix, n: context.children(ix, ix.symbols.filter("id <= 500").select("id"))), O.sql("SELECT e.parent_id AS id, k.name, k.kind, k.file, k.line, e.relationship FROM type_edges e JOIN symbols p ON p.id = e.parent_id JOIN symbols k ON k.id = e.child_id WHERE p.id <= 500")),
+    "ctx_children": (_with(lambda ix, n: context.children(ix, ix.symbols.select("id"))), O.sql("SELECT e.parent_id AS id, k.name, k.kind, k.file, k.line, e.relationship FROM type_edges e JOIN symbols p ON p.id = e.parent_id JOIN symbols k ON k.id = e.child_id WHERE p.id <= 500")),
     "symbol_context": (_with(lambda ix, n: context.symbol_context(ix, n, min_confidence=0.5).select("id", "name", "kind", "file", "line", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("callers", "importers", "type_users", "callees", "imports", "children", "flows")])), None),
     "summary_languages": (_on(lambda ix: summary.languages(ix, "src/m1")), O.sql("SELECT language, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines FROM files WHERE starts_with(path, 'src/m1/') GROUP BY language")),
     "summary_kinds": (_on(lambda ix: summary.kinds(ix, "src/m1/")), O.sql("SELECT kind, count(*) AS n FROM symbols WHERE starts_with(file, 'src/m1/') GROUP BY kind")),

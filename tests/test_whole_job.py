@@ -52,3 +52,11 @@ def test_blast_of_every_changed_name(spark, monkeypatch):
     assert {(source, name) for source, name in rows(catalog.queries()["change_blast"](spark, ""), "source", "name")} == want
     risk = catalog.queries()["change_risk"](spark, "").first()
     assert risk.total == len(want) and risk.most == max(sum(s == x for s, _ in want) for x in changed)
+
+
+def test_children_of_every_symbol(spark, monkeypatch):
+    ix = make(spark, [(k, f"s{k}", "class", "a.rs", k) for k in (1, 2, 500, 501, 9000)], edges=[(2, 1, "extends"), (9000, 501, "implements"), (1, 9000, "extends")])
+    monkeypatch.setattr(catalog.P, "index", lambda *_: ix)
+    monkeypatch.setattr(catalog, "seed", lambda *_: "s1")
+    parents = {p: c for c, p, _ in rows(ix.type_edges, "child_id", "parent_id", "relationship")}
+    assert set(rows(catalog.queries()["ctx_children"](spark, ""), "id", "name")) == {(p, f"s{c}") for p, c in parents.items()}
