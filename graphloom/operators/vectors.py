@@ -83,14 +83,16 @@ def without_structural(semantic: DataFrame, structural: DataFrame) -> DataFrame:
 
 
 def impact(changed: DataFrame, ix: Index, k: int = 20) -> DataFrame:
-    """Symbols near changed ones: ``changed`` has (name, vector). Each change's k nearest other symbols, then the
-    best change for each symbol. The changes are few (one diff) and go to every task in blocks."""
-    self_ids = changed.select("name").distinct().join(ix.symbols.select("name", F.col("id").alias("symbol_id")), "name")
-    queries = changed.select(F.col("name").alias("changed"), F.col("vector").alias("q"))
-    scored = ix.embeddings.crossJoin(queries).select("changed", "symbol_id", dot("vector", "q").alias("score"))
-    w = Window.partitionBy("changed").orderBy(F.desc("score"), "symbol_id")
+    """Symbols near changed ones: ``changed`` has (name, vector), and kind, file and scope where names alone do not tell
+    changes apart. Each change's k nearest other symbols, then the best change for each symbol. The changes are those
+    of one diff and go to every task in blocks; a task keeps k rows of each."""
+    itself = [c for c in ("name", "kind", "file") if c in changed.columns]
+    of = F.struct(*itself, *(c for c in ("scope",) if c in changed.columns)).alias("of")
+    scored = ix.embeddings.crossJoin(changed.select(of, F.col("vector").alias("q"))).select("of", "symbol_id", dot("vector", "q").alias("score"))
+    w = Window.partitionBy("of").orderBy(F.desc("score"), "symbol_id")
     near = scored.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
-    others = near.join(self_ids.select(F.col("name").alias("changed"), "symbol_id"), ["changed", "symbol_id"], "left_anti")
+    same = ix.symbols.select(F.col("id").alias("symbol_id"), *(F.col(c).alias(f"own_{c}") for c in itself))
+    others = near.select(F.col("of.name").alias("changed"), *(F.col(f"of.{c}").alias(f"own_{c}") for c in itself), "symbol_id", "score").join(same, same.columns, "left_anti").select("changed", "symbol_id", "score")
     own = ix.symbols.select(F.col("id").alias("symbol_id"), "name", "kind", "file", "line")
     best = Window.partitionBy("name", "kind", "file", "line").orderBy(F.desc("score"), "changed", "symbol_id")
     out = others.join(own, "symbol_id").withColumn("r", F.row_number().over(best)).filter("r = 1")

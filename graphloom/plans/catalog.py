@@ -13,6 +13,7 @@ from ..sources import resolve
 from ..streaming import events
 from . import oracle as O
 from . import projection as P
+from .frames import first_per
 
 _SEEDS: dict[str, str] = {}
 
@@ -65,8 +66,7 @@ def _new_symbols(ix) -> DataFrame:
 
 
 def _hunks(spark: SparkSession, sf_dir: str, ix) -> DataFrame:
-    few = P.table(spark, sf_dir, "lineitem").filter("l_quantity <= 2")
-    return few.join(ix.symbols.select(F.col("id").alias("l_partkey"), "file"), "l_partkey").select("file", (F.col("l_linenumber") * 40).cast("long").alias("first"), (F.col("l_linenumber") * 40 + F.col("l_quantity")).cast("long").alias("last")).distinct()
+    return P.table(spark, sf_dir, "lineitem").join(ix.symbols.select(F.col("id").alias("l_partkey"), "file"), "l_partkey").select("file", (F.col("l_linenumber") * 40).cast("long").alias("first"), (F.col("l_linenumber") * 40 + F.col("l_quantity")).cast("long").alias("last")).distinct()
 
 
 _SNAPSHOT_SQL = """, newer AS (
@@ -160,7 +160,9 @@ def _ask_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _semantic_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = P.index(spark, sf_dir)
-    changed = ix.symbols.filter("id IN (1, 2, 3)").join(ix.embeddings, F.col("id") == F.col("symbol_id")).select("name", "vector")
+    newer = first_per(_new_symbols(ix), list(changes.KEY), "line", "signature").select("id", *[F.col(c).alias(f"n_{c}") for c in changes.KEY])
+    there = _diff(ix).filter("change <> 'removed'").join(newer, [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in changes.KEY])
+    changed = there.join(ix.embeddings.select("symbol_id", "vector"), F.col("id") == F.col("symbol_id")).select(*changes.KEY, "vector")
     return _rounded(vectors.impact(changed, ix, 20), "score")
 
 

@@ -1,6 +1,7 @@
 """Catalogue queries do the whole job, held against plain code rather than against their SQL."""
 
 import os
+import random
 
 import numpy as np
 import pytest
@@ -60,3 +61,39 @@ def test_children_of_every_symbol(spark, monkeypatch):
     monkeypatch.setattr(catalog, "seed", lambda *_: "s1")
     parents = {p: c for c, p, _ in rows(ix.type_edges, "child_id", "parent_id", "relationship")}
     assert set(rows(catalog.queries()["ctx_children"](spark, ""), "id", "name")) == {(p, f"s{c}") for p, c in parents.items()}
+
+
+def test_impact_of_every_change(spark, monkeypatch):
+    """Added and modified symbols, one name in several files, each with its own 20 nearest."""
+    r = random.Random(3)
+    v = {k: [r.gauss(0, 1) for _ in range(6)] for k in range(1, 121)}
+    at = {k: (f"s{k % 30}", "function", f"f{k % 7}.rs", k) for k in v}
+    ix = make(spark, [(k, *at[k]) for k in v], vectors=[(k, at[k][2], x, False) for k, x in v.items()])
+    ix = ix.with_(symbols=ix.symbols.withColumn("scope", catalog.F.lit(None).cast("string")))
+    monkeypatch.setattr(catalog.P, "index", lambda *_: ix)
+    changed = [(f"s{k % 30}", k) for k in v if k % 5 == 0 and k % 7] + [(f"s{k % 30}_new", k) for k in v if k % 13 == 0]
+    best = {}
+    for name, k in changed:
+        near = sorted((-float(np.float32(v[j]).astype(float) @ np.float32(v[k]).astype(float)), j) for j in v)[:20]
+        for score, j in near:
+            if (name, at[k][2]) != (at[j][0], at[j][2]):
+                best[at[j]] = min(best.get(at[j], (9e9, "")), (round(score, 6), name))
+    got = {tuple(x[1:5]): (-x[5], x[0]) for x in rows(catalog.queries()["semantic_impact"](spark, ""), "changed", "name", "kind", "file", "line", "score")}
+    assert got.keys() == best.keys()
+    assert all(abs(got[x][0] - best[x][0]) < 2e-6 and got[x][1] == best[x][1] for x in got)
+
+
+@on_tables
+def test_hunks_are_all_line_items(spark):
+    items = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_linenumber", "l_quantity").toPandas()
+    symbols = catalog.P.symbols(spark, SF).select("id", "file", "line", "end_line").toPandas()
+    file = dict(zip(symbols.id, symbols.file))
+    hunks = {(file[p], n * 40, int(n * 40 + q)) for p, n, q in items.itertuples(index=False) if p in file}
+    by_file = {}
+    for f, a, b in hunks:
+        by_file.setdefault(f, []).append((a, b))
+    want = {s.id for s in symbols.itertuples() if any(s.line <= b and a <= s.end_line for a, b in by_file.get(s.file, ()))}
+    assert {i for (i,) in rows(catalog.queries()["hunk_overlap"](spark, SF), "id")} == want
+    merged = rows(catalog.queries()["change_merge"](spark, SF), "file", "name")
+    named = catalog.P.symbols(spark, SF).select("id", "file", "name").toPandas()
+    assert {(f, n) for i, f, n in named.itertuples(index=False) if i in want} <= set(merged)
