@@ -3,7 +3,8 @@
 Three base kinds (``assign``, ``access``, ``hex``) are always reported. The ``token`` kind adds
 opaque strings of other shapes (long mixed-case alphanumerics, well-known key prefixes, signed
 web tokens, private-key blocks); such a string is reported where the whole corpus shows it with
-at most ``max_owners`` owners and ``max_repos`` repositories. A string that many owners carry is
+one owner, in however many repositories, or with at most ``max_owners`` owners where they spread
+it over at most ``max_repos`` repositories. A string that many owners carry is
 an example someone copied. Base spans get the same verdict in ``n_live``/``n_example`` but stay.
 
 Candidates travel as hashes; no credential leaves the document it was found in. Counts of
@@ -38,7 +39,7 @@ _TOKEN = re.compile(
     r"|AIza[A-Za-z0-9_-]{35}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
     r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,39}[0-9])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"
 )
 
 FOUND = "doc_id long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:int,end:int,digest:binary>>"
@@ -97,7 +98,7 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo=Non
     # one row a (string, owner, repository) leaves each task; then one a string
     spread = spans.groupBy("digest", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("owner", "repo").alias("repos"))
     spread = stash(spread, "secret-owners")  # so that the join reads two plain exchanges, which Spark can split at a hot string
-    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    live = (F.col("owners") <= max_owners) & ((F.col("owners") == 1) | (F.col("repos") <= max_repos))
     judged = spans.join(spread, "digest").withColumn("live", live).filter((F.col("kind") < 3) | F.col("live"))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     listed = judged.groupBy("uid").agg(

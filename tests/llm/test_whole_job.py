@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from graphloom.llm import quality, toxicity
+from graphloom.llm import quality, secrets, toxicity
 
 
 def test_rare_toxic_words_keep_their_weight():
@@ -31,3 +31,11 @@ def test_frequent_lines_of_large_and_small_hosts(spark, llm_docs):
     rows = [(n, f"{text(*at)}\n{line}", at[0]) for n, (at, line) in enumerate(lines.items())]
     found = {r.doc_id: r.n_line_words for r in quality.judge(llm_docs(rows)).collect()}
     assert found == {n: 4 * ("many" in t) for n, t, _ in rows}
+
+
+def test_one_owners_token_is_live_in_every_repository(spark):
+    own, shared, late = "aB3dE6gH" * 4, "Zy9Xw8Vu" * 4, "abCdEfGhIj" * 5 + "7kL"
+    rows = [(k, f"x {own} y {late if k == 0 else ''}", "o", lang) for k, lang in enumerate(("en", "fr", "de", "es"))]
+    rows += [(10 + k, f"x {shared} y", f"p{k}", "en") for k in range(2)]
+    found = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert found == {0: "token:2:34,token:37:90", 1: "token:2:34", 2: "token:2:34", 3: "token:2:34", 10: "", 11: ""}
