@@ -1,9 +1,15 @@
 """A compressed FM-index over word numbers, with vectorised backward search.
 
-The text is a sequence of numbers; 0 ends each piece and only there. The Burrows-Wheeler
-transform is kept as a wavelet matrix (a wavelet tree stored level by level): one bit vector a
-level, packed 64 to a word with a running count per word, so rank costs one lookup and one
-population count. Backward search extends all patterns of a batch by one symbol at a time.
+The text is a sequence of numbers; 0 ends each piece and only there. What is kept of it is its
+Burrows-Wheeler transform as a wavelet matrix (a wavelet tree stored level by level), how often
+each number occurs, and one bit a row for the parent step: about one and a half bits a symbol and
+level. Text and suffix order are dropped once these are built, so the index says whether and how
+often a pattern occurs, not where. Bit vectors are packed 64 to a word with a running count per
+word, so rank costs one lookup and one population count. All patterns of a batch advance together.
+
+Suffixes are ordered by their first ``depth`` symbols, ties by place. That is enough for patterns
+of up to ``depth`` symbols: rows that begin with a shorter pattern stand together, and a symbol's
+occurrences before them count the rows of the longer pattern's smaller neighbours.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ import numpy as np
 
 
 class Bits:
-    """A bit vector with constant-time rank."""
+    """A bit vector with constant-time rank, and select by search over the counts."""
 
     def __init__(self, bits: np.ndarray):
         packed = np.packbits(bits, bitorder="little")
@@ -27,6 +33,12 @@ class Bits:
         low = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
         return self.before[word] + np.bitwise_count(low)
 
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th one, counted from 0."""
+        word = np.searchsorted(self.before, k, "right") - 1
+        bits = np.unpackbits(self.words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return (word << 6) + (np.cumsum(bits, 1, dtype=np.int8) > (k - self.before[word])[:, None]).argmax(1)
+
 
 class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, sigma: int):
@@ -49,82 +61,91 @@ class WaveletMatrix:
         return hi - lo
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by prefix doubling; a suffix that ends sorts first."""
-    n = len(text)
+def _ranks(rank: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by a rank and by the rank ``shift`` further on, and the new rank."""
+    n = len(rank)
+    second = np.zeros(n, np.int64)
+    second[: max(0, n - shift)] = rank[shift:]
+    key = rank * (n + 2) + second
+    order = np.argsort(key, kind="stable")
+    new = np.ones(n, np.int64)
+    new[1:] = key[order][1:] != key[order][:-1]
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(new)
+    return order, out
+
+
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by their first ``depth`` symbols, by prefix doubling, and which rows differ from the
+    row before them within the first ``depth`` - 1."""
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
     span = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - span] = rank[span:]
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if int(new.sum()) == n or span >= n:
-            return order
-        span *= 2
+    while 2 * span <= depth - 1:
+        rank, span = _ranks(rank, span)[1], 2 * span
+    # two overlapping spans cover what is left, so equal pairs of ranks are equal prefixes
+    shorter = _ranks(rank, depth - 1 - span)[1] if depth > 1 else np.ones(len(text), np.int64)
+    order, _ = _ranks(shorter, 1) if depth > 1 else _ranks(rank, len(rank))
+    starts = np.ones(len(text), bool)
+    starts[1:] = shorter[order][1:] != shorter[order][:-1]
+    return order, starts
 
 
 class FMIndex:
-    """``text`` holds numbers 0..sigma-1; 0 ends each piece."""
+    """``text`` holds numbers 0..sigma-1; 0 ends each piece. For patterns of up to ``depth`` symbols."""
 
-    def __init__(self, text: np.ndarray, sigma: int):
-        self.text, self.order = text, suffix_array(text)
-        self.bwt = WaveletMatrix(text[self.order - 1], sigma)
+    def __init__(self, text: np.ndarray, sigma: int, depth: int):
+        order, starts = suffix_order(text, depth)
+        self.n, self.sigma, self.depth = len(text), sigma, depth
+        self.bwt = WaveletMatrix(text[order - 1], sigma)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))]).astype(np.int64)
-        self.n = len(text)
+        self.parents = Bits(starts)
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of ``symbol`` followed by what the ranges stand for: one step of backward search."""
+        """Rows of ``symbol`` followed by what the rows stand for: one step of backward search."""
         both = self.bwt.occurrences(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         base = self.starts[symbol]
         return base + both[: len(symbol)], base + both[len(symbol) :]
 
-    def ranges(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of the suffix order, the maximal range around it that shares ``depth`` symbols."""
-        padded = np.concatenate([self.text, np.zeros(depth, self.text.dtype)])
-        new = np.zeros(self.n, bool)
-        new[:1] = True
-        for k in range(depth):
-            now = padded[self.order + k]
-            new[1:] |= now[1:] != now[:-1]
-        begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        return begin[group], np.append(begin[1:], self.n)[group]
-
-    def matching(self, text: np.ndarray, first: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of streamed pieces (``size`` symbols from ``first``), where they reach ``least``.
-
-        All pieces go through the index at once, from their last window to their first. A window
-        that follows a matched one drops its last symbol by widening the suffix range to the
-        rows that share one symbol less (the parent step), then takes one backward step; a
-        window that follows an unmatched one is searched from its end. Returned are (piece,
-        offset, lo, hi) of the windows that occur, with their suffix ranges."""
-        wide_lo, wide_hi = self.ranges(least - 1)
-        m = len(first)
+    def shorten(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parent step: rows that share all but the last of the ``depth`` symbols of row ``lo``."""
+        group = self.parents.rank(lo + 1) - 1
+        last = group + 1 >= self.parents.ones
+        return self.parents.select(group), np.where(last, self.n, self.parents.select(np.where(last, group, group + 1)))
+
+    def statistics(self, text: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of streamed pieces, as far as ``depth``: (piece, offset, occurrences) of the places
+        whose next ``depth`` symbols occur in the index.
+
+        Pieces (``size`` symbols from ``first``; a negative symbol is one that the index does not hold) go through
+        it at once, from their ends to their beginnings. Behind a place that matched to the full depth, the parent
+        step drops the last symbol and one backward step takes the next; behind one that did not, the pattern is
+        searched anew, symbol by symbol, until no row is left."""
+        depth, m = self.depth, len(first)
+        unknown = np.concatenate([[0], np.cumsum(text < 0)])
         lo, hi, known = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, bool)
         out: list[tuple] = []
-        most = int((size - least).max(initial=-1))
-        for back in range(most + 1):  # windows counted from each piece's end
-            lane = np.flatnonzero(size - least >= back)
-            at = first[lane] + size[lane] - least - back
-            step = lane[known[lane]]
+        for back in range(int((size - depth).max(initial=-1)) + 1):
+            lane = np.flatnonzero(size - depth >= back)
+            at = first[lane] + size[lane] - depth - back
+            able = unknown[at + depth] == unknown[at]
+            known[lane[~able]] = False
+            lane, at = lane[able], at[able]
+            go = known[lane]
+            step = lane[go]
             if len(step):
-                row = lo[step]
-                lo[step], hi[step] = self.extend(text[at[known[lane]]], wide_lo[row], wide_hi[row])
-            fresh = ~known[lane]
-            if fresh.any():
-                who, pos = lane[fresh], at[fresh]
+                a, b = self.shorten(lo[step])
+                lo[step], hi[step] = self.extend(text[at[go]], a, b)
+            who, place = lane[~go], at[~go]
+            if len(who):
                 a, b = np.zeros(len(who), np.int64), np.full(len(who), self.n, np.int64)
                 live = np.arange(len(who))
-                for k in reversed(range(least)):
-                    a[live], b[live] = self.extend(text[pos[live] + k], a[live], b[live])
+                for k in reversed(range(depth)):
+                    a[live], b[live] = self.extend(text[place[live] + k], a[live], b[live])
                     live = live[a[live] < b[live]]
+                    if not len(live):
+                        break
                 lo[who], hi[who] = a, b
             known[lane] = lo[lane] < hi[lane]
             hit = lane[known[lane]]
-            out.append((hit, size[hit] - least - back, lo[hit], hi[hit]))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+            out.append((hit, size[hit] - depth - back, hi[hit] - lo[hit]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(3))

@@ -1,4 +1,4 @@
-"""Substring dedup: repeated windows of words, found with one compressed FM-index per shard.
+"""Substring dedup: repeated windows of words, found with compressed FM-indexes over content shards.
 
 A window is ``window`` consecutive words of a document. A word goes when a window that covers it
 also starts earlier in the corpus (smaller id, or the same document and an earlier word).
@@ -10,20 +10,26 @@ that holds all segments of some anchors decides their windows alone.
 
 1. Segments are emitted as hashes and places. Anchors that occur once are dropped: their windows
    are unique. Counts are aggregated before the exchange.
-2. Of equal segments all but the earliest are repeats as a whole; this needs no text.
-3. The earliest of each segment whose anchor has several different segments goes to a shard,
-   with its words. The shard's distinct segments form the index's text, they are streamed
-   through the index for their matching statistics, and each window's suffix range gives all its
-   places; the earliest of them stays.
-4. Anchors with more than ``hot`` different segments are dealt to shards window by window,
-   under the window's own hash, so no anchor fills a shard.
-
-Shards hold a bounded number of segments, so their number grows with the corpus, not their size.
+2. An anchor with more than ``hot`` different segments is split: each of its windows becomes a
+   segment and an anchor of its own, so nothing but equal windows meets under it.
+3. Of each different segment two places go to a shard with their words, the first and, where the
+   segment recurs, one later place that stands for all the later ones. So a passage that a third
+   of all documents hold reaches its shard twice.
+4. A shard's anchors hold their pieces in corpus order. They are halved again and again: the
+   earlier half of a span of pieces becomes the index's text, the later half is streamed through
+   the index, and the windows whose matching statistics reach ``window`` start earlier. All spans
+   of a length share one index, each with symbols of its own, so a streamed piece meets nothing
+   but the pieces of its own span. Every two pieces of an anchor meet once; no piece is in the
+   index that it is streamed through.
+5. The intervals found go back to all places of their segment by its hash.
+
+Shards are read anchor by anchor and indexed ``shard_segments`` pieces at a time, so neither
+their number nor their size decides how much memory a task takes.
 
 Edge cases: null texts have no words; a null id counts as one after all others; rows that share
 an id are one document with words counted from each row's start; repeated rows of an id and a
 text are the same windows and keep each other; texts shorter than a window lose nothing; an
-empty table gives an empty table.
+empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -94,122 +100,164 @@ def _emit(p: Windows):
     return run
 
 
-SHIPPED = "key long, doc long, start int, words binary"
+def _wanted(part: pa.RecordBatch) -> tuple[T.Words, np.ndarray, list[np.ndarray]]:
+    """Words of some texts, and of the segments wanted of them: row, and anchor, hash, first word and number of words."""
+    w, wanted = T.Words(part["text"]), part["wanted"]
+    row = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
+    fields = [wanted.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(wanted.type.value_type.num_fields)]
+    # rows that share an id may be shorter than the one a place was taken from
+    ok = w.first[row] + fields[2] + fields[3] <= w.first[row + 1]
+    return w, row[ok], [x[ok] for x in fields]
 
 
-def _ship(p: Windows):
-    """Words (as hashes) of the wanted segments; those of hot anchors window by window."""
+def _split(p: Windows):
+    """Each window of the wanted segments as a segment and an anchor of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in T.slices(batch["text"]):
                 part = batch.slice(lo, hi - lo)
-                w = T.Words(part["text"])
-                h, wanted = w.hashes(), part["wanted"]
-                row = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
-                flat = wanted.flatten()
-                key, start, n, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                # rows that share an id may be shorter than the one a place was taken from
-                ok = w.first[row] + start + n <= w.first[row + 1]
-                row, key, start, n, hot = row[ok], key[ok], start[ok].astype(np.int64), n[ok].astype(np.int64), hot[ok]
-                windows = np.where(hot, n - p.window + 1, 1)
-                every = np.repeat(np.arange(len(key)), windows)
-                shift = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-                begin, size = start[every] + shift, np.where(hot[every], p.window, n[every])
-                flat_at = w.first[row[every]] + begin
-                offsets = T.split_offsets(size)
-                words = h[np.repeat(flat_at - offsets[:-1], size) + np.arange(size.sum())]
-                out_key = key[every].copy()
-                if hot.any():
-                    g = T.grams(h, p.window)
-                    some = np.flatnonzero(hot[every])
-                    out_key[some] = T.signed(g[flat_at[some]])
-                doc = part["doc"].to_numpy()[row[every]]
-                yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(doc), pa.array(begin.astype(np.int32)), T.binaries(words, offsets)], ["key", "doc", "start", "words"])
+                w, row, (_, _, start, n) = _wanted(part)
+                windows = n.astype(np.int64) - p.window + 1
+                every = np.repeat(np.arange(len(start)), windows)
+                begin = start[every] + np.arange(windows.sum()) - np.repeat(T.split_offsets(windows)[:-1], windows)
+                g = T.grams(w.hashes(), p.window)[w.first[row[every]] + begin] if len(every) else np.zeros(0, np.uint64)
+                own = pa.array(T.signed(T.mix(g ^ _BASE)))
+                yield pa.RecordBatch.from_arrays([own, own, pa.array(part["doc"].to_numpy()[row[every]]), pa.array(begin.astype(np.int32)), pa.array(np.full(len(every), p.window, np.int32))], ["anchor", "seg", "doc", "start", "n"])
 
     return run
 
 
-def repeats(doc: np.ndarray, start: np.ndarray, words: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one shard's segments: (doc, first word, end word) of runs of windows that also start earlier."""
-    size = np.diff(offsets)
-    # one piece for each different segment, its earliest place first
-    key = np.add.reduceat(T.mix(words + (np.arange(len(words)) - np.repeat(offsets[:-1], size)).astype(np.uint64) * T._M1), offsets[:-1])
-    order = np.lexsort((start, doc, key, size))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (key[order][1:] != key[order][:-1]) | (size[order][1:] != size[order][:-1])
-    uniq = order[fresh]
-    # the same segment at a later place is a repeat as a whole
-    head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
-    later = order[(doc[order] != doc[head]) | (start[order] != start[head])]
-    n = size[uniq]
-    symbols = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
-    sigma = int(symbols.max(initial=0)) + 1
-    ends = np.cumsum(n + 1)
-    first = ends - n - 1
-    text = np.zeros(int(ends[-1]), np.int64)
-    inside = np.ones(len(text), bool)
-    inside[ends - 1] = False
-    text[inside] = symbols[np.repeat(offsets[uniq] - T.split_offsets(n)[:-1], n) + np.arange(n.sum())]
-
-    index = FMIndex(text, sigma)
-    # place of each suffix in the corpus, as one number; those too short for a window are last
-    docs = np.unique(doc, return_inverse=True)[1].astype(np.int64)
-    piece = np.repeat(np.arange(len(uniq)), n + 1)
-    offset = np.arange(len(text)) - first[piece]
-    place = (docs[uniq][piece] << 34) + start[uniq][piece] + offset
-    place[offset > n[piece] - window] = np.iinfo(np.int64).max
-    begin, _ = index.ranges(window)
-    heads = np.flatnonzero(begin == np.arange(len(text)))
-    earliest = np.minimum.reduceat(place[index.order], heads)
-
-    who, off, lo, _ = index.matching(text, first, n, window)
-    own = (docs[uniq[who]] << 34) + start[uniq[who]] + off
-    gone = earliest[np.searchsorted(heads, lo, "right") - 1] < own
-    s = start[uniq[who[gone]]] + off[gone]
-    return np.concatenate([doc[uniq[who[gone]]], doc[later]]), np.concatenate([s, start[later]]), np.concatenate([s + window, start[later] + size[later]])
+SHIPPED = "anchor long, seg long, doc long, start int, d0 long, s0 int, words binary"
+
+
+def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (as hashes) of the wanted places."""
+    for batch in batches:
+        for lo, hi in T.slices(batch["text"]):
+            part = batch.slice(lo, hi - lo)
+            w, row, (anchor, seg, start, n, d0, s0) = _wanted(part)
+            size, begin = n.astype(np.int64), w.first[row] + start
+            offsets = T.split_offsets(size)
+            words = w.hashes()[np.repeat(begin - offsets[:-1], size) + np.arange(size.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seg), pa.array(part["doc"].to_numpy()[row]), pa.array(start), pa.array(d0), pa.array(s0), T.binaries(words, offsets)], ["anchor", "seg", "doc", "start", "d0", "s0", "words"])
+
+
+def repeats(anchor: np.ndarray, place: np.ndarray, words: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, offset) of windows that an earlier piece of the same anchor holds.
+
+    Pieces come anchor by anchor in the order of ``place``; those of an equal place do not count as earlier. Equal
+    windows have equal anchors, so anchors need no symbols of their own."""
+    n, size = len(anchor), np.diff(offsets)
+    new, step = np.ones(n, bool), np.zeros(n, bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    step[1:] = ~new[1:] & (place[1:] != place[:-1])
+    head, group, seen = np.flatnonzero(new), np.cumsum(new) - 1, np.cumsum(step)
+    rank = seen - seen[head][group]
+    length = np.maximum.reduceat(rank, head) + 1 if n else rank
+    most = length[group]
+    symbols = np.unique(words, return_inverse=True)[1].astype(np.int64)
+
+    def laid(pieces: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = size[pieces]
+        at = np.repeat(offsets[pieces] - T.split_offsets(k)[:-1], k) + np.arange(k.sum())
+        return (np.repeat(span[pieces], k) << 40) + symbols[at], k
+
+    out, half = [], 1
+    while half < length.max(initial=0):
+        span, late = rank // (2 * half), (rank // half) % 2 == 1
+        early = ~late & ((2 * span + 1) * half < most)  # whose later half is not empty
+        indexed, k = laid(np.flatnonzero(early), span)
+        alphabet, symbol = np.unique(indexed, return_inverse=True)
+        text = np.zeros(len(indexed) + len(k), np.int64)
+        inside = np.ones(len(text), bool)
+        inside[np.cumsum(k + 1) - 1] = False
+        text[inside] = symbol + 1
+        index = FMIndex(text, len(alphabet) + 1, window)
+        pieces = np.flatnonzero(late)
+        streamed, k = laid(pieces, span)
+        place = np.minimum(np.searchsorted(alphabet, streamed), len(alphabet) - 1)
+        who, offset, _ = index.statistics(np.where(alphabet[place] == streamed, place + 1, -1), T.split_offsets(k)[:-1], k)
+        out.append((pieces[who], offset))
+        half *= 2
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    piece, offset = (np.concatenate(x) for x in zip(*out))
+    both = np.unique((piece << 32) + offset)
+    return both >> 32, both & 0xFFFFFFFF
+
+
+FOUND = "anchor long, seg long, d0 long, s0 int, later boolean, a int, b int"
 
 
 def _search(p: Windows):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
+    """Repeated ranges [a, b) of the words of each shipped place, found some ``shard_segments`` places at a time."""
+
+    def chunk(table: pa.Table) -> pa.RecordBatch:
+        anchor, seg, doc, start, d0, s0 = (table[c].to_numpy() for c in ("anchor", "seg", "doc", "start", "d0", "s0"))
         data, at = T.raw(table["words"])
-        d, s, e = repeats(table["doc"].to_numpy(), table["start"].to_numpy().astype(np.int64), np.ascontiguousarray(data).view(np.uint64), at // 8, p.window)
-        if len(d):
-            order = np.lexsort((s, d))
-            d, s, e = d[order], s[order], e[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (s[1:] > e[:-1])
-            head = np.flatnonzero(new)
-            d, s, e = d[head], s[head], np.maximum.reduceat(e, head)
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc", "s", "e"])
+        place = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]))
+        piece, offset = repeats(anchor, place, np.ascontiguousarray(data).view(np.uint64), at // 8, p.window)
+        new = np.ones(len(piece), bool)
+        new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] > offset[:-1] + p.window)
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(piece)) - 1
+        k, a, b = piece[head], offset[head], offset[last] + p.window
+        return pa.RecordBatch.from_arrays(
+            [pa.array(anchor[k]), pa.array(seg[k]), pa.array(d0[k]), pa.array(s0[k]), pa.array((doc[k] != d0[k]) | (start[k] != s0[k])), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
+            ["anchor", "seg", "d0", "s0", "later", "a", "b"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= p.shard_segments:
+                table = pa.Table.from_batches(held)
+                anchor = table["anchor"].to_numpy()
+                cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on in the next batch
+                if cut:
+                    yield chunk(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+                    rows -= cut
+        if held:
+            yield chunk(pa.Table.from_batches(held))
 
     return run
 
 
 def spans(docs: DataFrame, p: Windows = Windows(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, s, e): ranges of words to remove; ranges of a document may overlap. Null ids are the largest long."""
-    spark = docs.sparkSession
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
-    emitted = keyed.mapInArrow(_emit(p), EMITTED)
-    again = emitted.groupBy("anchor").agg(F.count("*").alias("seen"), F.min("seg").alias("s1"), F.max("seg").alias("s2")).filter("seen > 1").select("anchor", (F.col("s1") != F.col("s2")).alias("several"))
-    again = stash(again, "substring-anchors")  # a join of two plain exchanges is one that Spark can split where an anchor is hot
-    shared = stash(emitted.join(again, "anchor"), "substring-segments")
-
-    first = stash(shared.groupBy("anchor", "seg", "several").agg(F.min(F.struct("doc", "start")).alias("f"), F.max("n").alias("n")).select("anchor", "seg", "several", "f.doc", "f.start", "n"), "substring-first")
-    heads = first.select("anchor", "seg", F.col("doc").alias("d0"), F.col("start").alias("s0"))
-    copies = shared.join(heads, ["anchor", "seg"]).filter((F.col("doc") != F.col("d0")) | (F.col("start") != F.col("s0"))).select("doc", F.col("start").alias("s"), (F.col("start") + F.col("n")).cast("int").alias("e"))
-
-    several = first.filter("several")
-    crowded = stash(several.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > p.hot).select("anchor", F.lit(True).alias("hot")), "substring-hot")
-    wanted = several.join(crowded, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    shards = partitions(spark, several.count(), p.shard_segments)
-    shipped = keyed.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_ship(p), SHIPPED)
-    found = shipped.repartition(shards, "key").mapInArrow(_search(p), "doc long, s int, e int")
-    return copies.unionByName(found)
+
+    def recurring(emitted: DataFrame, name: str) -> DataFrame:
+        # written, so that a join of two plain exchanges follows, which Spark can split where an anchor is hot
+        again = stash(emitted.groupBy("anchor").agg(F.count("*").alias("seen")).filter("seen > 1").select("anchor"), f"{name}-anchors")
+        return stash(emitted.join(again, "anchor"), f"{name}-places")
+
+    def different(places: DataFrame, name: str) -> DataFrame:
+        place = F.struct("doc", "start")
+        return stash(places.groupBy("anchor", "seg").agg(F.min(place).alias("first"), F.max(place).alias("later"), F.max("n").alias("n")), f"{name}-segments")
+
+    places = recurring(keyed.mapInArrow(_emit(p), EMITTED), "substring")
+    segs = different(places, "substring")
+    hot = stash(segs.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > p.hot).select("anchor"), "substring-hot")
+    if not hot.isEmpty():
+        wide = places.join(hot, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "seg", "start", "n")).alias("wanted"))
+        single = recurring(keyed.join(wide, "doc").select("doc", "text", "wanted").mapInArrow(_split(p), EMITTED), "substring-windows")
+        segs = segs.join(hot, "anchor", "left_anti").unionByName(different(single, "substring-windows"))
+        places = places.join(hot, "anchor", "left_anti").unionByName(single)
+
+    sent = segs.select("anchor", "seg", "n", F.col("first.doc").alias("d0"), F.col("first.start").alias("s0"), F.explode(F.array_distinct(F.array("first", "later"))).alias("at"))
+    wanted = sent.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("anchor", "seg", F.col("at.start").alias("start"), "n", "d0", "s0")).alias("wanted"))
+    shipped = keyed.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_ship, SHIPPED)
+    shards = partitions(docs.sparkSession, 2 * segs.count(), p.shard_segments)
+    found = stash(shipped.repartition(shards, "anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(_search(p), FOUND), "substring-found")
+    whose = places.join(found, ["anchor", "seg"]).filter(((F.col("doc") != F.col("d0")) | (F.col("start") != F.col("s0"))) == F.col("later"))
+    return whose.select("doc", (F.col("start") + F.col("a")).cast("int").alias("s"), (F.col("start") + F.col("b")).cast("int").alias("e"))
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"

@@ -72,12 +72,44 @@ def test_posterior_table():
 
 def test_substring_dedup(spark, llm_docs):
     want = brute.substring_dedup([(i, t) for i, t, _ in ROWS])
-    for p in (substrings.Windows(), substrings.Windows(hot=1)):
+    for p in (substrings.Windows(), substrings.Windows(hot=1), substrings.Windows(hot=4, shard_segments=30)):
         found = substrings.dedup(llm_docs(ROWS), p)
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()} == want
     assert found.filter("doc_id = 305").first().kept == "spam"  # every later window repeats the first
 
 
+def test_substring_search_is_decided_by_indexes_of_earlier_pieces(monkeypatch):
+    """No piece is in the index that it is streamed through, and an index that finds nothing removes nothing."""
+    import numpy as np
+
+    g, met = np.random.default_rng(3), []
+
+    class Spied(substrings.FMIndex):
+        def __init__(self, text, sigma, depth):
+            super().__init__(text, sigma, depth)
+            self.pieces = {tuple(x[:-1]) for x in np.split(text, np.flatnonzero(text == 0) + 1) if len(x)}
+
+        def statistics(self, text, first, size):
+            met.append((self.pieces, {tuple(text[a : a + n]) for a, n in zip(first, size)}))
+            return super().statistics(text, first, size)
+
+    monkeypatch.setattr(substrings, "FMIndex", Spied)
+    for _ in range(30):
+        anchor = np.sort(g.integers(0, 4, 25))
+        pieces = [(g.integers(0, 3, int(g.integers(4, 9))) + 10 * a).astype(np.uint64) for a in anchor]  # equal windows have equal anchors
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+        got = set(zip(*(x.tolist() for x in substrings.repeats(anchor, np.arange(25), np.concatenate(pieces), offsets, 4))))
+        want, seen = set(), [set() for _ in range(4)]
+        for k, x in enumerate(pieces):
+            windows = [tuple(x[i : i + 4]) for i in range(len(x) - 3)]
+            want |= {(k, i) for i, w in enumerate(windows) if w in seen[anchor[k]]}
+            seen[anchor[k]] |= set(windows)
+        assert got == want
+    assert met
+    monkeypatch.setattr(Spied, "statistics", lambda self, *_: (np.zeros(0, np.int64),) * 3)
+    assert not len(substrings.repeats(anchor, np.arange(25), np.concatenate(pieces), offsets, 4)[0])
+
+
 def test_substring_dedup_null_id_and_repeated_rows(spark, llm_docs):
     text = prose(40)
     found = substrings.dedup(llm_docs([(None, text, "s"), (7, text, "s"), (7, text, "s")]))
@@ -85,28 +117,31 @@ def test_substring_dedup_null_id_and_repeated_rows(spark, llm_docs):
 
 
 def test_fm_index_against_scan():
+    """Rank, select, occurrences and matching statistics, from an index that holds neither text nor suffix order."""
     import numpy as np
 
-    from graphloom.llm.fmindex import FMIndex, WaveletMatrix, suffix_array
+    from graphloom.llm.fmindex import Bits, FMIndex, WaveletMatrix, suffix_order
 
     g = np.random.default_rng(0)
-    for _ in range(40):
-        text = g.integers(0, 5, int(g.integers(3, 60)))
+    flags = g.random(500) < 0.1
+    bits, ones = Bits(flags), np.flatnonzero(flags)
+    assert bits.select(np.arange(len(ones))).tolist() == ones.tolist() and bits.rank(ones).tolist() == list(range(len(ones)))
+    for depth in [2, 3, 5, 7] * 10:
+        text = g.integers(0, 5, int(g.integers(8, 60)))
         text[-1] = 0
-        order = suffix_array(text)
-        assert list(order) == sorted(range(len(text)), key=lambda i: list(text[i:]))
+        order, _ = suffix_order(text, depth)
+        assert list(order) == sorted(range(len(text)), key=lambda i: list(text[i : i + depth]))
         wave = WaveletMatrix(text, 6)
         c, at = g.integers(0, 6, 20), g.integers(0, len(text) + 1, 20)
         assert list(wave.occurrences(c, at)) == [(text[:b] == a).sum() for a, b in zip(c, at)]
-        pieces = [g.integers(1, 6, int(g.integers(1, 8))) for _ in range(6)]
+        index = FMIndex(text, 6, depth)
+        assert not any(isinstance(x, np.ndarray) and len(x) >= len(text) for x in vars(index).values())
+        pieces = [g.integers(1, 6, int(g.integers(1, 14))) for _ in range(6)]
+        pieces[0][0] = -1  # a symbol that the index does not know
         size = np.array([len(p) for p in pieces])
-        found = set(zip(*(x.tolist() for x in FMIndex(text, 6).matching(np.concatenate(pieces), np.cumsum(size) - size, size, 2))))
-        want = set()
-        for i, p in enumerate(pieces):
-            for o in range(len(p) - 1):
-                hit = [r for r in range(len(text)) if list(text[order[r] : order[r] + 2]) == list(p[o : o + 2])]
-                want |= {(i, o, min(hit), max(hit) + 1)} if hit else set()
-        assert found == want
+        found = set(zip(*(x.tolist() for x in index.statistics(np.concatenate(pieces), np.cumsum(size) - size, size))))
+        within = lambda x: sum(list(text[i : i + depth]) == list(x) for i in range(len(text) - depth + 1))
+        assert found == {(i, o, n) for i, p in enumerate(pieces) for o in range(len(p) - depth + 1) if (n := within(p[o : o + depth]))}
 
 
 def test_masks_hit_every_tolerated_window():
