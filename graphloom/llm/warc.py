@@ -123,26 +123,44 @@ def _open(file: str):
     return fs.open_input_file(path)
 
 
+def candidates(data: bytes, upto: int) -> tuple[list[tuple[int, int]], int | None]:
+    """(place, successor) of the record magics before ``upto``, and the place of the first whose header does not end
+    in ``data``. One pass each for magics, blank lines and length fields, whatever the payloads hold."""
+    ends = np.array([m.start() for m in re.finditer(b"\r\n\r\n", data)], np.int64)
+    lengths = [(m.start(), int(m[1])) for m in _LENGTH.finditer(data)]
+    at = np.array([a for a, _ in lengths], np.int64)
+    out, torn = [], None
+    for m in re.finditer(re.escape(MAGIC), data):
+        if (place := m.start()) >= upto:
+            break
+        k = int(np.searchsorted(ends, place))
+        if k == len(ends):
+            torn = place
+            break
+        n = int(np.searchsorted(at, place))
+        if n < len(at) and at[n] < ends[k]:
+            out.append((place, int(ends[k]) + 4 + lengths[n][1] + 4))
+    return out, torn
+
+
 def _candidates(archive: Archive):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, size, lo in zip(*(batch[c].to_pylist() for c in ("file", "size", "lo"))):
-                hi, at, to = min(size, lo + archive.range_bytes), [], []
+                hi, extra = min(size, lo + archive.range_bytes), archive.header_bytes
                 with _open(file) as source:
                     source.seek(lo)
-                    data = source.read(min(size, hi + archive.header_bytes) - lo)
-                    for m in re.finditer(re.escape(MAGIC), data):
-                        if lo + m.start() >= hi:
+                    data = source.read(min(size, hi + extra) - lo)
+                    base, links = lo, []
+                    while True:
+                        found, torn = candidates(data, hi - base)
+                        links += [(a + base, b + base) for a, b in found]
+                        if torn is None or base + len(data) >= size:
                             break
-                        end = data.find(b"\r\n\r\n", m.start())
-                        while end < 0 and lo + len(data) < size:  # a header longer than usual
-                            data += source.read(archive.header_bytes)
-                            end = data.find(b"\r\n\r\n", m.start())
-                        length = _LENGTH.search(data, m.start(), end + 2) if end >= 0 else None
-                        if length:
-                            at.append(lo + m.start())
-                            to.append(lo + end + 4 + int(length[1]) + 4)
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.string()), pa.array([size] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(to, pa.int64())], ["file", "size", "at", "next"])
+                        extra *= 2  # a header longer than usual
+                        base, data = base + torn, data[torn:] + source.read(extra)
+                at, to = (np.array([x[k] for x in links], np.int64) for k in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.string()), pa.array([size] * len(at), pa.int64()), pa.array(at), pa.array(to)], ["file", "size", "at", "next"])
 
     return run
 
@@ -207,12 +225,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(files: DataFrame, archive: Archive = Archive()) -> DataFrame:
-    """The records of archives: ``files`` has ``file`` (a URI) and ``size``."""
+    """The records of archives: ``files`` has ``file`` (a URI) and ``size``. A task for each range, however few bytes its offsets take."""
+    total = files.agg(F.coalesce(F.sum(F.ceil(F.col("size") / archive.range_bytes)), F.lit(0))).first()[0]
+    tasks = max(1, int(total))
     ranges = files.filter("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(archive.range_bytes).cast("long"))).alias("lo"))
-    links = ranges.repartition("file", "lo").mapInArrow(_candidates(archive), "file string, size long, at long, next long")
+    links = ranges.repartition(tasks, "file", "lo").mapInArrow(_candidates(archive), "file string, size long, at long, next long")
     kept = links.groupBy("file").applyInArrow(_chain, "file string, at long, next long")
     spot = F.floor(F.col("at") / archive.range_bytes)
-    return kept.repartition("file", spot).sortWithinPartitions("file", "at").mapInArrow(_read, RECORDS)
+    return kept.repartition(tasks, "file", spot).sortWithinPartitions("file", "at").mapInArrow(_read, RECORDS)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:

@@ -246,6 +246,21 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(df.limit(0), new_folder(spark, "warc"))).count() == 0
 
 
+def test_warc_of_payloads_full_of_magics(spark):
+    """Magics without a blank line cost one pass; headers may go on far behind their range."""
+    import time
+
+    whole = warc.record([("WARC-Type", "response")], warc.MAGIC * 400_000)
+    began = time.time()
+    found, torn = warc.candidates(whole, 1 << 30)
+    assert found[0] == (0, len(whole)) and torn is None and time.time() - began < 10
+    pages = [(k, "http://x/" + "y" * 3000 * k, "magic " + warc.MAGIC.decode() * 200 * k, 7, "z") for k in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, size long, file string")
+    small = warc.Archive(range_bytes=100, header_bytes=10)
+    found = {(r.page_id, r.payload_bytes) for r in warc.read(warc.write(df, new_folder(spark, "warc"), small), small).collect()}
+    assert found == {(k, len(html)) for k, _, html, *_ in pages}
+
+
 def test_pointer_jumping():
     import numpy as np
 
