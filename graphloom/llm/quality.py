@@ -2,15 +2,16 @@
 
 A document's own counts come from one Arrow pass. For the cross-document rule each line is
 normalised (lower case, words joined by one space) and hashed; a line is *frequent* on a host
-when more distinct texts of that host than ``limit`` hold it, ``limit`` being ``max_share``
-of the host's distinct texts but at least ``min_docs`` and, however large the host, at most
-``max_docs``. Copies of one text count once, so a
-document does not lose its lines merely because it was copied. Frequent lines are removed and
-a document is rejected when what is left is under ``min_words`` words or under ``min_left`` of
-its words.
-
-Edge cases: a null text has no words and fails; null hosts form one host; repeated rows each
-get a row; an empty table gives an empty table; other columns are not looked at.
+when more documents of that host than a limit hold it: ``max_docs`` documents, however large the
+host, or ``max_share`` of its documents but at least ``min_docs`` where the host is small.
+Frequent lines are removed from all documents but the host's first (least id) that holds them,
+and a document is rejected when what is left is under ``min_words`` words or under ``min_left``
+of its words. So of a page copied a thousand times one copy stays.
+
+Edge cases: a null text has no words and fails; null hosts form one host; repeated rows count as
+documents of their own and each get a row; rows that share an id are first together; where all
+ids are null any one row is first; ties do not arise, since counts are compared with limits; very
+long texts are taken whole; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +101,6 @@ def _features(rules: Rules):
                 w = T.Words(part["text"])
                 h = w.hashes()
                 at, row, number = _lines(w, n)
-                import pyarrow.compute as pc
-
                 low = T.Words(pc.utf8_lower(part["text"]))
                 low_at, low_row, low_number = _lines(low, n)
                 size = np.diff(np.append(low_at, len(low)))
@@ -132,17 +132,19 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     lines), ``cut`` (numbers of those lines), ``base_failed`` and ``kept``."""
     wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
     found = stash(wanted.mapInArrow(_features(rules), FEATURES).withColumn("uid", F.monotonically_increasing_id()), "quality")
-    lines = found.select("uid", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "text_hash", F.explode("lines").alias("line")).select("uid", "host", "no_host", "text_hash", F.col("line.hash").alias("line_hash"), "line.at", "line.words")
-    hosts = found.groupBy(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host")).agg(F.countDistinct("text_hash").alias("host_docs"))
+    lines = found.select("uid", "doc_id", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.explode("lines").alias("line")).select("uid", "doc_id", "host", "no_host", F.col("line.hash").alias("line_hash"), "line.at", "line.words")
+    hosts = found.groupBy(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host")).agg(F.count("*").alias("host_docs"))
     frequent = (
         lines.groupBy("host", "no_host", "line_hash")
-        .agg(F.countDistinct("text_hash").alias("docs"))
+        .agg(F.countDistinct("uid").alias("docs"), F.min("doc_id").alias("first_id"), F.min("uid").alias("first_uid"))
         .filter(F.col("docs") > rules.min_docs)
         .join(hosts, ["host", "no_host"])
         .filter((F.col("docs") > rules.max_docs) | (F.col("docs") > F.col("host_docs") * rules.max_share))
-        .select("host", "no_host", "line_hash")
+        .select("host", "no_host", "line_hash", "first_id", "first_uid")
     )
-    cut = lines.join(frequent, ["host", "no_host", "line_hash"]).groupBy("uid").agg(F.sum("words").cast("long").alias("n_line_words"), F.sort_array(F.collect_set("at")).alias("cut"))
+    frequent = stash(frequent, "quality-frequent")  # so that the join reads two plain exchanges, which Spark can split at a hot line
+    first = F.when(F.col("first_id").isNull(), F.col("uid") == F.col("first_uid")).otherwise(F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)))
+    cut = lines.join(frequent, ["host", "no_host", "line_hash"]).filter(~first).groupBy("uid").agg(F.sum("words").cast("long").alias("n_line_words"), F.sort_array(F.collect_set("at")).alias("cut"))
     judged = found.drop("lines").join(cut, "uid", "left")
     left = F.col("n_words") - F.coalesce("n_line_words", F.lit(0))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
@@ -197,9 +199,9 @@ line AS (SELECT doc_id, host, no_host, text, unnest(string_split(text, chr(10)))
 lw AS (SELECT *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n, array_to_string(regexp_extract_all(lower(x), '[^\\x20\\x09-\\x0D]+'), ' ') AS norm FROM line),
 l AS (SELECT * FROM lw WHERE n > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM l GROUP BY doc_id),
-hosts AS (SELECT host, no_host, count(DISTINCT text) AS texts FROM d GROUP BY ALL),
-freq AS (SELECT host, no_host, norm FROM (SELECT host, no_host, norm, count(DISTINCT text) AS k FROM l GROUP BY ALL) JOIN hosts USING (host, no_host) WHERE k > 20 AND k > texts * 0.1),
-cut AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_line_words FROM l JOIN freq USING (host, no_host, norm) GROUP BY doc_id),
+hosts AS (SELECT host, no_host, count(*) AS docs FROM d GROUP BY ALL),
+freq AS (SELECT host, no_host, norm, first FROM (SELECT host, no_host, norm, count(DISTINCT doc_id) AS k, min(doc_id) AS first FROM l GROUP BY ALL) JOIN hosts USING (host, no_host) WHERE k > 20 OR (k > 5 AND k > docs * 0.1)),
+cut AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_line_words FROM l JOIN freq USING (host, no_host, norm) WHERE doc_id <> first GROUP BY doc_id),
 f AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_line_words, 0) AS n_line_words

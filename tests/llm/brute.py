@@ -30,19 +30,19 @@ def quality_base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered), failed
 
 
-def quality(rows, min_docs=20, share=0.1):
-    """rows: (doc_id, text, host) -> {index: kept}."""
-    texts, holders = defaultdict(set), defaultdict(set)
+def quality(rows, min_docs=5, max_docs=20, share=0.1):
+    """rows: (doc_id, text, host), distinct ids -> a row each: the base counts and verdict, and whether it is kept."""
+    docs, holders = Counter(h for _, _, h in rows), defaultdict(set)
     norm = lambda line: tuple(words(line.lower()))
-    for _, t, h in rows:
-        texts[h].add(t or "")
+    for d, t, h in rows:
         for line in (t or "").split("\n"):
             if words(line):
-                holders[h, norm(line)].add(t)
+                holders[h, norm(line)].add(d)
+    frequent = {at for at, ids in holders.items() if len(ids) > max_docs or len(ids) > max(min_docs, share * docs[at[0]])}
     out = []
-    for _, t, h in rows:
+    for d, t, h in rows:
         base = quality_base(t)
-        cut = sum(len(words(x)) for x in (t or "").split("\n") if words(x) and (k := len(holders[h, norm(x)])) > min_docs and k > share * len(texts[h]))
+        cut = sum(len(words(x)) for x in (t or "").split("\n") if words(x) and (h, norm(x)) in frequent and d != min(holders[h, norm(x)]))
         left = base[0] - cut
         out.append((*base, not base[5] and left >= 10 and left >= 0.5 * base[0]))
     return out

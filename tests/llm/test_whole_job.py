@@ -24,13 +24,23 @@ def test_rare_toxic_words_keep_their_weight():
 
 
 def test_frequent_lines_of_large_and_small_hosts(spark, llm_docs):
-    """21 of 300 texts (7 %) and 6 of 30 texts share a line, which is more than 20 and more than a tenth; 20 of 300 and 5 of 30 do not count."""
+    """21 of 300 documents (7 %) and 6 of 30 share a line, which is more than 20 and more than a tenth; 20 of 300 and
+    5 of 30 do not count. The first that holds a line keeps it."""
     text = lambda host, k: " ".join(f"{host}{k}x{j}" for j in range(40))
     lines = {("large", k): "shared by many texts" if k < 21 else "shared by some texts" if k < 41 else "" for k in range(300)}
     lines |= {("small", k): "shared by many texts" if k < 6 else "shared by some texts" if k < 11 else "" for k in range(30)}
     rows = [(n, f"{text(*at)}\n{line}", at[0]) for n, (at, line) in enumerate(lines.items())]
     found = {r.doc_id: r.n_line_words for r in quality.judge(llm_docs(rows)).collect()}
-    assert found == {n: 4 * ("many" in t) for n, t, _ in rows}
+    assert found == {n: 4 * ("many" in t and n not in (0, 300)) for n, t, _ in rows}
+
+
+def test_copies_of_a_document_count_and_one_stays(spark, llm_docs):
+    """A page copied 30 times is 30 documents: its lines are frequent, its first copy keeps them. Null ids and hosts too."""
+    page = "\n".join(" ".join(f"p{j}w{k}" for k in range(12)) for j in range(5))
+    rows = [(k, page, "h") for k in range(30)] + [(100 + k, page, "other") for k in range(3)] + [(None, page, None) for _ in range(25)]
+    found = quality.judge(llm_docs(rows))
+    assert sorted(r.doc_id for r in found.filter("kept AND doc_id IS NOT NULL").collect()) == [0, 100, 101, 102]
+    assert found.filter("kept AND doc_id IS NULL").count() == 1
 
 
 def test_one_owners_token_is_live_in_every_repository(spark):
