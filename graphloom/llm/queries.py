@@ -25,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": nearjoin.oracle(),
         "op2_substring_dedup": substrings.oracle(),
+        "op3_decontaminate": decontaminate.oracle(),
         "op7_quality_rules": quality.oracle(),
         "op9_license_scan": licenses.oracle(),
     }

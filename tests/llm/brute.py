@@ -128,3 +128,20 @@ def near_duplicates(rows, least=0.8):
                 r, s = sorted((find(a), find(b)))
                 top[s] = r
     return {d: (find(d), links[d]) for d in ids}
+
+
+def overlaps(docs, items, window=13, share=0.8, shortest=8):
+    """docs, items: (id, text) -> {(doc position, item position): (first word, end word, covered words, item words)}."""
+    mark = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    clean = lambda t: [x for x in (w.strip(mark) for w in words((t or "").lower())) if x]
+    out, texts = {}, [clean(t) for _, t in items]
+    for p, (_, t) in enumerate(docs):
+        d = clean(t)
+        for q, x in enumerate(texts):
+            n, good = min(window, len(x)), []
+            need = len(x) if len(x) < shortest else -(-n * round(share * 100) // 100)
+            for s in range(len(x) - n + 1 if x else 0):
+                good += [(i, s) for i in range(len(d) - n + 1) if sum(d[i + k] == x[s + k] for k in range(n)) >= need]
+            if good:
+                out[p, q] = (min(i for i, _ in good), max(i for i, _ in good) + n, len({s + k for _, s in good for k in range(n)}), len(x))
+    return out

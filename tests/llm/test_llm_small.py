@@ -154,19 +154,51 @@ def test_masks_hit_every_tolerated_window():
 
 
 def test_decontamination(spark, llm_docs):
-    items = [(k, prose(rng.randint(15, 50))) for k in range(12)] + [(50, "too short"), (51, None), (52, " ".join(f"q{k}" for k in range(9)))]
+    items = [(k, prose(rng.randint(15, 50))) for k in range(12)] + [(50, "quite short"), (51, None), (52, " ".join(f"q{k}" for k in range(9)))]
     swap = items[3][1].split()
     swap[4] = swap[9] = "other"
-    rows = [(1, prose(30) + " " + items[0][1].upper() + "! " + prose(10), "s"), (2, prose(50), "s"), (3, " ".join(swap), "s"), (4, None, "s"), (5, "", "s"), (6, f"x {items[14][1]} y", "s"), (7, " ".join(items[5][1].split()[:6]), "s")]
+    rows = [(1, prose(30) + " " + items[0][1].upper() + "! " + prose(10), "s"), (2, prose(50), "s"), (3, " ".join(swap), "s"), (4, None, "s"), (5, "", "s"), (6, f"x {items[14][1]} y", "s"), (7, " ".join(items[5][1].split()[:6]), "s"), (8, "is Quite, short!", "s"), (9, "quite rather short", "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = llm_docs(rows + [rows[0]])
-    assert got(decontaminate.overlaps(docs, bench), "doc_id", "item_id") == [(1, 0), (1, 0), (3, 3), (6, 52)]
-    assert got(decontaminate.overlaps(docs, bench, decontaminate.Rule(block_words=20)), "doc_id", "item_id") == [(1, 0), (1, 0), (3, 3), (6, 52)]
-    assert [i for (i,) in got(decontaminate.clean(docs, bench), "doc_id")] == [2, 4, 5, 7]
+    want = [(1, 0), (1, 0), (3, 3), (6, 52), (8, 50)]
+    assert got(decontaminate.overlaps(docs, bench), "doc_id", "item_id") == want
+    assert got(decontaminate.overlaps(docs, bench, decontaminate.Rule(block_words=20)), "doc_id", "item_id") == want
+    assert [i for (i,) in got(decontaminate.clean(docs, bench), "doc_id")] == [2, 4, 5, 7, 9]
     whole = decontaminate.overlaps(docs, bench).filter("doc_id = 1").first()
     assert whole.n_covered == whole.n_item_words
 
 
+def test_decontamination_against_every_window(spark):
+    """Items of 1 to 40 words, copied with substitutions, cut and joined, into texts over few words; ids null and equal."""
+    r = random.Random(11)
+    some = lambda n: [f"v{r.randrange(30)}" for _ in range(n)]
+    items = [some(n) for n in (1, 2, 4, 5, 6, 7, 8, 9, 12, 13, 14, 20, 40, 40)]
+    docs = []
+    for k in range(60):
+        x = list(r.choice(items))
+        for _ in range(r.randrange(0, 1 + len(x) // 4)):
+            x[r.randrange(len(x))] = "other"
+        docs.append((k if k % 9 else None, " ".join(some(r.randrange(20)) + x[r.randrange(0, 3) :] + some(r.randrange(20))), "z", 3))
+    docs += [(0, None, "z", 3), (1, "", "z", 3), (2, "... !", "z", 3), docs[1], (777, " ".join(" ".join(items[12]) + " , " for _ in range(300)), "z", 3)]
+    tests = [(q if q != 4 else None, " ".join(x), "z") for q, x in enumerate(items)] + [(99, None, "z"), (98, "?!", "z")]
+    want = sorted((docs[p][0] is None, docs[p][0] or 0, tests[q][0] is None, tests[q][0] or 0, *v) for (p, q), v in brute.overlaps([d[:2] for d in docs[:-1]], [t[:2] for t in tests]).items())
+    table = spark.createDataFrame(docs, "doc_id long, text string, item_id string, row int")
+    bench = spark.createDataFrame(tests, "item_id long, text string, doc_id string")
+    for rule in (decontaminate.Rule(), decontaminate.Rule(block_words=30)):
+        found = decontaminate.overlaps(table, bench, rule).collect()
+        assert sorted((d is None, d or 0, i is None, i or 0, *v) for d, i, *v in found if d != 777) == want
+        assert {i for d, i, *_ in found if d == 777} >= {0, 12}
+
+
+def test_a_seed_that_many_items_share(spark):
+    """2,000 items of the same 13 words, found 200 times in a text: 400,000 hits a mask, a portion at a time."""
+    line = [f"u{k}" for k in range(13)]
+    bench = spark.createDataFrame([(k, " ".join(line)) for k in range(2000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(line * 200))], "doc_id long, text string")
+    found = decontaminate.overlaps(docs, bench).agg(F.count("*"), F.min("n_covered"), F.max("end_word")).first()
+    assert tuple(found) == (2000, 13, 2600)
+
+
 def test_mixing_targets_and_flow(spark, llm_docs):
     assert mixing.targets([10, 100, 100], [5, 2, 1], 315, 2) == pytest.approx([20, 295 * 2 / 3 if 295 * 2 / 3 <= 200 else 200, 295 / 3])
     assert mixing.targets([], [], 0, 2) == [] and mixing.targets([0], [5], 0, 2) == [0]
