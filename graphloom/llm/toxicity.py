@@ -4,20 +4,25 @@ A word is the bag of its character n-grams (3 to 5, with word ends) and itself;
 is the weighted mean of its subwords' vectors, and two softmax rows turn it into a probability.
 A subword weighs by the square of how far its toxic log-odds in the training rows are from those
 of all rows, after ``prior`` rows of the usual mixture are added to its own: what both classes
-hold alike weighs nothing, what a few rows of one class hold weighs little, and only what a
-single row holds (``least_rows``), which could only be memorised, is left out. So the toxic words
-of a language with few rows count, however many rows the other languages have. Vectors and softmax are learnt together, so a misspelling that training
-never saw shares most n-grams, and so most of its vector, with the word it stands for. Since all
-is linear up to the softmax, the trained model folds into two numbers for each bucket (share and
-weight), and scoring is a lookup.
-
-Labels: a sample of at most about ``max_rows`` labelled rows (the smallest seeded hashes of
-their ids; every labelled row where there are fewer) is turned into n-gram counts on the
-executors and trained on in the driver. Everything else covers every text as a whole.
+hold alike weighs nothing (under ``least_odds``), what a few rows of one class hold weighs
+little, and only what a single row holds (``least_rows``), which could only be memorised, is left
+out. So the toxic words of a language with few rows count, however many rows the other languages
+have. Rows of the rarer class are taken so many times that both classes weigh the same, which is
+what makes a score of 0.7 mean the same whatever the share of toxic rows. Vectors and softmax are
+learnt together, so a misspelling that training never saw shares most n-grams, and so most of its
+vector, with the word it stands for. Since all is linear up to the softmax, the trained model
+folds into two numbers for each bucket (share and weight), and scoring is a lookup.
+
+Labels: a sample of at most about ``max_rows`` labelled rows and ``max_words`` words (the
+smallest seeded hashes of their ids; every labelled row where there are fewer) is turned into
+n-gram counts on the executors. They also sum up each bucket's rows; the driver turns the sums
+into weights and gets the rows with what weighs something alone. Everything else covers every
+text as a whole.
 
 Edge cases: a text without words scores the model's bias alone; null labels and labelled ids
 without a document are not trained on; without any label all scores are 0.5; repeated rows
-each get a row.
+each get a row, equal texts equal scores; very long texts are scored whole; columns other than
+those named are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
+from .workspace import stash
 
 
 @dataclass(frozen=True)
@@ -41,6 +47,7 @@ class Model:
     least: int = 3
     most: int = 5
     max_rows: int = 5000
+    max_words: int = 2_500_000
     epochs: int = 8
     least_steps: int = 400
     batch: int = 64
@@ -48,12 +55,10 @@ class Model:
     decay: float = 1e-2
     least_rows: int = 2
     prior: float = 50
+    least_odds: float = 0.1
     seed: int = 5
 
 
-_SPACES = np.array([32, 9, 10, 11, 12, 13], np.uint32)
-
-
 def words_of(column: pa.Array) -> tuple[np.ndarray, ...]:
     """Code points of lower-cased texts, and start, end and row of each word."""
     texts = [t or "" for t in pc.utf8_lower(column).to_pylist()]
@@ -94,6 +99,14 @@ def subwords(column: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
     return row, which, np.concatenate(bucket), np.concatenate(of)
 
 
+BAGS = "doc_id long, label long, rank long, n_words long, bag array<int>, weight array<float>"
+
+
+def _listed(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    values = pa.array(np.concatenate(parts) if parts else [], kind)
+    return pa.ListArray.from_arrays(pa.array(T.split_offsets(np.array([len(x) for x in parts], np.int64)).astype(np.int32)), values)
+
+
 def _bags(model: Model):
     """Texts as sparse rows: bucket numbers and their weights, which add up to 1."""
 
@@ -113,41 +126,74 @@ def _bags(model: Model):
                     pick = order[np.repeat(bounds[words] - T.split_offsets(n)[:-1], n) + np.arange(n.sum())] if len(words) else np.zeros(0, np.int64)
                     b, back = np.unique(bucket[pick], return_inverse=True)
                     w = np.bincount(back, np.repeat(count, n) * share[of[pick]], minlength=len(b)) / max(1, count.sum())
-                    bags.append(b.astype(np.int32).tobytes())
-                    weights.append(w.astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], pa.array(bags, pa.binary()), pa.array(weights, pa.binary())], ["doc_id", "label", "bag", "weight"])
+                    bags.append(b.astype(np.int32))
+                    weights.append(w.astype(np.float32))
+                n_words = pa.array(np.bincount(row, minlength=part.num_rows))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], part["rank"], n_words, _listed(bags, pa.int32()), _listed(weights, pa.float32())], ["doc_id", "label", "rank", "n_words", "bag", "weight"])
 
     return run
 
 
-def evidence(bags: list[np.ndarray], labels: np.ndarray, model: Model) -> np.ndarray:
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and weight of each entry of a batch's bags."""
+    n = np.diff(batch["bag"].offsets.to_numpy())
+    return np.repeat(np.arange(batch.num_rows), n), batch["bag"].flatten().to_numpy(), batch["weight"].flatten().to_numpy()
+
+
+def _tally(model: Model):
+    """A task's sums: how many of its rows hold each bucket, and how many of those are toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, toxic = np.zeros(model.buckets, np.int64), np.zeros(model.buckets, np.int64)
+        for batch in batches:
+            row, bucket, _ = _flat(batch)
+            np.add.at(held, bucket, 1)
+            np.add.at(toxic, bucket, batch["label"].to_numpy()[row])
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some]), pa.array(toxic[some])], ["bucket", "held", "toxic"])
+
+    return run
+
+
+def _weighed(shared):
+    """Bags without what weighs nothing; the weights of what is left add up to 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = shared.value
+        for batch in batches:
+            row, bucket, v = _flat(batch)
+            v = v * weight[bucket]
+            some = np.flatnonzero(v > 0)
+            row, bucket, v = row[some], bucket[some], v[some]
+            v = v / np.maximum(np.bincount(row, v, batch.num_rows), 1e-12)[row]
+            at = T.split_offsets(np.bincount(row, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], T.binaries(bucket.astype(np.int32), at), T.binaries(v.astype(np.float32), at)], ["doc_id", "label", "bag", "weight"])
+
+    return run
+
+
+def evidence(held: np.ndarray, toxic: np.ndarray, rows: int, toxic_rows: int, model: Model) -> np.ndarray:
     """Each bucket's weight: its squared log-odds of being toxic, shrunk and relative to all rows'."""
-    held, toxic = np.zeros(model.buckets), np.zeros(model.buckets)
-    for x, y in zip(bags, labels):
-        held[x] += 1
-        toxic[x] += y
-    usual = (labels.sum() + 0.5) / (len(labels) + 1)
+    usual = (toxic_rows + 0.5) / (rows + 1)
     odds = np.log((toxic + model.prior * usual) / (held - toxic + model.prior * (1 - usual))) - np.log(usual / (1 - usual))
-    return np.where(held >= model.least_rows, odds**2, 0)
+    return np.where((held >= model.least_rows) & (np.abs(odds) >= model.least_odds), odds**2, 0)
 
 
-def train(bags: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, float]:
+def train(bags: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, float]:
     """Vectors and softmax by Adagrad on minibatches; returns each bucket's weight, its weighted log-odds, and the bias."""
-    weight = evidence(bags, labels, model)
-    for i, (x, v) in enumerate(zip(bags, weights)):
-        v = v * weight[x]
-        some = v > 0
-        bags[i], weights[i] = x[some], (v[some] / max(v.sum(), 1e-12)).astype(np.float32)
     rng = np.random.default_rng(model.seed)
     e = rng.standard_normal((model.buckets, model.dim), np.float32)
     e *= np.float32(0.1)
     w = rng.normal(0, 0.5, (2, model.dim)).astype(np.float32)
     b = np.zeros(2, np.float32)
     ge, gw, gb = np.full(model.buckets, 1e-6, np.float32), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
-    n = len(labels)
+    count = np.bincount(labels, minlength=2)
+    times = np.where(count[labels] == count.max(), 1, max(1, round(count.max() / max(1, count.min()))))
+    rows = np.repeat(np.arange(len(labels)), times)
+    n = len(rows)
     scale = np.float32(np.mean([np.sqrt((x**2).sum()) for x in weights if len(x)] or [1]))
     for _ in range(max(model.epochs, -(-model.least_steps // max(1, -(-n // model.batch))))):
-        order = rng.permutation(n)
+        order = rows[rng.permutation(n)]
         for lo in range(0, n, model.batch):
             pick = [i for i in order[lo : lo + model.batch] if len(bags[i])]
             if not pick:
@@ -194,12 +240,26 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model = Model(), doc_id="doc_
     if usable is not None:
         known = known.filter(usable(F.col("doc_id")))
     rank = F.pmod(F.xxhash64(F.lit(model.seed), "doc_id"), F.lit(1 << 30))
-    count = known.count()
+    known, count = known.withColumn("rank", rank), known.count()
+    least = 1 << 30
     if count > model.max_rows:
-        known = known.filter(rank < int((1 << 30) * model.max_rows / count))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("doc_id", "text", "label").mapInArrow(_bags(model), "doc_id long, label long, bag binary, weight binary").toArrow()
-    if not rows.num_rows:
+        least = int(least * model.max_rows / count)
+        known = known.filter(F.col("rank") < least)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("doc_id", "text", "label", "rank")
+    bags = stash(texts.mapInArrow(_bags(model), BAGS), "toxicity-bags")
+    words = bags.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    if words > model.max_words:
+        bags = bags.filter(F.col("rank") < int(least * model.max_words / words))
+    n, n_toxic = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not n:
         return np.zeros(model.buckets), np.zeros(model.buckets), 0.0
+    tally = bags.select("label", "bag", "weight").mapInArrow(_tally(model), "bucket long, held long, toxic long").groupBy("bucket").agg(F.sum("held").alias("held"), F.sum("toxic").alias("toxic")).filter(F.col("held") >= model.least_rows).toArrow()  # a row a bucket at most
+    held, toxic = np.zeros(model.buckets), np.zeros(model.buckets)
+    for sums, name in ((held, "held"), (toxic, "toxic")):
+        sums[tally["bucket"].to_numpy()] = tally[name].to_numpy()
+    weight = evidence(held, toxic, n, n_toxic, model)
+    shared = docs.sparkSession.sparkContext.broadcast(weight)
+    rows = bags.mapInArrow(_weighed(shared), "doc_id long, label long, bag binary, weight binary").toArrow()
     # views into what was collected, in an order that no partitioning changes
     views = []
     for name, kind in (("bag", np.int32), ("weight", np.float32)):
@@ -208,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model = Model(), doc_id="doc_
         views.append([data[a:b].view(kind) for a, b in zip(at[:-1], at[1:])])
     ids, labels = rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(int)
     order = sorted(range(len(ids)), key=lambda i: (ids[i], len(views[0][i]), views[0][i].tobytes()[:64]))
-    return train([views[0][i] for i in order], [views[1][i] for i in order], labels[order], model)
+    return train([views[0][i] for i in order], [views[1][i] for i in order], labels[order], weight, model)
 
 
 def score(docs: DataFrame, fitted: tuple[np.ndarray, np.ndarray, float], model: Model = Model(), doc_id="doc_id", text="text") -> DataFrame:

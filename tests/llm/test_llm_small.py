@@ -389,6 +389,20 @@ def test_toxicity_learns_and_generalises(spark):
     assert {x.score for x in none.collect()} == {0.5}
 
 
+def test_toxicity_of_long_texts_ties_and_clashing_columns(spark):
+    """A bag of another row's words scores alike; equal texts tie; a bounded sample still learns."""
+    r = random.Random(2)
+    plain = lambda: " ".join(f"{r.choice('abcdefgh')}{r.choice('aeiou')}{r.choice('lmnrst')}a" for _ in range(40))
+    data = [(k, plain() + (" scumbag moron" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(300)]
+    long = plain() + " scumbag moron" * 60_000
+    docs = spark.createDataFrame([(k, t, 9, 9.0, "x", 1) for k, t, _ in [*data, (1000, long, 0), (1001, data[0][1], 0), (1001, data[0][1], 0), (None, data[0][1], 0)]], "doc_id long, text string, label int, score double, bag string, rank int")
+    labels = spark.createDataFrame([(k, y, 5) for k, _, y in data] + [(0, 1, 6)], "doc_id long, toxic int, label int")
+    for model in (toxicity.Model(), toxicity.Model(max_words=6000)):
+        found = [(x.doc_id, x.score) for x in toxicity.score(docs, toxicity.fit(docs, labels, model), model).collect()]
+        by = dict(found)
+        assert len(found) == 304 and by[1000] > 0.7 and by[0] == by[1001] == by[None] > 0.5
+
+
 def test_empty_tables(spark, llm_docs):
     none = llm_docs([(1, "x", "s")]).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")

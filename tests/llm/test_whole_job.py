@@ -16,8 +16,14 @@ def test_rare_toxic_words_keep_their_weight():
     for k in range(0, 60, 10):
         bags[k] = sorted({*r.sample(range(600), 20), *range(900, 905)})
     bags = [np.array(b, np.int32) for b in bags]
-    weights = [np.full(len(b), 1 / len(b), np.float32) for b in bags]
-    weight, odds, bias = toxicity.train(bags, weights, labels, model)
+    held, toxic = np.zeros(model.buckets), np.zeros(model.buckets)
+    for b, y in zip(bags, labels):
+        held[b] += 1
+        toxic[b] += y
+    given = toxicity.evidence(held, toxic, len(labels), labels.sum(), model)
+    bags = [b[given[b] > 0] for b in bags]
+    weights = [(given[b] / given[b].sum()).astype(np.float32) for b in bags]
+    weight, odds, bias = toxicity.train(bags, weights, labels, given, model)
     assert (weight[900:905] > 0).all()
     unseen = np.array([*r.sample(range(600), 20), *range(900, 905)])
     assert odds[unseen].sum() / weight[unseen].sum() + bias > 0
