@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .workspace import n_words, stash
+from .workspace import discard, n_words, stash
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def decide(docs: DataFrame, text: str = "text", sources=None, plan: Mix = Mix(),
     held = F.array(F.col("source").cast("string")) if sources is None else sources
     sized = docs.select(*keys, n_words(text).alias("size"), F.array_sort(F.array_distinct(held)).alias("pattern"), F.xxhash64(F.lit(plan.seed), *(seeded or keys), F.col(text)).alias("seeded"))
     # a pattern as text: an array with a null is not equal to itself in a join
-    sized = stash(sized.select(*keys, "size", F.to_json(F.struct(F.col("pattern").alias("p"))).alias("pk"), "seeded", "pattern").withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
+    sizes_of = sized = stash(sized.select(*keys, "size", F.to_json(F.struct(F.col("pattern").alias("p"))).alias("pk"), "seeded", "pattern").withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
 
     sums = sized.groupBy("pk", "pattern").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(plan.max_patterns + 1).collect()
     if len(sums) > plan.max_patterns:
@@ -160,18 +160,21 @@ def decide(docs: DataFrame, text: str = "text", sources=None, plan: Mix = Mix(),
     while 64**digits * plan.edge_rows < sum(r.rows for r in sums):
         digits += 1
     sized = sized.withColumn("bucket", F.pmod("seeded", F.lit(64**digits)))
+    cuts = []
     cut = fate.filter("part > 0").select("pk", "part", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("last"))
     for k in reversed(range(digits)):
         here = sized.join(cut, "pk").filter(F.floor(F.col("bucket") / 64 ** (k + 1)) == F.col("last"))
         each = here.groupBy("pk", "part", "before", F.floor(F.col("bucket") / 64**k).alias("digit")).agg(F.sum("size").alias("words"))  # at most 64 a pattern
         upto = each.withColumn("begin", F.col("before") + F.sum("words").over(Window.partitionBy("pk").orderBy("digit")) - F.col("words"))
         cut = stash(upto.filter((F.col("begin") < F.col("part")) & (F.col("part") <= F.col("begin") + F.col("words"))).select("pk", "part", F.col("begin").alias("before"), F.col("digit").alias("last")), "mix-cut")
+        cuts.append(cut)
 
     placed = sized.join(fate, "pk", "left").join(cut.select("pk", "before", "last"), "pk", "left")
     edge = placed.filter(F.col("bucket") == F.col("last")).select("uid", "pk", "size", "part", "before", "seeded", *keys)
     run = F.col("before") + F.sum("size").over(Window.partitionBy("pk").orderBy("seeded", *keys, "uid"))
     inside = edge.withColumn("run", run).filter(F.col("run") <= F.col("part")).select("uid", F.lit(True).alias("in_edge"))
     chosen = stash(placed.join(inside, "uid", "left").withColumn("more", F.coalesce(F.col("bucket") < F.col("last"), F.lit(False)) | F.coalesce("in_edge", F.lit(False))).drop("in_edge", "before", "last", "bucket"), "mix-chosen")
+    discard(sizes_of, *cuts)
 
     # a row for each pattern comes to the driver, as above
     gaps = {r.pk: r.gap for r in chosen.groupBy("pk").agg((F.max("part") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("gap")).filter("gap > 0").collect()}

@@ -11,16 +11,20 @@ similarity reaches 0.8 is P(Bin(n+1, 0.8) <= m), and the pair is dropped once th
 
 Where pairs meet. Every band bucket gives one edge from each member to its least member, and the
 components of those edges are the *neighbourhoods* outside which no candidate exists. A
-neighbourhood of up to ``block`` texts is compared in one place. Members of a larger one are
-compared bucket by bucket, each pair in the first band it shares; a bucket of more than
-``block`` members is cut into blocks and each pair of blocks is a group of its own. So every
-candidate pair is looked at exactly once, no pair is written out, and no group outgrows a task:
-groups return one row a document, its number of links and the least document it connects to.
+neighbourhood of up to ``block`` texts and ``block_words`` words is compared in one place.
+Members of a larger one are compared bucket by bucket, each pair in the first band it shares; a
+bucket beyond those bounds is cut into blocks and each pair of blocks is a group of its own. So
+every candidate pair is looked at exactly once, no pair is written out, and no group outgrows a
+task: groups return one row a document, its number of links and the least document it connects to.
+
+Groups meet twice. First with signatures alone, 384 bytes a text: a text that the pruning leaves
+without a partner in a group goes no further. Only the others' texts are fetched and compared.
 
 Edge cases: texts of one to four words have one shingle, all their words; texts without words
 (null too) match nothing; repeated rows are copies of each other; rows that share an id are told
 apart by their words; null ids count as ids, and a class of such rows alone has a null class id;
-an empty table gives an empty table.
+ties do not arise, classes being least ids; very long texts are taken whole; an empty table gives
+an empty table; columns other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as T
 from .graph import components
-from .workspace import stash
+from .workspace import discard, partitions, stash
 
 
 @dataclass(frozen=True)
@@ -47,8 +51,10 @@ class Join:
     rows: int = 4
     step: int = 16
     tolerance: float = 1e-6
-    block: int = 1000
+    block: int = 500
+    block_words: int = 400_000
     chunk_bytes: int = 6 << 20
+    group_rows: int = 500
     seed: int = 11
 
     @property
@@ -227,45 +233,68 @@ def _least_connected(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) ->
         top = new
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], full) -> Iterator[pa.Table]:
+    """Rows in order of ``gid``, whole groups at a time, as soon as ``full`` (rows, bytes) says so."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows and full(rows, size):
+            table = pa.Table.from_batches(held)
+            gid = table["gid"].to_numpy()
+            cut = int(np.searchsorted(gid, gid[-1]))  # the last group may go on in the next batch
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).combine_chunks().to_batches()
+                rows, size = sum(x.num_rows for x in held), sum(x.nbytes for x in held)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _signatures(table: pa.Table, join: Join) -> np.ndarray:
+    return np.ascontiguousarray(T.raw(table["sig"])[0]).view(np.uint32).reshape(-1, join.hashes)
+
+
+def _pairs(table: pa.Table, sig: np.ndarray, join: Join) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of some groups that the pruning leaves."""
+    cross = table["bi"].to_numpy() != table["bj"].to_numpy()
+    for i, j in candidate_pairs(table["gid"].to_numpy(), band_keys(sig, join), table["band"].to_numpy(), table["block"].to_numpy(), cross):
+        yield prune(sig, i, j, join)
+
+
+GROUPED = "gid long, band int, block int, bi int, bj int, rep long, n long, sig binary"
+
+
+def _partnered(join: Join):
+    """Rows that the pruning leaves with a partner in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_group(batches, lambda rows, size: rows >= 4 * join.block):
+            keep = np.zeros(table.num_rows, bool)
+            for i, j in _pairs(table, _signatures(table, join), join):
+                keep[i] = keep[j] = True
+            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
 def _compare(join: Join):
     names = ("rep", "links", "root", "alone")
 
-    def chunk(rows: pa.Table) -> pa.RecordBatch:
-        text = rows["text"].combine_chunks()
-        n = rows.num_rows
-        g, row = shingles(T.Words(text), join.words)
-        sig = minhash(g, row, n, join)
-        rep, copies = rows["rep"].to_numpy(), rows["n"].to_numpy()
-        sets, links, found = Sets(g, row, n), np.zeros(n), []
-        cross = rows["bi"].to_numpy() != rows["bj"].to_numpy()
-        for i, j in candidate_pairs(rows["gid"].to_numpy(), band_keys(sig, join), rows["band"].to_numpy(), rows["block"].to_numpy(), cross):
-            i, j = prune(sig, i, j, join)
-            ok = sets.linked(i, j, join.least)
-            i, j = i[ok], j[ok]
-            links += np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-            found.append((i, j))
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*found)) or [(), ()]))
-        some = np.flatnonzero(links)
-        root = _least_connected(n, i, j, rep)
-        return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some]), pa.array(rows["band"].to_numpy()[some] < 0)], names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for lo, hi in T.slices(batch["text"], join.chunk_bytes // 2):
-                part = batch.slice(lo, hi - lo)
-                held.append(part)
-                size += part.nbytes
-                if size > join.chunk_bytes:
-                    table = pa.Table.from_batches(held)
-                    gid = table["gid"].to_numpy()
-                    cut = int(np.searchsorted(gid, gid[-1]))  # the last group may go on in the next batch
-                    if cut:
-                        yield chunk(table.slice(0, cut))
-                        held = table.slice(cut).combine_chunks().to_batches()
-                        size = sum(x.nbytes for x in held)
-        if held:
-            yield chunk(pa.Table.from_batches(held))
+        pieces = (batch.slice(lo, hi - lo) for batch in batches for lo, hi in T.slices(batch["text"], join.chunk_bytes // 2))
+        for table in _by_group(pieces, lambda rows, size: size > join.chunk_bytes):
+            n, rep, copies = table.num_rows, table["rep"].to_numpy(), table["n"].to_numpy()
+            sets, links, found = Sets(*shingles(T.Words(table["text"].combine_chunks()), join.words), n), np.zeros(n), []
+            for i, j in _pairs(table, _signatures(table, join), join):
+                ok = sets.linked(i, j, join.least)
+                i, j = i[ok], j[ok]
+                links += np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+                found.append((i, j))
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*found)) or [(), ()]))
+            some = np.flatnonzero(links)
+            root = _least_connected(n, i, j, rep)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some]), pa.array(table["band"].to_numpy()[some] < 0)], names)
 
     return run
 
@@ -286,35 +315,44 @@ def _verify_words(join: Join):
 def resolve(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: ``uid``, ``doc_id``, ``w1``, ``w2`` (hashes of its words), ``root`` (least uid
     of its near-duplicate class), ``class_id`` (least doc_id of it) and ``n_links`` (documents it is linked to)."""
+    spark = docs.sparkSession
     wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stash(wanted.mapInArrow(_sign(join), SIGNED).withColumn("uid", F.monotonically_increasing_id()), "near-signatures")
     worded = signed.filter("n_words > 0")
-    classes = stash(worded.groupBy("w1", "w2").agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "near-classes")
-    reps = worded.join(classes.select(F.col("rep").alias("uid"), "rep"), "uid", "left_semi").select(F.col("uid").alias("rep"), "sig")
+    classes = stash(worded.groupBy("w1", "w2").agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("n_words").alias("words")), "near-classes")
+    reps = worded.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), "sig")
     bands = reps.mapInArrow(_explode_bands(join), "rep long, band int, key long")
     shared = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     members = stash(bands.join(shared, "key"), "near-bands")  # only buckets of two or more
     # a text and all its buckets' leaders meet at the least of them: a first round that needs no join
     star = members.groupBy("rep").agg(F.min("leader").alias("v"), F.collect_set("leader").alias("leaders"))
-    near = components(star.select(F.explode(F.array_union("leaders", F.array("rep"))).alias("u"), "v"))
-    near = near.unionByName(near.select(F.col("root").alias("u"), "root").distinct())
-    sizes = near.groupBy("root").agg(F.count("*").alias("around"))
-    active = stash(near.join(sizes, "root").select(F.col("u").alias("rep"), F.col("root").alias("hood"), "around"), "near-active")
-
-    named = active.join(signed.select(F.col("uid").alias("rep"), "doc_id", "w1", "w2"), "rep").join(classes.select("rep", "n"), "rep")
-    texts = named.withColumnRenamed("doc_id", "own_id").join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).drop("own_id", "doc_id")
-    schema = texts.schema
-    # rows that repeat an id and its words would meet themselves
-    texts = texts.mapInArrow(_verify_words(join), schema).dropDuplicates(["rep"]) if _repeats(signed) else texts
+    edges = components(star.select(F.explode(F.array_union("leaders", F.array("rep"))).alias("u"), "v"))
+    near = edges.unionByName(edges.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "rep").join(classes.select("rep", "n", "words"), "rep")
+    sizes = near.groupBy("root").agg(((F.count("*") > join.block) | (F.sum("words") > join.block_words)).alias("large"))
+    active = stash(near.join(sizes, "root").select("rep", F.col("root").alias("hood"), "n", "words", "large"), "near-active")
+
     none = F.lit(0)
-    small = texts.filter(F.col("around") <= join.block).select(F.col("hood").alias("gid"), F.lit(-1).alias("band"), none.alias("block"), none.alias("bi"), none.alias("bj"), "rep", "n", "text")
-    grouped = small
-    if active.filter(F.col("around") > join.block).limit(1).count():
-        large = members.join(active.filter(F.col("around") > join.block).select("rep"), "rep").select("rep", "key", "band", F.ceil(F.col("size") / join.block).cast("int").alias("blocks"))
-        spread = large.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("rep", "band", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("gid"))
-        grouped = small.unionByName(texts.select("rep", "n", "text").join(spread, "rep").select(small.columns))
-    met = stash(grouped.repartition("gid").sortWithinPartitions("gid").mapInArrow(_compare(join), "rep long, links long, root long, alone boolean"), "near-links")
+    grouped = active.filter("NOT large").select(F.col("hood").alias("gid"), F.lit(-1).alias("band"), none.alias("block"), none.alias("bi"), none.alias("bj"), "rep", "n")
+    if not active.filter("large").isEmpty():
+        large = members.join(active.filter("large").select("rep", "n", "words"), "rep").select("rep", "n", "words", "key", "band")
+        cut = large.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / join.block), F.ceil(F.sum("words") / join.block_words)).cast("int").alias("blocks"))
+        spread = large.join(stash(cut, "near-blocks"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("gid"), "band", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "n")
+        grouped = grouped.unionByName(spread)
+    grouped = stash(grouped, "near-groups")
+    discard(edges, members, active)
+    # numbers of partitions follow the rows: these tasks take time by pairs, not by bytes
+    met = grouped.join(reps, "rep").select("gid", "band", "block", "bi", "bj", "rep", "n", "sig").repartition(partitions(spark, grouped.count(), join.group_rows), "gid").sortWithinPartitions("gid")
+    partnered = stash(met.mapInArrow(_partnered(join), GROUPED), "near-partnered")
+    discard(grouped)
+
+    fetch = partnered.select("rep").distinct().join(signed.select(F.col("uid").alias("rep"), F.col("doc_id").alias("own_id"), "w1", "w2"), "rep")
+    texts = fetch.join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("rep", "w1", "w2", "text")
+    if _repeats(signed):  # rows that repeat an id and its words would meet themselves
+        texts = texts.mapInArrow(_verify_words(join), texts.schema).dropDuplicates(["rep"])
+    met = partnered.join(texts.select("rep", "text"), "rep").repartition(partitions(spark, partnered.count(), join.group_rows), "gid").sortWithinPartitions("gid")
+    met = stash(met.mapInArrow(_compare(join), "rep long, links long, root long, alone boolean"), "near-links")
+    discard(partnered)
 
     linked = met.groupBy("rep").agg(F.sum("links").alias("links"))
     settled = met.filter("alone").select("rep", "root")

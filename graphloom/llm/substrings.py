@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as T
 from .fmindex import FMIndex
-from .workspace import partitions, stash
+from .workspace import discard, partitions, stash
 
 
 @dataclass(frozen=True)
@@ -236,7 +236,9 @@ def spans(docs: DataFrame, p: Windows = Windows(), doc_id: str = "doc_id", text:
     def recurring(emitted: DataFrame, name: str) -> DataFrame:
         # written, so that a join of two plain exchanges follows, which Spark can split where an anchor is hot
         again = stash(emitted.groupBy("anchor").agg(F.count("*").alias("seen")).filter("seen > 1").select("anchor"), f"{name}-anchors")
-        return stash(emitted.join(again, "anchor"), f"{name}-places")
+        out = stash(emitted.join(again, "anchor"), f"{name}-places")
+        discard(again)
+        return out
 
     def different(places: DataFrame, name: str) -> DataFrame:
         place = F.struct("doc", "start")
@@ -244,11 +246,13 @@ def spans(docs: DataFrame, p: Windows = Windows(), doc_id: str = "doc_id", text:
 
     places = recurring(keyed.mapInArrow(_emit(p), EMITTED), "substring")
     segs = different(places, "substring")
+    tables = [segs]
     hot = stash(segs.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > p.hot).select("anchor"), "substring-hot")
     if not hot.isEmpty():
         wide = places.join(hot, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "seg", "start", "n")).alias("wanted"))
         single = recurring(keyed.join(wide, "doc").select("doc", "text", "wanted").mapInArrow(_split(p), EMITTED), "substring-windows")
-        segs = segs.join(hot, "anchor", "left_anti").unionByName(different(single, "substring-windows"))
+        tables += [different(single, "substring-windows")]
+        segs = segs.join(hot, "anchor", "left_anti").unionByName(tables[1])
         places = places.join(hot, "anchor", "left_anti").unionByName(single)
 
     sent = segs.select("anchor", "seg", "n", F.col("first.doc").alias("d0"), F.col("first.start").alias("s0"), F.explode(F.array_distinct(F.array("first", "later"))).alias("at"))
@@ -256,6 +260,7 @@ def spans(docs: DataFrame, p: Windows = Windows(), doc_id: str = "doc_id", text:
     shipped = keyed.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_ship, SHIPPED)
     shards = partitions(docs.sparkSession, 2 * segs.count(), p.shard_segments)
     found = stash(shipped.repartition(shards, "anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(_search(p), FOUND), "substring-found")
+    discard(*tables)
     whose = places.join(found, ["anchor", "seg"]).filter(((F.col("doc") != F.col("d0")) | (F.col("start") != F.col("s0"))) == F.col("later"))
     return whose.select("doc", (F.col("start") + F.col("a")).cast("int").alias("s"), (F.col("start") + F.col("b")).cast("int").alias("e"))
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .workspace import stash
+from .workspace import discard, stash
 
 
 @dataclass(frozen=True)
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model = Model(), doc_id="doc_
         least = int(least * model.max_rows / count)
         known = known.filter(F.col("rank") < least)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("doc_id", "text", "label", "rank")
-    bags = stash(texts.mapInArrow(_bags(model), BAGS), "toxicity-bags")
+    whole = bags = stash(texts.mapInArrow(_bags(model), BAGS), "toxicity-bags")
     words = bags.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     if words > model.max_words:
         bags = bags.filter(F.col("rank") < int(least * model.max_words / words))
@@ -260,6 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: Model = Model(), doc_id="doc_
     weight = evidence(held, toxic, n, n_toxic, model)
     shared = docs.sparkSession.sparkContext.broadcast(weight)
     rows = bags.mapInArrow(_weighed(shared), "doc_id long, label long, bag binary, weight binary").toArrow()
+    discard(whole)
     # views into what was collected, in an order that no partitioning changes
     views = []
     for name, kind in (("bag", np.int32), ("weight", np.float32)):

@@ -7,6 +7,7 @@ folder made. Tables are plain Parquet, so a lost executor costs a re-read and no
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a new one only where the session has none."""
+    """The folder that driver and executors share; where the session names none, a new one on a single machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,11 +48,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stashed table that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graphloom/" in path:
-            remove(df.sparkSession, path)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stashed tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/graphloom/" in path:
+                remove(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:

@@ -51,8 +51,8 @@ def test_near_duplicates_in_blocks(spark, llm_docs):
     rows = near + ROWS[30:40] + [(1000 + k, near[5][1], "s") for k in range(3)]
     rows = [(n, t, s) for n, (_, t, s) in enumerate(rows)]
     want = brute.near_duplicates([(i, t) for i, t, _ in rows])
-    for block in (7, 1000):
-        found = nearjoin.resolve(llm_docs(rows), nearjoin.Join(block=block, chunk_bytes=20_000))
+    for join in (nearjoin.Join(block=7, chunk_bytes=20_000), nearjoin.Join(block=1000, chunk_bytes=20_000), nearjoin.Join(block_words=900)):
+        found = nearjoin.resolve(llm_docs(rows), join)
         assert {r.doc_id: (r.class_id, r.n_links) for r in found.collect()} == want
 
 
