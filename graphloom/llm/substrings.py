@@ -12,15 +12,16 @@ that holds all segments of some anchors decides their windows alone.
    are unique. Counts are aggregated before the exchange.
 2. An anchor with more than ``hot`` different segments is split: each of its windows becomes a
    segment and an anchor of its own, so nothing but equal windows meets under it.
-3. Of each different segment two places go to a shard with their words, the first and, where the
-   segment recurs, one later place that stands for all the later ones. So a passage that a third
-   of all documents hold reaches its shard twice.
+3. Of each different segment its words go to a shard once, as two pieces: that of the first place
+   and, where the segment recurs, that of one later place, which stands for all the later ones.
+   So a passage that a third of all documents hold reaches its shard once.
 4. A shard's anchors hold their pieces in corpus order. They are halved again and again: the
    earlier half of a span of pieces becomes the index's text, the later half is streamed through
    the index, and the windows whose matching statistics reach ``window`` start earlier. All spans
    of a length share one index, each with symbols of its own, so a streamed piece meets nothing
-   but the pieces of its own span. Every two pieces of an anchor meet once; no piece is in the
-   index that it is streamed through.
+   but the pieces of its own span; words that only one half of a span holds are left out, since
+   no common window has them. Every two pieces of an anchor meet once; no piece is in the index
+   that it is streamed through.
 5. The intervals found go back to all places of their segment by its hash.
 
 Shards are read anchor by anchor and indexed ``shard_segments`` pieces at a time, so neither
@@ -128,19 +129,30 @@ def _split(p: Windows):
     return run
 
 
-SHIPPED = "anchor long, seg long, doc long, start int, d0 long, s0 int, words binary"
+SHIPPED = "anchor long, seg long, d0 long, s0 int, d1 long, s1 int, words binary"
 
 
 def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (as hashes) of the wanted places."""
+    """Words (as hashes) of the wanted segments, taken from their first places."""
     for batch in batches:
         for lo, hi in T.slices(batch["text"]):
             part = batch.slice(lo, hi - lo)
-            w, row, (anchor, seg, start, n, d0, s0) = _wanted(part)
+            w, row, (anchor, seg, start, n, d1, s1) = _wanted(part)
             size, begin = n.astype(np.int64), w.first[row] + start
             offsets = T.split_offsets(size)
             words = w.hashes()[np.repeat(begin - offsets[:-1], size) + np.arange(size.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seg), pa.array(part["doc"].to_numpy()[row]), pa.array(start), pa.array(d0), pa.array(s0), T.binaries(words, offsets)], ["anchor", "seg", "doc", "start", "d0", "s0", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seg), pa.array(part["doc"].to_numpy()[row]), pa.array(start), pa.array(d1), pa.array(s1), T.binaries(words, offsets)], ["anchor", "seg", "d0", "s0", "d1", "s1", "words"])
+
+
+def _runs(alphabet: np.ndarray, code: np.ndarray, piece: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``least`` or more words of a piece that the alphabet has: their symbols one behind the other, first places and lengths."""
+    place = np.minimum(np.searchsorted(alphabet, code), max(0, len(alphabet) - 1))
+    known = alphabet[place] == code if len(alphabet) else np.zeros(len(code), bool)
+    at = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (known[1:] != known[:-1]), [True]]))
+    first, k = at[:-1], np.diff(at)
+    long = known[first] & (k >= least) if len(code) else np.zeros(len(first), bool)
+    first, k = first[long], k[long]
+    return place[np.repeat(first - T.split_offsets(k)[:-1], k) + np.arange(k.sum())] + 1, first, k
 
 
 def repeats(anchor: np.ndarray, place: np.ndarray, words: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,27 +170,26 @@ def repeats(anchor: np.ndarray, place: np.ndarray, words: np.ndarray, offsets: n
     most = length[group]
     symbols = np.unique(words, return_inverse=True)[1].astype(np.int64)
 
-    def laid(pieces: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def laid(pieces: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's symbol in its span, piece, and offset in the piece."""
         k = size[pieces]
-        at = np.repeat(offsets[pieces] - T.split_offsets(k)[:-1], k) + np.arange(k.sum())
-        return (np.repeat(span[pieces], k) << 40) + symbols[at], k
+        offset = np.arange(k.sum()) - np.repeat(T.split_offsets(k)[:-1], k)
+        piece = np.repeat(pieces, k)
+        return (span[piece] << 32) + symbols[offsets[piece] + offset], piece, offset
 
     out, half = [], 1
     while half < length.max(initial=0):
-        span, late = rank // (2 * half), (rank // half) % 2 == 1
-        early = ~late & ((2 * span + 1) * half < most)  # whose later half is not empty
-        indexed, k = laid(np.flatnonzero(early), span)
-        alphabet, symbol = np.unique(indexed, return_inverse=True)
-        text = np.zeros(len(indexed) + len(k), np.int64)
-        inside = np.ones(len(text), bool)
-        inside[np.cumsum(k + 1) - 1] = False
-        text[inside] = symbol + 1
-        index = FMIndex(text, len(alphabet) + 1, window)
-        pieces = np.flatnonzero(late)
-        streamed, k = laid(pieces, span)
-        place = np.minimum(np.searchsorted(alphabet, streamed), len(alphabet) - 1)
-        who, offset, _ = index.statistics(np.where(alphabet[place] == streamed, place + 1, -1), T.split_offsets(k)[:-1], k)
-        out.append((pieces[who], offset))
+        part, late = rank // (2 * half), (rank // half) % 2 == 1
+        early = ~late & ((2 * part + 1) * half < most)  # whose later half is not empty
+        span = np.cumsum(new | np.concatenate([[False], part[1:] != part[:-1]]))  # apart from anchor to anchor, too
+        (held, piece, _), (sent, of, offset) = (laid(np.flatnonzero(x), span) for x in (early, late))
+        alphabet = np.intersect1d(held, sent)
+        (text, _, k), (stream, begin, m) = (_runs(alphabet, *x, window) for x in ((held, piece), (sent, of)))
+        if len(k) and len(m):
+            index = FMIndex(np.insert(text, np.cumsum(k), 0), len(alphabet) + 1, window)
+            who, shift, _ = index.statistics(stream, T.split_offsets(m)[:-1], m)
+            at = begin[who] + shift
+            out.append((of[at], offset[at]))
         half *= 2
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -191,22 +202,27 @@ FOUND = "anchor long, seg long, d0 long, s0 int, later boolean, a int, b int"
 
 
 def _search(p: Windows):
-    """Repeated ranges [a, b) of the words of each shipped place, found some ``shard_segments`` places at a time."""
+    """Repeated ranges [a, b) of the words of each shipped place, found some ``shard_segments`` segments at a time."""
 
     def chunk(table: pa.Table) -> pa.RecordBatch:
-        anchor, seg, doc, start, d0, s0 = (table[c].to_numpy() for c in ("anchor", "seg", "doc", "start", "d0", "s0"))
+        anchor, seg, d0, s0, d1, s1 = (table[c].to_numpy() for c in ("anchor", "seg", "d0", "s0", "d1", "s1"))
         data, at = T.raw(table["words"])
+        words, at = np.ascontiguousarray(data).view(np.uint64), at // 8
+        again = np.flatnonzero((d0 != d1) | (s0 != s1))
+        of = np.concatenate([np.arange(len(anchor)), again])
+        doc, start = np.concatenate([d0, d1[again]]), np.concatenate([s0, s1[again]])
+        order = np.lexsort((start, doc, anchor[of]))
+        of, doc, start, later = of[order], doc[order], start[order], order >= len(anchor)
         place = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]))
-        piece, offset = repeats(anchor, place, np.ascontiguousarray(data).view(np.uint64), at // 8, p.window)
+        size = np.diff(at)[of]
+        offsets = T.split_offsets(size)
+        piece, offset = repeats(anchor[of], place, words[np.repeat(at[of] - offsets[:-1], size) + np.arange(size.sum())], offsets, p.window)
         new = np.ones(len(piece), bool)
         new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] > offset[:-1] + p.window)
         head = np.flatnonzero(new)
-        last = np.append(head[1:], len(piece)) - 1
-        k, a, b = piece[head], offset[head], offset[last] + p.window
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor[k]), pa.array(seg[k]), pa.array(d0[k]), pa.array(s0[k]), pa.array((doc[k] != d0[k]) | (start[k] != s0[k])), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
-            ["anchor", "seg", "d0", "s0", "later", "a", "b"],
-        )
+        k, a, b = piece[head], offset[head], offset[np.append(head[1:], len(piece)) - 1][: len(head)] + p.window
+        own = of[k]
+        return pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(seg[own]), pa.array(d0[own]), pa.array(s0[own]), pa.array(later[k]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["anchor", "seg", "d0", "s0", "later", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -250,16 +266,17 @@ def spans(docs: DataFrame, p: Windows = Windows(), doc_id: str = "doc_id", text:
     hot = stash(segs.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > p.hot).select("anchor"), "substring-hot")
     if not hot.isEmpty():
         wide = places.join(hot, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "seg", "start", "n")).alias("wanted"))
-        single = recurring(keyed.join(wide, "doc").select("doc", "text", "wanted").mapInArrow(_split(p), EMITTED), "substring-windows")
+        windows = stash(keyed.join(wide, "doc").select("doc", "text", "wanted").mapInArrow(_split(p), EMITTED), "substring-windows")
+        single = recurring(windows, "substring-windows")
+        discard(windows)
         tables += [different(single, "substring-windows")]
         segs = segs.join(hot, "anchor", "left_anti").unionByName(tables[1])
         places = places.join(hot, "anchor", "left_anti").unionByName(single)
 
-    sent = segs.select("anchor", "seg", "n", F.col("first.doc").alias("d0"), F.col("first.start").alias("s0"), F.explode(F.array_distinct(F.array("first", "later"))).alias("at"))
-    wanted = sent.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("anchor", "seg", F.col("at.start").alias("start"), "n", "d0", "s0")).alias("wanted"))
+    wanted = segs.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("anchor", "seg", F.col("first.start").alias("start"), "n", F.col("later.doc").alias("d1"), F.col("later.start").alias("s1"))).alias("wanted"))
     shipped = keyed.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_ship, SHIPPED)
-    shards = partitions(docs.sparkSession, 2 * segs.count(), p.shard_segments)
-    found = stash(shipped.repartition(shards, "anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(_search(p), FOUND), "substring-found")
+    shards = partitions(docs.sparkSession, segs.count(), p.shard_segments)
+    found = stash(shipped.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_search(p), FOUND), "substring-found")
     discard(*tables)
     whose = places.join(found, ["anchor", "seg"]).filter(((F.col("doc") != F.col("d0")) | (F.col("start") != F.col("s0"))) == F.col("later"))
     return whose.select("doc", (F.col("start") + F.col("a")).cast("int").alias("s"), (F.col("start") + F.col("b")).cast("int").alias("e"))
