@@ -53,7 +53,7 @@ from .workspace import discard, partitions, stash
 class Windows:
     window: int = 20
     anchor: int = 6
-    hot: int = 8_000
+    hot: int = 32_000
     shard_segments: int = 16_000
 
 
@@ -220,7 +220,8 @@ def _search(p: Windows):
         new = np.ones(len(piece), bool)
         new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] > offset[:-1] + p.window)
         head = np.flatnonzero(new)
-        k, a, b = piece[head], offset[head], offset[np.append(head[1:], len(piece)) - 1][: len(head)] + p.window
+        last = np.append(head[1:], len(piece))[: len(head)] - 1
+        k, a, b = piece[head], offset[head], offset[last] + p.window
         own = of[k]
         return pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(seg[own]), pa.array(d0[own]), pa.array(s0[own]), pa.array(later[k]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["anchor", "seg", "d0", "s0", "later", "a", "b"])
 
