@@ -12,10 +12,11 @@ similarity reaches 0.8 is P(Bin(n+1, 0.8) <= m), and the pair is dropped once th
 Where pairs meet. Every band bucket gives one edge from each member to its least member, and the
 components of those edges are the *neighbourhoods* outside which no candidate exists. A
 neighbourhood of up to ``block`` texts and ``block_words`` words is compared in one place.
-Members of a larger one are compared bucket by bucket, each pair in the first band it shares; a
-bucket beyond those bounds is cut into blocks and each pair of blocks is a group of its own. So
-every candidate pair is looked at exactly once, no pair is written out, and no group outgrows a
-task: groups return one row a document, its number of links and the least document it connects to.
+A larger one is compared in the way that ships fewer rows: a dense one is cut into blocks, and
+each pair of blocks is a group; a loose one goes bucket by bucket, each pair in the first band it
+shares, and buckets beyond the bounds are cut into blocks likewise. So every candidate pair is
+looked at exactly once, no pair is written out, and no group outgrows a task: groups return one
+row a document, its number of links and the least document it connects to.
 
 Groups meet twice. First with signatures alone, 384 bytes a text: a text that the pruning leaves
 without a partner in a group goes no further. Only the others' texts are fetched and compared.
@@ -51,7 +52,7 @@ class Join:
     rows: int = 4
     step: int = 16
     tolerance: float = 1e-6
-    block: int = 500
+    block: int = 1000
     block_words: int = 400_000
     chunk_bytes: int = 6 << 20
     group_rows: int = 500
@@ -151,7 +152,7 @@ def _explode_bands(join: Join):
 def candidate_pairs(group: np.ndarray, keys: np.ndarray, band: np.ndarray, block: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a group that share a band, each in the first one it shares.
 
-    ``band`` >= 0 restricts a group to one band; in a ``cross`` group only pairs of different blocks count."""
+    ``band`` >= 0 restricts a group to one band (-1: a whole neighbourhood, -2: blocks of one); in a ``cross`` group only pairs of different blocks count."""
     for b in range(keys.shape[1]):
         use = np.flatnonzero((band < 0) | (band == b))
         if len(use) < 2:
@@ -294,7 +295,7 @@ def _compare(join: Join):
             i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*found)) or [(), ()]))
             some = np.flatnonzero(links)
             root = _least_connected(n, i, j, rep)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some]), pa.array(table["band"].to_numpy()[some] < 0)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some]), pa.array(table["band"].to_numpy()[some] == -1)], names)
 
     return run
 
@@ -328,17 +329,22 @@ def resolve(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text:
     star = members.groupBy("rep").agg(F.min("leader").alias("v"), F.collect_set("leader").alias("leaders"))
     edges = components(star.select(F.explode(F.array_union("leaders", F.array("rep"))).alias("u"), "v"))
     near = edges.unionByName(edges.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "rep").join(classes.select("rep", "n", "words"), "rep")
-    sizes = near.groupBy("root").agg(((F.count("*") > join.block) | (F.sum("words") > join.block_words)).alias("large"))
-    active = stash(near.join(sizes, "root").select("rep", F.col("root").alias("hood"), "n", "words", "large"), "near-active")
+    cuts = F.greatest(F.ceil(F.count("*") / join.block), F.ceil(F.sum("words") / join.block_words)).cast("int").alias("blocks")
+    sizes = near.groupBy("root").agg(F.count("*").alias("m"), cuts)
+    active = stash(near.join(sizes, "root").select("rep", F.col("root").alias("hood"), "n", "words", "m", "blocks"), "near-active")
 
     none = F.lit(0)
-    grouped = active.filter("NOT large").select(F.col("hood").alias("gid"), F.lit(-1).alias("band"), none.alias("block"), none.alias("bi"), none.alias("bj"), "rep", "n")
-    if not active.filter("large").isEmpty():
-        large = members.join(active.filter("large").select("rep", "n", "words"), "rep").select("rep", "n", "words", "key", "band")
-        cut = large.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / join.block), F.ceil(F.sum("words") / join.block_words)).cast("int").alias("blocks"))
-        spread = large.join(stash(cut, "near-blocks"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("gid"), "band", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "n")
-        grouped = grouped.unionByName(spread)
+    grouped = active.filter("blocks = 1").select(F.col("hood").alias("gid"), F.lit(-1).alias("band"), none.alias("block"), none.alias("bi"), none.alias("bj"), "rep", "n")
+    if not active.filter("blocks > 1").isEmpty():
+        large = stash(members.join(active.filter("blocks > 1").withColumnRenamed("blocks", "hood_blocks"), "rep"), "near-large")
+        buckets = stash(large.groupBy("hood", "key", "m", "hood_blocks").agg(F.count("*").alias("members"), cuts), "near-buckets")
+        dense = buckets.groupBy("hood").agg((F.max(F.col("m") * F.col("hood_blocks")) <= F.sum(F.col("members") * F.col("blocks"))).alias("dense"))
+        dense = stash(dense, "near-dense")
+        by_hood = large.join(dense.filter("dense"), "hood").select("rep", "n", F.col("hood").alias("key"), F.lit(-2).alias("band"), F.col("hood_blocks").alias("blocks")).distinct()
+        by_bucket = large.join(dense.filter("NOT dense"), "hood").join(buckets.select("key", "blocks"), "key").select("rep", "n", "key", "band", "blocks")
+        spread = by_hood.unionByName(by_bucket).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        lo, hi = F.least("block", "other"), F.greatest("block", "other")
+        grouped = grouped.unionByName(spread.select(F.xxhash64("key", "band", lo, hi).alias("gid"), "band", "block", lo.alias("bi"), hi.alias("bj"), "rep", "n"))
     grouped = stash(grouped, "near-groups")
     discard(edges, members, active)
     # numbers of partitions follow the rows: these tasks take time by pairs, not by bytes
