@@ -153,7 +153,7 @@ def decide(docs: DataFrame, text: str = "text", sources=None, plan: Mix = Mix(),
     routed = route([(tuple(place[s] for s in r.pattern), r["size"]) for r in order], [round(g) for g in goal], plan.costs[: plan.epochs])
     rows = [(r.pk, min(x // r["size"], plan.epochs) if r["size"] else 0, x % r["size"] if r["size"] else 0, sizes[place[r.pattern[0]]], goal[place[r.pattern[0]]]) for r, x in zip(order, routed)]
     # whole epochs for all, ``part`` words of one more epoch for a seeded share
-    fate = spark.createDataFrame(rows, "pk string, whole long, part long, source_size long, target double")
+    fate = F.broadcast(spark.createDataFrame(rows, "pk string, whole long, part long, source_size long, target double"))  # max_patterns rows at most, as all that is broadcast here
     sized = sized.drop("pattern")
 
     digits = 1
@@ -163,13 +163,13 @@ def decide(docs: DataFrame, text: str = "text", sources=None, plan: Mix = Mix(),
     cuts = []
     cut = fate.filter("part > 0").select("pk", "part", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("last"))
     for k in reversed(range(digits)):
-        here = sized.join(cut, "pk").filter(F.floor(F.col("bucket") / 64 ** (k + 1)) == F.col("last"))
+        here = sized.join(F.broadcast(cut), "pk").filter(F.floor(F.col("bucket") / 64 ** (k + 1)) == F.col("last"))
         each = here.groupBy("pk", "part", "before", F.floor(F.col("bucket") / 64**k).alias("digit")).agg(F.sum("size").alias("words"))  # at most 64 a pattern
         upto = each.withColumn("begin", F.col("before") + F.sum("words").over(Window.partitionBy("pk").orderBy("digit")) - F.col("words"))
         cut = stash(upto.filter((F.col("begin") < F.col("part")) & (F.col("part") <= F.col("begin") + F.col("words"))).select("pk", "part", F.col("begin").alias("before"), F.col("digit").alias("last")), "mix-cut")
         cuts.append(cut)
 
-    placed = sized.join(fate, "pk", "left").join(cut.select("pk", "before", "last"), "pk", "left")
+    placed = sized.join(fate, "pk", "left").join(F.broadcast(cut.select("pk", "before", "last")), "pk", "left")
     edge = placed.filter(F.col("bucket") == F.col("last")).select("uid", "pk", "size", "part", "before", "seeded", *keys)
     run = F.col("before") + F.sum("size").over(Window.partitionBy("pk").orderBy("seeded", *keys, "uid"))
     inside = edge.withColumn("run", run).filter(F.col("run") <= F.col("part")).select("uid", F.lit(True).alias("in_edge"))
@@ -183,11 +183,11 @@ def decide(docs: DataFrame, text: str = "text", sources=None, plan: Mix = Mix(),
         if not gaps:
             break
         off = F.abs(F.col("size") - F.col("gap"))
-        spare = chosen.filter(~F.col("more") & (F.col("size") > 0)).join(spark.createDataFrame(fits, "uid long"), "uid", "left_anti").join(spark.createDataFrame(list(gaps.items()), "pk string, gap long"), "pk")
+        spare = chosen.filter(~F.col("more") & (F.col("size") > 0)).join(F.broadcast(spark.createDataFrame(fits, "uid long")), "uid", "left_anti").join(F.broadcast(spark.createDataFrame(list(gaps.items()), "pk string, gap long")), "pk")
         best = spare.filter(off < F.col("gap")).groupBy("pk").agg(F.min(F.struct(off.alias("off"), "seeded", "uid", "size")).alias("b")).select("pk", "b.uid", "b.size").collect()
         fits += [(r.uid,) for r in best]
         gaps = {r.pk: gaps[r.pk] - r["size"] for r in best if gaps[r.pk] > r["size"]}
-    extra = chosen.join(spark.createDataFrame(fits, "uid long").withColumn("fits", F.lit(True)), "uid", "left")
+    extra = chosen.join(F.broadcast(spark.createDataFrame(fits, "uid long").withColumn("fits", F.lit(True))), "uid", "left")
     copies = F.coalesce("whole", F.lit(0)) + (F.col("more") | F.coalesce("fits", F.lit(False))).cast("long")
     return extra.select(*keys, "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
