@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.frames import numbered
+
+#: Tokens of a page for tools and for piped output.
+TOOL_PAGE, PIPE_PAGE = 4000, 2000
+
+
+def _fold(limit: int, skip: int):
+    """Over (position, tokens) in order: which rows an earlier page has, and which fit this one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, used = skip, 0
+        for batch in batches:
+            taken, skipped = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+            for k, n in enumerate(batch["tokens"].to_pylist()):
+                if left > 0:
+                    skipped[k], left = True, left - n if n <= left else 0
+                elif used + n <= limit:
+                    taken[k], used = True, used + n
+            yield pa.RecordBatch.from_arrays([batch["position"], pa.array(taken), pa.array(skipped)], ["position", "taken", "skipped"])
+
+    return run
 
 
 def within(rows: DataFrame, limit: int, order: list, page: int = 1, text: str | None = None) -> DataFrame:
@@ -13,29 +38,12 @@ def within(rows: DataFrame, limit: int, order: list, page: int = 1, text: str |
 
     In order: the first (page-1)*limit tokens are passed over, the row that crosses that mark with them; then a
     row is taken if it fits what is left. It is no prefix: a small row after a large one may be taken. The fold
-    is sequential by nature; only positions and sizes, 16 bytes a row, go through it, and rows are matched back
-    by position. ``order`` must be total. Meant for result lists."""
+    is sequential by nature: positions and sizes, 16 bytes a row, stream through one task in constant memory, and
+    rows are matched back by position. ``order`` must be total."""
     size = X.tokens(text) if text else X.tokens(F.to_json(F.struct(*rows.columns)))
-    from pyspark.sql.window import Window
-
-    numbered = rows.withColumn("tokens", size).withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    start = F.struct(F.lit((page - 1) * limit).cast("long").alias("skip"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"), F.array().cast("array<int>").alias("skipped"))
-
-    def step(s, x):
-        passing, fits = s["skip"] > 0, x["tokens"] + s["used"] <= limit
-        take = ~passing & fits
-        return F.struct(
-            F.when(passing & (x["tokens"] <= s["skip"]), s["skip"] - x["tokens"]).otherwise(F.lit(0).cast("long")).alias("skip"),
-            F.when(take, s["used"] + x["tokens"]).otherwise(s["used"]).alias("used"),
-            F.when(take, F.concat(s["taken"], F.array(x["position"]))).otherwise(s["taken"]).alias("taken"),
-            F.when(passing, F.concat(s["skipped"], F.array(x["position"]))).otherwise(s["skipped"]).alias("skipped"),
-        )
-
-    folded = numbered.agg(F.aggregate(F.array_sort(F.collect_list(F.struct("position", "tokens"))), start, step).alias("f"))
-    taken = folded.select(F.explode("f.taken").alias("position"), F.lit(True).alias("taken"))
-    skipped = folded.select(F.explode("f.skipped").alias("position"), F.lit(True).alias("skipped"))
-    no = F.lit(False)
-    return numbered.join(taken, "position", "left").join(skipped, "position", "left").withColumn("taken", F.coalesce("taken", no)).withColumn("skipped", F.coalesce("skipped", no))
+    placed = numbered(rows.withColumn("tokens", size), *order)
+    folded = placed.select("position", "tokens").repartition(1).sortWithinPartitions("position").mapInArrow(_fold(limit, (page - 1) * limit), "position long, taken boolean, skipped boolean")
+    return placed.join(folded, "position")
 
 
 def page_info(budgeted: DataFrame, skipped_count: bool = False) -> DataFrame:

@@ -60,7 +60,7 @@ def participation(ix: Index, name: str, min_confidence: float | None = None, ent
 
 def symbol_context(ix: Index, name: str, file: str | None = None, kind: str | None = None, min_confidence: float | None = None) -> DataFrame:
     """A row for each matching symbol with all of the above as arrays."""
-    own = matching(ix, name, file, kind).persist()
+    own = matching(ix, name, file, kind)
 
     def listed(df: DataFrame, as_: str, by: str | None = None) -> DataFrame:
         cols = [c for c in df.columns if c != by]
@@ -69,7 +69,7 @@ def symbol_context(ix: Index, name: str, file: str | None = None, kind: str | No
 
     out = own
     for df, as_ in ((callers(ix, name, min_confidence), "callers"), (importers(ix, name), "importers"), (type_users(ix, name, min_confidence), "type_users"), (participation(ix, name, min_confidence), "flows")):
-        out = out.crossJoin(F.broadcast(listed(df, as_)))  # one row
+        out = out.join(listed(df, as_).withColumn("name", F.lit(name)), "name")
     imports = ix.imports.join(own.select(F.col("file").alias("source_file")).distinct(), "source_file", "left_semi").distinct()
     out = out.join(listed(callees(ix, own, min_confidence), "callees", "id"), "id", "left").join(listed(children(ix, own), "children", "id"), "id", "left")
     return out.join(listed(imports.withColumnRenamed("source_file", "file"), "imports", "file"), "file", "left").orderBy("file", "line", "id")

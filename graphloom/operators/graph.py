@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..index import Index
-from ..plans.frames import first_per, written
-from .lookup import CALLABLE, known_kind, symbol_ids
+from ..plans.frames import first_per, released, written
+from .lookup import CALLABLE, PLACE, known_kind, symbol_ids
 
 DEPTH, FLOW_DEPTH, BRANCHING = 10, 20, 50
 CUT = 4
@@ -130,7 +130,7 @@ def call_path(ix: Index, start: str, end: str, reference_file: str | None = None
         else:
             hops = _chain(ix, start, end, reference_file, min_confidence, depth)
     listed = spark.createDataFrame([(k, n) for k, n in enumerate(hops)], "hop long, name string")
-    first = first_per(ix.symbols.join(listed.select("name").distinct(), "name", "left_semi"), ["name"], "id").select("name", known_kind().alias("kind"), "file", "line")
+    first = first_per(ix.symbols.join(listed.select("name").distinct(), "name", "left_semi"), ["name"], *PLACE).select("name", known_kind().alias("kind"), "file", "line")
     return listed.join(first, "name", "left").select("hop", "name", F.coalesce("kind", F.lit("function")).alias("kind"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0).cast("long")).alias("line")).orderBy("hop")
 
 
@@ -169,14 +169,15 @@ def flows(ix: Index, entries: DataFrame, depth: int = 10, branching: int = 4, mi
     """Steps of the flow from each of ``entries`` (a column ``name``): (entry, step, name, kind, file, line, depth).
 
     A symbol's first ``branching`` callee rows by confidence count (a callee has a row for each of its
-    definitions); a name is entered once, by the earliest step that reaches it. Flows of one step are none."""
+    definitions, by place; so no name needs more than its first ``branching``); a name is entered once, by the
+    earliest step that reaches it. Flows of one step are none."""
     b = min(branching, BRANCHING)
-    defs = ix.symbols.filter(F.col("kind").isin(*CALLABLE)).select("name", F.col("id").alias("def_id"), known_kind().alias("kind"), F.col("file").alias("def_file"), F.col("line").alias("def_line"))
-    rows = _confident(ix, min_confidence).filter("caller_id IS NOT NULL").select("caller_id", "name", "confidence").join(defs, "name", "left")
-    rows = rows.groupBy("caller_id", "name", "def_id", "kind", "def_file", "def_line").agg(F.max("confidence").alias("confidence"))
-    w = Window.partitionBy("caller_id").orderBy(F.desc("confidence"), "name", "def_id")
-    edges = written(rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= b), "flow-edges")
-    first = first_per(defs.join(entries.select("name").distinct(), "name", "left_semi"), ["name"], "def_id")
+    defs = ix.symbols.filter(F.col("kind").isin(*CALLABLE)).withColumn("which", F.row_number().over(Window.partitionBy("name").orderBy(*PLACE))).filter(F.col("which") <= max(1, b))
+    defs = defs.select("name", "which", F.col("id").alias("def_id"), known_kind().alias("kind"), F.col("file").alias("def_file"), F.col("line").alias("def_line"))
+    rows = _confident(ix, min_confidence).filter("caller_id IS NOT NULL").groupBy("caller_id", "name").agg(F.max("confidence").alias("confidence")).join(defs, "name", "left")
+    w = Window.partitionBy("caller_id").orderBy(F.desc("confidence"), "name", "which")
+    edges = written(rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= b).drop("which"), "flow-edges")
+    first = defs.filter("which = 1").join(entries.select("name").distinct(), "name", "left_semi")
     level = first.select(F.col("name").alias("entry"), F.col("def_id").alias("id"), "name", "kind", F.col("def_file").alias("file"), F.col("def_line").alias("line"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("step"))
     out = seen = level = written(level, "flow")
     for d in range(1, min(depth, FLOW_DEPTH) + 1):
@@ -190,6 +191,7 @@ def flows(ix: Index, entries: DataFrame, depth: int = 10, branching: int = 4, mi
         if level.isEmpty():
             break
         out = seen = seen.unionByName(level)
+    released(edges)
     long = out.groupBy("entry").agg(F.count("*").alias("n")).filter("n > 1").select("entry")
     return out.join(long, "entry", "left_semi").select("entry", "step", "name", "kind", "file", "line", "depth").orderBy("entry", "step")
 
@@ -221,7 +223,7 @@ def blast(ix: Index, names: list[str] | DataFrame, direction: str = "upstream",
             found = found.unionByName(kids)
         return found
 
-    kinds = first_per(ix.symbols, ["name"], "id").select("name", "kind")
+    kinds = first_per(ix.symbols, ["name"], *PLACE).select("name", "kind")
 
     def downstream(frontier: DataFrame, level: int) -> DataFrame:
         found = edges.join(frontier, F.col("caller") == F.col("at")).join(kinds, "name", "left")
@@ -246,18 +248,47 @@ def dep_edges(ix: Index) -> DataFrame:
     return ix.imports.select(F.col("source_file").alias("src"), X.import_stem("import_path").alias("stem")).distinct().join(by, "stem").filter("src <> dst").select("src", "dst").distinct()
 
 
-def reach(edges: DataFrame, start: str | DataFrame, reverse: bool = False) -> DataFrame:
-    """Everything that ``start`` reaches (or that reaches it), itself included."""
-    spark = edges.sparkSession
-    step = (edges.select(F.col("dst").alias("at"), F.col("src").alias("to")) if reverse else edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))).persist()
+def reach(edges: DataFrame | Index, start: str | DataFrame, reverse: bool = False) -> DataFrame:
+    """Everything that ``start`` reaches (or that reaches it), itself included.
+
+    Over an index, files meet at the stems that imports name: a level goes from files to stems and on to files, and
+    a stem is passed once. So the walk is linear in files and imports, where edges between files would be imports
+    times files of a stem. Over edges (src, dst) a level is one join."""
+    if isinstance(edges, Index):
+        spark = edges.files.sparkSession
+        own = edges.files.select(F.col("path").alias("at"), X.stem("path").alias("stem"))
+        named = edges.imports.select(F.col("source_file").alias("at"), X.import_stem("import_path").alias("stem")).distinct()
+        out, back = (own, named) if reverse else (named, own)
+    else:
+        spark = edges.sparkSession
+        src, dst = ("dst", "src") if reverse else ("src", "dst")
+        out = edges.select(F.col(src).alias("at"), F.col(dst).alias("stem"))
+        back = None
+    out, levels = out.persist(), []
+    back = back and back.persist()
     seen = frontier = spark.createDataFrame([(start,)], "at string") if isinstance(start, str) else start.select("at").distinct()
+    passed = None
     while True:
-        new = step.join(frontier, "at").select(F.col("to").alias("at")).distinct().join(seen, "at", "left_anti")
-        frontier = written(new, "reach")
+        stems = out.join(frontier, "at").select("stem").distinct()
+        if back is None:
+            new = stems.select(F.col("stem").alias("at"))
+        else:
+            if passed is not None:
+                stems = stems.join(passed, "stem", "left_anti")
+            stems = written(stems, "reach-stems")
+            levels.append(stems)
+            passed = stems if passed is None else passed.unionByName(stems)
+            new = back.join(stems, "stem").select("at").distinct()
+        frontier = written(new.join(seen, "at", "left_anti"), "reach")
         if frontier.isEmpty():
-            return seen.select(F.col("at").alias("file")).distinct()
+            break
         seen = seen.unionByName(frontier)
+    out.unpersist()
+    if back is not None:
+        back.unpersist()
+    released(*levels)
+    return seen.select(F.col("at").alias("file")).distinct()
 
 
-def reach_between(edges: DataFrame, start: str, end: str) -> DataFrame:
+def reach_between(edges: DataFrame | Index, start: str, end: str) -> DataFrame:
     return reach(edges, start).intersect(reach(edges, end, reverse=True))

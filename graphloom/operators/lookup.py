@@ -1,4 +1,4 @@
-"""Point and substring lookups. Every result has a total order of its own; ties end at the symbol id."""
+"""Point and substring lookups. Every result has a total order of its own; ties end at the symbol's place."""
 
 from __future__ import annotations
 
@@ -14,6 +14,10 @@ CALLABLE = ("function", "method")
 KINDS = ("function", "method", "class", "struct", "enum", "trait", "interface", "module", "constant", "variable", "type")
 
 
+#: The order in which an index lists symbols: by place; ids are hashes and only tell equal places apart.
+PLACE = ("file", "line", "col", "id")
+
+
 def known_kind(kind="kind"):
     return F.when(X.col(kind).isin(*KINDS), X.col(kind)).otherwise("function")
 
@@ -27,7 +31,7 @@ def symbols(ix: Index, name: str, kind: str | None = None, file: str | None = No
         out = out.filter(X.like_ci("file", f"%{file}%"))
     if scope:
         out = out.filter(F.col("scope") == scope)
-    out = out.withColumn("kind", known_kind()).orderBy(X.is_test_lookup("file"), "id")
+    out = out.withColumn("kind", known_kind()).orderBy(X.is_test_lookup("file"), *PLACE)
     return out.limit(limit) if limit else out
 
 
@@ -67,7 +71,7 @@ def reference_files(ix: Index, name: str, paths: list[str] | None = None) -> Dat
 
 
 def signatures(ix: Index, name: str) -> DataFrame:
-    return ix.symbols.filter(X.like_ci("name", f"%{name}%") & F.col("kind").isin(*CALLABLE)).select("id", "name", "kind", "file", "line", "signature").orderBy("id")
+    return ix.symbols.filter(X.like_ci("name", f"%{name}%") & F.col("kind").isin(*CALLABLE)).orderBy(*PLACE).select("id", "name", "kind", "file", "line", "signature")
 
 
 def file_symbols(ix: Index, file: str) -> DataFrame:
@@ -144,7 +148,7 @@ def has_file(ix: Index, path: str) -> bool:
 
 def scope_file(ix: Index, name: str, scope: str) -> str | None:
     """File of the first symbol of this name in this scope."""
-    row = ix.symbols.filter((F.col("name") == name) & (F.col("scope") == scope)).orderBy("id").select("file").first()
+    row = ix.symbols.filter((F.col("name") == name) & (F.col("scope") == scope)).orderBy(*PLACE).select("file").first()
     return row and row[0]
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..index import Index
+from ..plans.frames import numbered
 
 #: Category -> tier and heading.
 TIERS = {"definition": 0, "call_site": 1, "import": 2, "other": 3, "comment": 4, "test": 5}
@@ -71,5 +71,5 @@ def fuse(structural: DataFrame, semantic: DataFrame, k: float = 60) -> DataFrame
 
 
 def ranked_rows(df: DataFrame, *order) -> DataFrame:
-    """``rank`` by a total order. The order is global: for result lists, not for corpora."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """``rank`` by a total order, over ranges of it."""
+    return numbered(df, *order, name="rank")

@@ -62,7 +62,7 @@ def root_dirs(ix: Index) -> DataFrame:
 
 def outline(ix: Index, file: str, most: int = 50) -> DataFrame:
     """Top-level symbols of a file that are no methods."""
-    return ix.symbols.filter((F.col("file") == file) & F.col("scope").isNull() & (F.col("kind") != "method")).orderBy("id").limit(most).select("id", "name", "kind", "line")
+    return ix.symbols.filter((F.col("file") == file) & F.col("scope").isNull() & (F.col("kind") != "method")).orderBy("line", "col", "id").limit(most).select("id", "name", "kind", "line")
 
 
 def import_edges(ix: Index, directory: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..index import Index
+from ..plans.frames import numbered
 
 
 def dot(a, b):
@@ -82,17 +83,50 @@ def without_structural(semantic: DataFrame, structural: DataFrame) -> DataFrame:
     return semantic.join(structural.select("file", "line").distinct(), ["file", "line"], "left_anti")
 
 
-def impact(changed: DataFrame, ix: Index, k: int = 20) -> DataFrame:
+def _nearest(shared, k: int):
+    """Of each batch, the vectors whose product with a change is among its k largest, ties included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            batch = batch.filter(batch["vector"].is_valid())
+            n = batch.num_rows
+            if not n:
+                continue
+            flat = batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            scores = np.round(flat.reshape(n, -1) @ wanted.T, 12)  # products of equal vectors are equal wherever they stand
+            row, change = np.nonzero(scores >= np.partition(scores, max(0, n - k), axis=0)[max(0, n - k)])
+            yield pa.RecordBatch.from_arrays([pa.array(change.astype(np.int32)), batch["symbol_id"].cast(pa.int64()).take(pa.array(row)), pa.array(scores[row, change])], ["change", "symbol_id", "score"])
+
+    return run
+
+
+def impact(changed: DataFrame, ix: Index, k: int = 20, block: int = 1024) -> DataFrame:
     """Symbols near changed ones: ``changed`` has (name, vector), and kind, file and scope where names alone do not tell
-    changes apart. Each change's k nearest other symbols, then the best change for each symbol. The changes are those
-    of one diff and go to every task in blocks; a task keeps k rows of each."""
+    changes apart. Each change's k nearest other symbols, then the best change for each symbol. Changes go to every
+    task ``block`` at a time, which is what bounds the broadcast; a task sends on k rows a batch and change."""
     itself = [c for c in ("name", "kind", "file") if c in changed.columns]
-    of = F.struct(*itself, *(c for c in ("scope",) if c in changed.columns)).alias("of")
-    scored = ix.embeddings.crossJoin(changed.select(of, F.col("vector").alias("q"))).select("of", "symbol_id", dot("vector", "q").alias("score"))
-    w = Window.partitionBy("of").orderBy(F.desc("score"), "symbol_id")
-    near = scored.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
+    spark, session, number = ix.symbols.sparkSession.sparkContext, ix.symbols.sparkSession, 0
+    near, held = None, []
+
+    def scored(rows: list) -> DataFrame:
+        shared = spark.broadcast(np.array([r["vector"] for r in rows], np.float64))
+        names = session.createDataFrame([(n, number, *[r[c] for c in itself]) for n, r in enumerate(rows)], "change int, part int, " + ", ".join(f"own_{c} string" for c in itself))
+        return ix.embeddings.select("symbol_id", "vector").mapInArrow(_nearest(shared, k), "change int, symbol_id long, score double").join(names, "change")
+
+    for row in changed.select(*itself, "vector").toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            near, held, number = scored(held) if near is None else near.unionByName(scored(held)), [], number + 1
+    if held or near is None:
+        last = scored(held) if held else None
+        near = last if near is None else near.unionByName(last)
+    if near is None:
+        near = session.createDataFrame([], "change int, symbol_id long, score double, part int, " + ", ".join(f"own_{c} string" for c in itself))
+    w = Window.partitionBy("part", "change").orderBy(F.desc("score"), "symbol_id")
+    near = near.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
     same = ix.symbols.select(F.col("id").alias("symbol_id"), *(F.col(c).alias(f"own_{c}") for c in itself))
-    others = near.select(F.col("of.name").alias("changed"), *(F.col(f"of.{c}").alias(f"own_{c}") for c in itself), "symbol_id", "score").join(same, same.columns, "left_anti").select("changed", "symbol_id", "score")
+    others = near.join(same, same.columns, "left_anti").select(F.col("own_name").alias("changed"), "symbol_id", "score")
     own = ix.symbols.select(F.col("id").alias("symbol_id"), "name", "kind", "file", "line")
     best = Window.partitionBy("name", "kind", "file", "line").orderBy(F.desc("score"), "changed", "symbol_id")
     out = others.join(own, "symbol_id").withColumn("r", F.row_number().over(best)).filter("r = 1")
@@ -108,10 +142,7 @@ def silhouette(points: DataFrame, most: int = 1000) -> DataFrame:
     """Mean silhouette of (id, cluster, vector) with plain distances; lone members count 0.
 
     The score is defined on at most about ``most`` points, every n-th by id, so its pairs are bounded."""
-    n = points.count()
-    sample = points.orderBy("id").withColumn("r", F.row_number().over(Window.orderBy("id"))) if n > most else points
-    if n > most:
-        sample = sample.filter((F.col("r") - 1) % -(-n // most) == 0).drop("r")
+    sample = strided(points, "id", most)
     a = sample.select("id", "cluster", "vector")
     b = sample.select(F.col("id").alias("id2"), F.col("cluster").alias("cluster2"), F.col("vector").alias("v2"))
     to = a.crossJoin(b).filter("id <> id2").groupBy("id", "cluster", "cluster2").agg(F.avg(distance("vector", "v2")).alias("d"))
@@ -120,28 +151,117 @@ def silhouette(points: DataFrame, most: int = 1000) -> DataFrame:
     return each.agg(F.avg(score).alias("silhouette"), F.count("*").alias("points"))
 
 
-def cluster(vectors: DataFrame, most: int = 20, seed: int = 42) -> DataFrame:
-    """K-Means with 2 to ``most`` centres, the best by silhouette: (symbol_id, cluster, distance).
+def strided(points: DataFrame, by: str, most: int) -> DataFrame:
+    """All points, or every n-th in the order of ``by`` so that at most ``most`` are left; only the ids are sorted."""
+    n = points.count()
+    if n <= most:
+        return points
+    ids = numbered(points.select(by), by).filter((F.col("position") - 1) % -(-n // most) == 0)
+    return points.join(ids.select(by), by, "left_semi")
+
+
+def _assigned(shared, sums: bool):
+    """Each vector's nearest centre in every model: as partial sums of a task's vectors, or as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, heads = shared.value
+        total, count, cost = np.zeros_like(centres), np.zeros(len(centres)), np.zeros(len(centres))
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+            far = np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), 0)
+            for lo, hi in zip(heads[:-1], heads[1:]):
+                near = far[:, lo:hi].argmin(1)
+                if not sums:
+                    yield pa.RecordBatch.from_arrays([batch["symbol_id"].cast(pa.int64()), pa.array(near.astype(np.int32)), pa.array(np.sqrt(((x - centres[lo + near]) ** 2).sum(1)))], ["symbol_id", "cluster", "distance"])
+                    continue
+                one = np.zeros((hi - lo, n))
+                one[near, np.arange(n)] = 1
+                total[lo:hi] += one @ x
+                count[lo:hi] += one.sum(1)
+                cost[lo:hi] += one @ far[np.arange(n), lo + near]
+        if sums:
+            d = centres.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(centres)), d + 2)), pa.array(np.tile(np.arange(d + 2), len(centres))), pa.array(np.concatenate([total, count[:, None], cost[:, None]], 1).ravel())], ["centre", "dim", "value"])
+
+    return run
 
-    Under three vectors, or all equal, one cluster."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    data = vectors.select("symbol_id", "vector", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features")).persist()
+def _seeded(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k starting centres, each drawn by its squared distance from those before it."""
+    out = [points[rng.integers(len(points))]]
+    far = ((points - out[0]) ** 2).sum(1)
+    while len(out) < k:
+        out.append(points[rng.choice(len(points), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(points))])
+        far = np.minimum(far, ((points - out[-1]) ** 2).sum(1))
+    return np.array(out)
+
+
+def _mean_silhouette(points: np.ndarray, label: np.ndarray, far: np.ndarray) -> float:
+    names, at = np.unique(label, return_inverse=True)
+    if len(names) < 2:
+        return 0.0
+    member = np.eye(len(names))[at]
+    size = member.sum(0)
+    mean = far @ member
+    own = mean[np.arange(len(at)), at] / np.maximum(size[at] - 1, 1)
+    other = np.where(member > 0, np.inf, mean / size).min(1)
+    top = np.maximum(own, other)
+    return float(np.where((size[at] > 1) & (top > 0), (other - own) / np.where(top > 0, top, 1), 0).mean())
+
+
+def cluster(vectors: DataFrame, most: int = 20, seed: int = 42, runs: int = 3, tol: float = 1e-4, iterations: int = 100, sample: int = 1000) -> DataFrame:
+    """K-Means with 2 to ``most`` centres, ``runs`` starts each, the best by silhouette: (symbol_id, cluster, distance).
+
+    All models advance together: an iteration is one pass over the vectors, one matrix product a batch with every
+    model's centres, and sums that are added up before they reach the driver (at most 627 centres with the defaults).
+    Starts and silhouettes use every n-th vector by id, ``sample`` at most. Of a model's starts the one of least
+    squared distances counts. Under three vectors, or all equal, one cluster."""
+    spark = vectors.sparkSession
+    data = vectors.filter("vector IS NOT NULL").select("symbol_id", "vector").persist()
     n, different = data.agg(F.count("*"), F.countDistinct("vector")).first()
+    if not n:
+        return data.select("symbol_id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
+    some = np.array([r[0] for r in strided(data, "symbol_id", sample).orderBy("symbol_id").select("vector").collect()], np.float64)
+    upto = min(int(-(-(n**0.5) // 1)), most, 20) if n >= 3 and different > 1 else 1
+    rng = np.random.default_rng(seed)
+    models = [(k, _seeded(some, k, rng)) for k in range(2, upto + 1) for _ in range(runs)] or [(1, some[:1])]
+    done, cost = [False] * len(models), [np.inf] * len(models)
+    for _ in range(iterations):
+        active = [m for m, d in enumerate(done) if not d]
+        if not active:
+            break
+        centres = np.concatenate([models[m][1] for m in active])
+        heads = np.cumsum([0, *(models[m][0] for m in active)])
+        shared = spark.sparkContext.broadcast((centres, heads))
+        sums = data.mapInArrow(_assigned(shared, True), "centre long, dim long, value double").groupBy("centre", "dim").agg(F.sum("value").alias("value")).toArrow()
+        table = np.zeros((len(centres), centres.shape[1] + 2))
+        table[sums["centre"].to_numpy(), sums["dim"].to_numpy()] = sums["value"].to_numpy()
+        shared.destroy()
+        for m, lo, hi in zip(active, heads[:-1], heads[1:]):
+            count = table[lo:hi, -2]
+            new = np.where(count[:, None] > 0, table[lo:hi, :-2] / np.maximum(count, 1)[:, None], models[m][1])
+            done[m], cost[m] = bool(np.sqrt(((new - models[m][1]) ** 2).sum()) < tol), table[lo:hi, -1].sum()
+            models[m] = (models[m][0], new)
+    far = np.sqrt(np.maximum(((some**2).sum(1)[:, None] - 2 * some @ some.T + (some**2).sum(1)), 0))
     best = None
-    for k in range(2, min(int(-(-(n**0.5) // 1)), most, 20) + 1) if n >= 3 and different > 1 else ():
-        model = KMeans(k=k, seed=seed, tol=1e-4, maxIter=100).fit(data)
-        found = model.transform(data).select(F.col("symbol_id").alias("id"), F.col("prediction").alias("cluster"), "vector")
-        score = silhouette(found).first()[0]
-        if score is not None and (best is None or score > best[0]):
-            best = (score, model)
-    if best is None:
-        mean = {r["dim"]: r["mean"] for r in centroids(data.withColumn("cluster", F.lit(0))).collect()}  # one row a dimension
-        centre = literal([mean[d] for d in sorted(mean)]) if mean else F.array().cast("array<double>")
-        return data.select("symbol_id", F.lit(0).alias("cluster"), distance("vector", centre).alias("distance"))
-    centres = data.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best[1].clusterCenters())], "cluster int, centre array<double>")
-    return best[1].transform(data).select("symbol_id", F.col("prediction").alias("cluster"), vector_to_array("features").alias("v")).join(F.broadcast(centres), "cluster").select("symbol_id", "cluster", distance("v", "centre").alias("distance"))
+    for k in sorted({k for k, _ in models}):
+        m = min((m for m in range(len(models)) if models[m][0] == k), key=lambda m: cost[m])
+        label = ((some[:, None] - models[m][1][None]) ** 2).sum(2).argmin(1) if k > 1 else np.zeros(len(some), int)
+        score = _mean_silhouette(some, label, far)
+        if best is None or score > best[0]:
+            best = (score, models[m][1])
+    data.unpersist()
+    return data.mapInArrow(_assigned(spark.sparkContext.broadcast((best[1], np.array([0, len(best[1])]))), False), "symbol_id long, cluster int, distance double")
+
+
+def nearest_centres(vectors: DataFrame, centres: list[list[float]]) -> DataFrame:
+    """(symbol_id, cluster, distance) by given centres; ties go to the first."""
+    given = np.array(centres, np.float64)
+    shared = vectors.sparkSession.sparkContext.broadcast((given, np.array([0, len(given)])))
+    return vectors.filter("vector IS NOT NULL").select("symbol_id", "vector").mapInArrow(_assigned(shared, False), "symbol_id long, cluster int, distance double")
 
 
 def representatives(clustered: DataFrame, ix: Index, n: int = 5) -> DataFrame:

@@ -15,14 +15,9 @@ from . import oracle as O
 from . import projection as P
 from .frames import first_per
 
-_SEEDS: dict[str, str] = {}
-
-
-def seed(ix, sf_dir: str) -> str:
+def seed(ix) -> str:
     """The most referenced name: a parameter, one row."""
-    if sf_dir not in _SEEDS:
-        _SEEDS[sf_dir] = ix.refs.groupBy("name").count().orderBy(F.desc("count"), "name").first()[0]
-    return _SEEDS[sf_dir]
+    return ix.refs.groupBy("name").count().orderBy(F.desc("count"), "name").first()[0]
 
 
 def _with(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,7 +25,7 @@ def _with(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ix = P.index(spark, sf_dir)
-        return f(ix, seed(ix, sf_dir))
+        return f(ix, seed(ix))
 
     return run
 
@@ -44,6 +39,19 @@ def _hub(ix) -> str:
     return graph.dep_edges(ix).groupBy("dst").count().orderBy(F.desc("count"), "dst").first()[0]
 
 
+def _top(ix, n: int = 10) -> DataFrame:
+    """The most referenced names."""
+    return ix.refs.groupBy("name").count().orderBy(F.desc("count"), "name").limit(n).select("name")
+
+
+_TOP_SQL = "SELECT name FROM refs GROUP BY name ORDER BY count(*) DESC, name LIMIT 10"
+
+
+def _importer(ix) -> str:
+    """The file under src/ that imports most."""
+    return ix.imports.filter("source_file <> 'src/main.rs'").groupBy("source_file").count().orderBy(F.desc("count"), "source_file").first()[0]
+
+
 def _far(ix, name: str) -> str:
     """Least name among the seed's furthest callers within three steps: the start of a call path."""
     far = graph.callers(ix, name, 3).filter(F.col("caller_kind") != "module")
@@ -70,8 +78,8 @@ def _hunks(spark: SparkSession, sf_dir: str, ix) -> DataFrame:
 
 
 _SNAPSHOT_SQL = """, newer AS (
-  SELECT file, name, kind, scope, line, CASE WHEN id % 5 = 0 THEN signature || '!' ELSE signature END AS signature FROM symbols WHERE id % 7 <> 0
-  UNION ALL SELECT file, name || '_new', kind, scope, line, signature FROM symbols WHERE id % 13 = 0
+  SELECT id, file, name, kind, scope, line, CASE WHEN id % 5 = 0 THEN signature || '!' ELSE signature END AS signature FROM symbols WHERE id % 7 <> 0
+  UNION ALL SELECT id, file, name || '_new', kind, scope, line, signature FROM symbols WHERE id % 13 = 0
 ), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, name, kind, scope ORDER BY line, signature) AS r FROM symbols) WHERE r = 1
 ), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, name, kind, scope ORDER BY line, signature) AS r FROM newer) WHERE r = 1
 ), diff AS (
@@ -79,7 +87,7 @@ _SNAPSHOT_SQL = """, newer AS (
     CASE WHEN o.file IS NULL THEN 'added' WHEN n.file IS NULL THEN 'removed' WHEN o.signature <> n.signature THEN 'modified' END AS change
   FROM o FULL JOIN n ON o.file = n.file AND o.name = n.name AND o.kind = n.kind AND o.scope IS NOT DISTINCT FROM n.scope
 ), hunk AS (
-  SELECT DISTINCT s.file, CAST(l_linenumber * 40 AS BIGINT) AS first, CAST(l_linenumber * 40 + l_quantity AS BIGINT) AS last FROM lineitem JOIN symbols s ON s.id = l_partkey WHERE l_quantity <= 2
+  SELECT DISTINCT s.file, CAST(l_linenumber * 40 AS BIGINT) AS first, CAST(l_linenumber * 40 + l_quantity AS BIGINT) AS last FROM lineitem JOIN symbols s ON s.id = l_partkey
 ), touched AS (
   SELECT DISTINCT s.id, s.file, s.name, s.kind, s.line FROM symbols s JOIN hunk h ON h.file = s.file AND s.line <= h.last AND h.first <= coalesce(s.end_line, s.line)
 )"""
@@ -98,7 +106,7 @@ def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.merged(_diff(P.index(spark, sf_dir)), _touched(spark, sf_dir).withColumn("change", F.lit("modified")))
 
 
-_FEW_SQL = _SNAPSHOT_SQL + ", few AS (SELECT DISTINCT regexp_replace(name, '_new$', '') AS name FROM diff WHERE change IN ('added', 'removed') ORDER BY name LIMIT 5)"
+_CHANGED = "SELECT DISTINCT name FROM diff WHERE change IS NOT NULL"
 
 
 def _search_rows(ix, name: str) -> DataFrame:
@@ -119,7 +127,7 @@ _SEARCH_SQL = """, hits AS (SELECT c.* FROM code c, seed s WHERE contains(c.cont
 
 def _rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = P.index(spark, sf_dir)
-    structural = ranking.ranked_rows(X.grep(P.code_lines(ix), seed(ix, sf_dir)), "file", "line", "content")
+    structural = ranking.ranked_rows(X.grep(P.code_lines(ix), seed(ix)), "file", "line", "content")
     semantic = ranking.ranked_rows(vectors.resolved(vectors.top_k(ix.embeddings, _query_vector(spark, sf_dir), 20), ix), F.desc("score"), "symbol_id")
     return _rounded(ranking.fuse(structural, semantic), "score")
 
@@ -154,7 +162,7 @@ def _semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ask_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = P.index(spark, sf_dir)
-    near = graph.reach(graph.dep_edges(ix), _hub(ix), reverse=True)
+    near = graph.reach(ix, _hub(ix), reverse=True)
     return _rounded(vectors.ask(ix, _query_vector(spark, sf_dir), 20, near), "score")
 
 
@@ -166,10 +174,10 @@ def _semantic_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(vectors.impact(changed, ix, 20), "score")
 
 
-_IMPACT_SQL = """, ch AS (SELECT s.name AS changed, v.vector AS q FROM symbols s JOIN vectors v ON v.symbol_id = s.id WHERE s.id IN (1, 2, 3)
-), sc AS (SELECT changed, symbol_id, list_dot_product(vector, q) AS score FROM vectors, ch
-), nth AS (SELECT *, row_number() OVER (PARTITION BY changed ORDER BY score DESC, symbol_id) AS r FROM sc
-), oth AS (SELECT * FROM nth WHERE r <= 20 AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.name = changed AND s.id = symbol_id)
+_IMPACT_SQL = _SNAPSHOT_SQL + """, ch AS (SELECT n.file AS cf, n.name AS changed, n.kind AS ck, n.scope AS cs, v.vector AS q FROM diff d JOIN n ON n.file = d.file AND n.name = d.name AND n.kind = d.kind AND n.scope IS NOT DISTINCT FROM d.scope JOIN vectors v ON v.symbol_id = n.id WHERE d.change IN ('added', 'modified')
+), sc AS (SELECT ch.* EXCLUDE (q), symbol_id, round(list_dot_product(vector, q), 12) AS score FROM vectors, ch
+), nth AS (SELECT *, row_number() OVER (PARTITION BY cf, changed, ck, cs ORDER BY score DESC, symbol_id) AS r FROM sc
+), oth AS (SELECT * FROM nth WHERE r <= 20 AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.name = changed AND s.kind = ck AND s.file = cf AND s.id = symbol_id)
 ), best AS (SELECT o.changed, s.name, s.kind, s.file, s.line, o.score, row_number() OVER (PARTITION BY s.name, s.kind, s.file, s.line ORDER BY o.score DESC, o.changed, o.symbol_id) AS b FROM oth o JOIN symbols s ON s.id = o.symbol_id)
 SELECT changed, name, kind, file, line, round(score, 6) AS score FROM best WHERE b = 1"""
 
@@ -188,7 +196,8 @@ def _silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(vectors.silhouette(_labelled(spark, sf_dir)), "silhouette")
 
 
-_SILHOUETTE_SQL = """WITH p AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 200),
+_SILHOUETTE_SQL = """WITH a AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings),
+p AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM a WHERE n <= 1000 OR r % CAST(ceil(n / 1000.0) AS BIGINT) = 0),
 d AS (SELECT a.id, a.cluster, b.cluster AS c2, avg(list_distance(a.v, b.v)) AS d FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL),
 e AS (SELECT id, cluster, min(d) FILTER (cluster = c2) AS a, min(d) FILTER (cluster <> c2) AS b FROM d GROUP BY id, cluster)
 SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS points FROM e"""
@@ -197,7 +206,7 @@ SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 E
 def _budget(page: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ix = P.index(spark, sf_dir)
-        found = _search_rows(ix, seed(ix, sf_dir)).select("tier", "file", "line", "content")
+        found = _search_rows(ix, seed(ix)).select("tier", "file", "line", "content")
         out = budget.within(found, 120, ["tier", "file", "line", "content"], page, "content")
         return out.filter("taken").select(F.col("position").cast("long").alias("position"), "file", "line", "content", "tokens")
 
@@ -251,6 +260,36 @@ def _entry_file(ix) -> str:
     return ix.symbols.groupBy("file").count().orderBy(F.desc("count"), "file").first()[0]
 
 
+def _sources(ix) -> DataFrame:
+    """A text for each file whose lines say which they are."""
+    return ix.files.select("path", F.array_join(F.transform(F.sequence(F.lit(1), F.col("line_count")), lambda n: F.format_string("line %d of %s", n, "path")), "\n").alias("content"))
+
+
+def _given_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members, distances and representatives by the centres of the first eight vectors."""
+    ix = P.index(spark, sf_dir)
+    first = [r[0] for r in ix.embeddings.filter("symbol_id < 8").orderBy("symbol_id").select("vector").collect()]
+    out = vectors.representatives(vectors.nearest_centres(ix.embeddings, first), ix, 3)
+    return out.select(F.col("cluster").cast("long").alias("cluster"), F.col("nth").cast("long").alias("nth"), "symbol_id", "name", "file", F.round("distance", 6).alias("distance"), "representative")
+
+
+_CENTRES_SQL = O.sql(""", c AS (SELECT symbol_id AS cluster, vector AS centre FROM vectors WHERE symbol_id < 8),
+d AS (SELECT symbol_id, cluster, list_distance(vector, centre) AS distance FROM vectors, c),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY round(distance, 9), cluster) AS r FROM d) WHERE r = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance, symbol_id) AS nth FROM m)
+SELECT cluster, nth, symbol_id, coalesce(name, '') AS name, coalesce(s.file, '') AS file, round(distance, 6) AS distance, nth <= 3 AS representative FROM o LEFT JOIN symbols s ON s.id = symbol_id""")
+
+_CONTEXT_SQL = O.flows(O.entry_names(0.5, 20), 5, 4, 0.5) + """
+SELECT s.id, s.name, s.kind, s.file, s.line,
+  (SELECT count(*) FROM (SELECT DISTINCT c.name, c.kind, c.file, c.line FROM refs r JOIN seed USING (name) JOIN symbols c ON c.id = r.caller_id WHERE r.confidence >= 0.5)) AS n_callers,
+  (SELECT count(DISTINCT source_file) FROM imports, seed WHERE ends_with(lower(import_path), lower(name))) AS n_importers,
+  (SELECT count(*) FROM (SELECT DISTINCT file, line, context FROM refs JOIN seed USING (name) WHERE caller_id IS NULL AND confidence >= 0.5)) AS n_type_users,
+  e.n AS n_callees, i.n AS n_imports, k.n AS n_children, (SELECT count(DISTINCT entry) FROM flow JOIN seed USING (name)) AS n_flows
+FROM symbols s JOIN seed USING (name)
+LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT DISTINCT r.caller_id AS id, r.name, coalesce(d.kind, 'function') AS kind, coalesce(d.file, '') AS file, coalesce(d.line, 0) AS line FROM refs r LEFT JOIN symbols d ON d.name = r.name AND d.kind IN ('function', 'method') WHERE r.caller_id IS NOT NULL AND r.confidence >= 0.5) GROUP BY id) e ON e.id = s.id
+LEFT JOIN (SELECT source_file, count(*) AS n FROM imports GROUP BY source_file) i ON i.source_file = s.file
+LEFT JOIN (SELECT parent_id, count(*) AS n FROM type_edges GROUP BY parent_id) k ON k.parent_id = s.id"""
+
 _TOPFILE = ", topfile AS (SELECT file FROM symbols GROUP BY file ORDER BY count(*) DESC, file LIMIT 1)"
 _CONTAINS = "contains(lower(name), 'red')"
 
@@ -258,7 +297,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "grep_literal": (lambda s, d: X.grep(P.text_lines(s, d), "than the "), O.sql("SELECT file, line, CAST(1 AS BIGINT) AS col, content FROM texts WHERE contains(content, 'than the ')")),
     "grep_regex": (lambda s, d: X.grep(P.text_lines(s, d), r"\bth[a-n]+nd\b", regex=True), O.sql(r"SELECT file, line, CAST(1 AS BIGINT) AS col, content FROM texts WHERE regexp_matches(content, '\bth[a-n]+nd\b')")),
     "grep_ignore_case": (lambda s, d: X.grep(P.text_lines(s, d), "LICENSE", ignore_case=True), O.sql("SELECT file, line, CAST(1 AS BIGINT) AS col, content FROM texts WHERE contains(lower(content), 'license')")),
-    "comment_lines": (lambda s, d: P.text_lines(s, d).filter(X.is_comment_line("content")).select("file", "line"), O.sql(r"SELECT file, line FROM texts WHERE regexp_matches(content, '^\s*(//|/\*|\* |\*/|#)') AND NOT regexp_matches(content, '^\s*#include')")),
+    "comment_lines": (_on(lambda ix: P.code_lines(ix).filter(X.is_comment_line("content")).select("file", "line", "content")), O.sql(r"SELECT file, line, content FROM code WHERE regexp_matches(content, '^\s*(//|/\*|\* |\*/|#)') AND NOT regexp_matches(content, '^\s*#include')")),
     "search_ranked": (_with(lambda ix, n: ranking.rank(_search_rows(ix, n)).select("tier", "category", "file", "line", "content")), O.sql(_SEARCH_SQL + " SELECT tier, category, file, line, content FROM tiered")),
     "search_dedup": (_with(lambda ix, n: ranking.search(P.code_lines(ix), ix, n).select("tier", "category", "file", "line", "content", "annotation")), O.sql(_SEARCH_SQL + " SELECT tier, category, file, line, content, annotation FROM folded")),
     "search_grouped": (
@@ -268,7 +307,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "search_mode_count": (_on(lambda ix: lookup.phrase_count(ix, "red gizmo")), O.sql(r"SELECT count(*) AS n FROM symbols WHERE contains(' ' || regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g') || ' ', ' red gizmo ')")),
     "rrf_fusion": (_rrf, O.sql(_RRF_SQL)),
     "sym_exact": (_with(lambda ix, n: lookup.symbols(ix, n, exact=True).select("id", "name", "kind", "file", "line", "scope", "signature")), O.sql("SELECT id, s.name, kind, file, line, scope, signature FROM symbols s JOIN seed USING (name)")),
-    "sym_substring": (_on(lambda ix: lookup.symbols(ix, "Red_", limit=40).select("id", "name", "kind", "file", "line")), O.sql(f"SELECT id, name, kind, file, line FROM symbols WHERE lower(name) LIKE '%red_%' ORDER BY {O.LOOSE.format('file')}, id LIMIT 40")),
+    "sym_substring": (_on(lambda ix: lookup.symbols(ix, "Red_", limit=40).select("id", "name", "kind", "file", "line")), O.sql(f"SELECT id, name, kind, file, line FROM symbols WHERE lower(name) LIKE '%red_%' ORDER BY {O.LOOSE.format('file')}, file, line, id LIMIT 40")),
     "sym_kind_file_scope": (_on(lambda ix: lookup.symbols(ix, "e", "method", "/f1", "Brand#11").select("id", "name", "file", "scope")), O.sql("SELECT id, name, file, scope FROM symbols WHERE contains(lower(name), 'e') AND kind = 'method' AND contains(lower(file), '/f1') AND scope = 'Brand#11'")),
     "ref_lookup": (_with(lambda ix, n: lookup.references(ix, n).drop("col")), O.sql("SELECT r.name, 'call' AS kind, r.file, r.line, r.context, c.name AS caller_name, r.confidence FROM refs r JOIN seed USING (name) LEFT JOIN symbols c ON c.id = r.caller_id")),
     "ref_with_subclasses": (
@@ -284,8 +323,13 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "show_symbol": (_on(lambda ix: lookup.show_symbol(ix, "red_", file="f1").drop("end_line")), O.sql("SELECT id, name, kind, file, line, scope, signature FROM symbols WHERE contains(lower(name), 'red_') AND contains(lower(file), 'f1')")),
     "show_file": (_on(lambda ix: lookup.show_file(ix, "src/m1/")), O.sql("SELECT id, name, kind, file, line, end_line, signature FROM symbols WHERE starts_with(lower(file), 'src/m1/') AND scope IS NULL")),
     "show_shallow": (
-        _on(lambda ix: lookup.bodies(lookup.show_symbol(ix, "red_", kind="class"), ix, ix.symbols.select(F.col("file").alias("path"), F.lit("").alias("content")).limit(0), "shallow").select("id", "name", "file", "body")),
-        O.sql("SELECT id, name, file, signature AS body FROM symbols WHERE contains(lower(name), 'red_') AND kind = 'class'"),
+        _on(lambda ix: lookup.bodies(lookup.show_symbol(ix, "red_"), ix, _sources(ix), "shallow").select("id", "name", "file", "body")),
+        O.sql("SELECT id, name, file, signature AS body FROM symbols WHERE contains(lower(name), 'red_')"),
+    ),
+    "show_bodies": (
+        _on(lambda ix: lookup.bodies(lookup.show_symbol(ix, "red_"), ix, _sources(ix), most=30).select("id", "name", "file", "body")),
+        O.sql("""SELECT id, name, file, CASE WHEN kind IN ('class', 'struct', 'interface') AND end_line - line + 1 > 30 THEN signature ELSE
+  (SELECT string_agg('line ' || CAST(x AS STRING) || ' of ' || file, chr(10) ORDER BY x) FROM range(line, least(end_line, line + 29) + 1) t(x)) || CASE WHEN end_line - line + 1 > 30 THEN chr(10) || '... (' || CAST(end_line - line - 29 AS STRING) || ' more lines)' ELSE '' END END AS body FROM symbols WHERE contains(lower(name), 'red_')"""),
     ),
     "show_lines": (lambda s, d: P.table(s, d, "documents").select("doc_id", X.line_range("text", 2, 4).alias("body")), "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS body FROM documents"),
     "callers_d1": (_with(lambda ix, n: graph.callers(ix, n, 1)), O.callers(1)),
@@ -302,19 +346,19 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
 fwd(name, depth) AS (SELECT name, 0 FROM far UNION SELECT e.b, f.depth + 1 FROM fwd f JOIN e ON e.a = f.name WHERE f.depth < 3),
 flev AS (SELECT name, min(depth) AS depth FROM fwd GROUP BY name), par AS (SELECT y.name, min(x.name) AS parent FROM flev y JOIN e ON e.b = y.name JOIN flev x ON x.name = e.a AND x.depth = y.depth - 1 GROUP BY y.name),
 back(name, depth) AS (SELECT l.name, l.depth FROM flev l JOIN seed USING (name) UNION ALL SELECT p.parent, b.depth - 1 FROM back b JOIN par p ON p.name = b.name WHERE b.depth > 0)
-SELECT CAST(b.depth AS BIGINT) AS hop, b.name, s.kind, s.file, s.line FROM back b JOIN (SELECT DISTINCT ON (name) * FROM symbols ORDER BY name, id) s ON s.name = b.name"""
+SELECT CAST(b.depth AS BIGINT) AS hop, b.name, s.kind, s.file, s.line FROM back b JOIN (SELECT DISTINCT ON (name) * FROM symbols ORDER BY name, file, line, id) s ON s.name = b.name"""
         ),
     ),
     "entry_points": (_on(lambda ix: graph.entry_points(ix, 0.9)), O.sql("SELECT id, name, kind, file, line FROM symbols s WHERE kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.name = s.name AND r.caller_id IS NOT NULL AND r.confidence >= 0.9)")),
-    "flow_trace": (_on(lambda ix: graph.flows(ix, graph.entry_points(ix, 0.9), 5, 4, 0.5)), None),
+    "flow_trace": (_on(lambda ix: graph.flows(ix, graph.entry_points(ix, 0.9), 5, 4, 0.5)), O.sql(O.flows(O.entry_names(0.9), 5, 4, 0.5) + " SELECT entry, step, name, kind, file, line, CAST(depth AS BIGINT) AS depth FROM flow")),
     "blast_up": (_with(lambda ix, n: graph.blast(ix, [n], "upstream", 3)), O.sql(O.blast(3) + " SELECT * FROM affected")),
     "blast_down": (_with(lambda ix, n: graph.blast(ix, [n], "downstream", 2)), O.sql(O.blast(2, True) + " SELECT * FROM affected")),
     "blast_tiers": (_with(lambda ix, n: graph.blast_tiers(graph.blast(ix, [n], "upstream", 3))), O.sql(O.blast(3) + " SELECT source, severity, count(*) AS n, count(DISTINCT file) AS files, min(depth) AS least_depth FROM affected GROUP BY source, severity")),
-    "blast_risk": (_with(lambda ix, n: graph.blast_risk(graph.blast(ix, [n], "upstream", 1))), O.sql(O.blast(1) + f" SELECT source, count(*) AS total, count(DISTINCT file) AS files, {O.RISK.format('count(*)')} AS risk FROM affected GROUP BY source")),
+    "blast_risk": (_with(lambda ix, n: graph.blast_risk(graph.blast(ix, _top(ix), "upstream", 1))), O.sql(O.blast(1, names=_TOP_SQL) + f" SELECT source, count(*) AS total, count(DISTINCT file) AS files, {O.RISK.format('count(*)')} AS risk FROM affected GROUP BY source")),
     "dep_edges": (_on(graph.dep_edges), O.sql(O.DEP_EDGES + " SELECT src, dst FROM dep_edges")),
-    "reach_from": (_on(lambda ix: graph.reach(graph.dep_edges(ix), _hub(ix))), O.sql(O.DEP_EDGES + O.reach("w", "SELECT file FROM hub") + " SELECT file FROM w")),
-    "reach_to": (_on(lambda ix: graph.reach(graph.dep_edges(ix), _hub(ix), reverse=True)), O.sql(O.DEP_EDGES + O.reach("w", "SELECT file FROM hub", True) + " SELECT file FROM w")),
-    "reach_between": (_on(lambda ix: graph.reach_between(graph.dep_edges(ix), "src/main.rs", _hub(ix))), O.sql(O.DEP_EDGES + O.reach("w", "SELECT 'src/main.rs'") + O.reach("v", "SELECT file FROM hub", True) + " SELECT file FROM w INTERSECT SELECT file FROM v")),
+    "reach_from": (_on(lambda ix: graph.reach(ix, _importer(ix))), O.sql(O.DEP_EDGES + O.reach("w", "SELECT file FROM importer") + " SELECT file FROM w")),
+    "reach_to": (_on(lambda ix: graph.reach(ix, _hub(ix), reverse=True)), O.sql(O.DEP_EDGES + O.reach("w", "SELECT file FROM hub", True) + " SELECT file FROM w")),
+    "reach_between": (_on(lambda ix: graph.reach_between(ix, "src/main.rs", _hub(ix))), O.sql(O.DEP_EDGES + O.reach("w", "SELECT 'src/main.rs'") + O.reach("v", "SELECT file FROM hub", True) + " SELECT file FROM w INTERSECT SELECT file FROM v")),
     "ctx_callers": (_with(lambda ix, n: context.callers(ix, n, 0.8)), O.sql("SELECT DISTINCT c.name, c.kind, c.file, c.line FROM refs r JOIN seed USING (name) JOIN symbols c ON c.id = r.caller_id WHERE r.confidence >= 0.8")),
     "ctx_importers": (_on(lambda ix: context.importers(ix, "F12")), O.sql("SELECT DISTINCT source_file FROM imports WHERE ends_with(lower(import_path), 'f12')")),
     "ctx_type_users": (_with(lambda ix, n: context.type_users(ix, n)), O.sql("SELECT DISTINCT file, line, context FROM refs JOIN seed USING (name) WHERE caller_id IS NULL")),
@@ -322,8 +366,8 @@ SELECT CAST(b.depth AS BIGINT) AS hop, b.name, s.kind, s.file, s.line FROM back
         _with(lambda ix, n: context.callees(ix, context.matching(ix, n))),
         O.sql("SELECT DISTINCT s.id, r.name, coalesce(d.kind, 'function') AS kind, coalesce(d.file, '') AS file, coalesce(d.line, 0) AS line FROM symbols s JOIN seed USING (name) JOIN refs r ON r.caller_id = s.id LEFT JOIN symbols d ON d.name = r.name AND d.kind IN ('function', 'method')"),
     ),
-    "ctx_children": (_with(lambda ix, n: context.children(ix, ix.symbols.select("id"))), O.sql("SELECT e.parent_id AS id, k.name, k.kind, k.file, k.line, e.relationship FROM type_edges e JOIN symbols p ON p.id = e.parent_id JOIN symbols k ON k.id = e.child_id WHERE p.id <= 500")),
-    "symbol_context": (_with(lambda ix, n: context.symbol_context(ix, n, min_confidence=0.5).select("id", "name", "kind", "file", "line", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("callers", "importers", "type_users", "callees", "imports", "children", "flows")])), None),
+    "ctx_children": (_with(lambda ix, n: context.children(ix, ix.symbols.select("id"))), O.sql("SELECT e.parent_id AS id, k.name, k.kind, k.file, k.line, e.relationship FROM type_edges e JOIN symbols p ON p.id = e.parent_id JOIN symbols k ON k.id = e.child_id")),
+    "symbol_context": (_with(lambda ix, n: context.symbol_context(ix, n, min_confidence=0.5).select("id", "name", "kind", "file", "line", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("callers", "importers", "type_users", "callees", "imports", "children", "flows")])), O.sql(_CONTEXT_SQL)),
     "summary_languages": (_on(lambda ix: summary.languages(ix, "src/m1")), O.sql("SELECT language, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines FROM files WHERE starts_with(path, 'src/m1/') GROUP BY language")),
     "summary_kinds": (_on(lambda ix: summary.kinds(ix, "src/m1/")), O.sql("SELECT kind, count(*) AS n FROM symbols WHERE starts_with(file, 'src/m1/') GROUP BY kind")),
     "summary_deps": (_on(lambda ix: summary.dependencies(ix, "./src/m1")), O.sql("SELECT count(DISTINCT import_path) AS deps FROM imports WHERE starts_with(source_file, 'src/m1/')")),
@@ -343,7 +387,7 @@ SELECT f.node AS path, CASE WHEN f.node = '.' THEN NULL WHEN contains(f.node, '/
         O.sql(r"""SELECT DISTINCT i.source_file AS "from", f.path AS "to" FROM imports i JOIN files f ON regexp_extract(f.path, '([^/]*)\.rs$', 1) = substr(i.import_path, 3) WHERE starts_with(i.source_file, 'src/m1/') AND starts_with(f.path, 'src/m1/') AND i.source_file <> f.path"""),
     ),
     "root_dirs": (_on(summary.root_dirs), O.sql("SELECT DISTINCT string_split(path, '/')[1] AS dir FROM files WHERE contains(path, '/')")),
-    "outline": (_on(lambda ix: summary.outline(ix, _entry_file(ix))), O.sql(_TOPFILE + " SELECT id, name, kind, line FROM symbols JOIN topfile USING (file) WHERE scope IS NULL AND kind <> 'method' ORDER BY id LIMIT 50")),
+    "outline": (_on(lambda ix: summary.outline(ix, _entry_file(ix))), O.sql(_TOPFILE + " SELECT id, name, kind, line FROM symbols JOIN topfile USING (file) WHERE scope IS NULL AND kind <> 'method' ORDER BY line, id LIMIT 50")),
     "semantic_topk": (_semantic, O.sql(_Q + " SELECT symbol_id, name, kind, s.file, line, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, symbol_id LIMIT 10) t JOIN symbols s ON s.id = t.symbol_id")),
     "semantic_scoped": (_semantic_scoped, O.sql(_Q + " SELECT symbol_id, name, kind, s.file, line, round(score, 6) AS score FROM (SELECT * FROM scored WHERE file LIKE 'src/m1%' AND NOT stale ORDER BY score DESC, symbol_id LIMIT 10) t JOIN symbols s ON s.id = t.symbol_id")),
     "semantic_dedup": (_semantic_dedup, O.sql(_Q + " SELECT symbol_id, name, kind, s.file, s.line, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, symbol_id LIMIT 10) t JOIN symbols s ON s.id = t.symbol_id WHERE NOT EXISTS (SELECT 1 FROM code c WHERE contains(c.content, '_1') AND c.file = s.file AND c.line = s.line)")),
@@ -352,20 +396,21 @@ SELECT f.node AS path, CASE WHEN f.node = '.' THEN NULL WHEN contains(f.node, '/
     "l2_norm": (_norms, "SELECT vec_id AS symbol_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings"),
     "centroid_mean": (lambda s, d: _rounded(vectors.centroids(_labelled(s, d)).select("cluster", F.col("dim").cast("long").alias("dim"), "mean"), "mean"), "SELECT label AS cluster, CAST(i - 1 AS BIGINT) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY label, i"),
     "silhouette_given_labels": (_silhouette, _SILHOUETTE_SQL),
-    "kmeans_clusters": (_on(lambda ix: vectors.cluster(vectors.scoped(ix, "src/m1"), 5).select("symbol_id", "cluster", F.round("distance", 6).alias("distance"))), None),
-    "cluster_representatives": (_on(lambda ix: vectors.representatives(vectors.cluster(vectors.scoped(ix, "src/m2"), 4), ix)), None),
+    "cluster_given_centres": (_given_centres, _CENTRES_SQL),
+    "kmeans_clusters": (_on(lambda ix: vectors.cluster(vectors.scoped(ix, ""), 5).select("symbol_id", "cluster", F.round("distance", 6).alias("distance"))), None),
+    "cluster_representatives": (_on(lambda ix: vectors.representatives(vectors.cluster(vectors.scoped(ix, ""), 4), ix)), None),
     "snapshot_diff": (_on(_diff), O.sql(_SNAPSHOT_SQL + " SELECT file, name, kind, scope, line, change FROM diff WHERE change IS NOT NULL")),
     "hunk_overlap": (_touched, O.sql(_SNAPSHOT_SQL + " SELECT id, file, name, kind, line FROM touched")),
     "change_merge": (
         _merge,
         O.sql(_SNAPSHOT_SQL + ", mixed AS (SELECT file, name, kind, line, change, 0 AS p, 'parser' AS via FROM diff WHERE change IS NOT NULL UNION ALL SELECT file, name, kind, line, 'modified', 1, 'hunk' FROM touched) SELECT file, name, kind, line, change, via FROM (SELECT *, row_number() OVER (PARTITION BY file, name, kind ORDER BY p, line, change) AS r FROM mixed) WHERE r = 1"),
     ),
-    "change_blast": (_on(lambda ix: changes.affected(ix, _diff(ix), 2)), O.sql(_FEW_SQL + O.blast(2, names="SELECT name FROM few") + " SELECT * FROM affected")),
+    "change_blast": (_on(lambda ix: changes.affected(ix, _diff(ix), 2)), O.sql(_SNAPSHOT_SQL + O.blast(2, names=_CHANGED) + " SELECT * FROM affected")),
     "change_risk": (
         _on(lambda ix: changes.combined_risk(ix, _diff(ix), 2)),
-        O.sql(_FEW_SQL + O.blast(2, names="SELECT name FROM few") + f" SELECT max(n) AS most, CAST(sum(n) AS BIGINT) AS total, {O.RISK.format('max(n)')} AS risk FROM (SELECT count(*) AS n FROM affected GROUP BY source)"),
+        O.sql(_SNAPSHOT_SQL + O.blast(2, names=_CHANGED) + f" SELECT max(n) AS most, CAST(sum(n) AS BIGINT) AS total, {O.RISK.format('max(n)')} AS risk FROM (SELECT count(*) AS n FROM affected GROUP BY source)"),
     ),
-    "change_flows": (_on(lambda ix: changes.affected_flows(ix, _diff(ix), graph.entry_points(ix, 0.9), 5, 4, 0.5)), None),
+    "change_flows": (_on(lambda ix: changes.affected_flows(ix, _diff(ix), graph.entry_points(ix, 0.9), 5, 4, 0.5)), O.sql(_SNAPSHOT_SQL + O.flows(O.entry_names(0.9), 5, 4, 0.5) + f" SELECT entry, count(*) AS matches FROM (SELECT entry, name FROM flow UNION ALL SELECT DISTINCT entry, entry FROM flow) WHERE name IN ({_CHANGED}) GROUP BY entry")),
     "resolve_targets": (
         _resolve,
         O.sql(", loc AS (SELECT file, name, arg_max(id, line * 1000000000 + id) AS id FROM symbols GROUP BY file, name), uni AS (SELECT name, min(id) AS id FROM symbols GROUP BY name HAVING count(*) = 1) SELECT DISTINCT r.name, r.file, r.line, coalesce(l.id, u.id) AS target_id FROM refs r LEFT JOIN loc l ON l.file = r.file AND l.name = r.name LEFT JOIN uni u ON u.name = r.name"),

@@ -12,13 +12,13 @@ symbols AS (
     CASE p_partkey % 3 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' ELSE 'go' END AS language
   FROM part
 ), calls AS (
-  SELECT *, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS caller_id FROM lineitem
+  SELECT *, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS before FROM lineitem
 ), refs AS (
-  SELECT t.name, coalesce(c.file, 'src/main.rs') AS file, CAST(l_linenumber AS BIGINT) AS line, 'call ' || t.name AS context, caller_id,
+  SELECT t.name, coalesce(c.file, 'src/main.rs') AS file, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_quantity <= 4 THEN 'call ' ELSE 'type ' END || t.name AS context, CASE WHEN l_quantity <= 4 THEN before END AS caller_id, l_quantity <= 4 AS called,
     CASE WHEN l_discount < 0.025 THEN 0.95 WHEN l_discount < 0.055 THEN 0.85 WHEN l_discount < 0.075 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence, l_partkey AS target_id
-  FROM calls JOIN symbols t ON t.id = l_partkey LEFT JOIN symbols c ON c.id = caller_id WHERE l_quantity <= 4
+  FROM calls JOIN symbols t ON t.id = l_partkey LEFT JOIN symbols c ON c.id = before
 ), imports AS (
-  SELECT DISTINCT r.file AS source_file, './' || regexp_extract(t.file, '([^/]*)\\.rs$', 1) AS import_path FROM refs r JOIN symbols t ON t.id = r.target_id
+  SELECT DISTINCT r.file AS source_file, './' || regexp_extract(t.file, '([^/]*)\\.rs$', 1) AS import_path FROM refs r JOIN symbols t ON t.id = r.target_id WHERE r.called
 ), type_edges AS (
   SELECT id AS child_id, id // 3 AS parent_id, CASE WHEN id % 2 = 0 THEN 'extends' ELSE 'implements' END AS relationship FROM symbols WHERE kind IN ('class', 'struct', 'interface')
 ), files AS (
@@ -28,6 +28,7 @@ symbols AS (
 ), code AS (
   SELECT file, line, 'fn ' || name AS content FROM symbols UNION SELECT file, line + 500, '    ' || name || '();' FROM refs
   UNION SELECT file, line + 900, 'use crate::' || name || ';' FROM refs WHERE caller_id IS NULL
+  UNION SELECT file, line + 1300, '// see ' || name FROM symbols
 ), texts AS (
   SELECT file, CAST(n AS BIGINT) AS line, regexp_replace(parts[n], '[\\r\\n]+$', '') AS content FROM (
     SELECT file, parts, unnest(range(1, len(parts) + 1 - CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END)) AS n FROM (
@@ -90,7 +91,7 @@ def blast(depth: int, down: bool = False, names: str = "SELECT name FROM seed")
     """CTE ``affected`` (source, name, kind, file, line, depth, confidence), tests left out and not crossed."""
     keep = "NOT " + TEST.format("file")
     if down:
-        edge = "SELECT c.name AS at, r.name, coalesce(d.kind, 'function') AS kind, r.file, r.line, r.confidence, 0 AS via FROM refs r JOIN symbols c ON c.id = r.caller_id LEFT JOIN (SELECT DISTINCT ON (name) name, kind FROM symbols ORDER BY name, id) d ON d.name = r.name"
+        edge = "SELECT c.name AS at, r.name, coalesce(d.kind, 'function') AS kind, r.file, r.line, r.confidence, 0 AS via FROM refs r JOIN symbols c ON c.id = r.caller_id LEFT JOIN (SELECT DISTINCT ON (name) name, kind FROM symbols ORDER BY name, file, line, id) d ON d.name = r.name"
     else:
         edge = "SELECT r.name AS at, c.name, c.kind, c.file, c.line, r.confidence, 0 AS via FROM refs r JOIN symbols c ON c.id = r.caller_id"
     child = "" if down else " UNION ALL SELECT n.name AS source, k.name, k.kind, k.file, k.line, 1 AS depth, 1.0 AS confidence, 1 AS via FROM starts n JOIN symbols p ON p.name = n.name JOIN type_edges e ON e.parent_id = p.id JOIN symbols k ON k.id = e.child_id"
@@ -106,7 +107,8 @@ affected AS (SELECT source, name, kind, file, line, CAST(depth AS BIGINT) AS dep
 
 DEP_EDGES = """, dep_edges AS (
   SELECT DISTINCT i.source_file AS src, f.path AS dst FROM imports i JOIN files f ON regexp_replace(regexp_extract(f.path, '([^/]*)$', 1), '\\.[^.]*$', '') = regexp_extract(i.import_path, '([^/:]*)$', 1) WHERE i.source_file <> f.path
-), hub AS (SELECT dst AS file FROM dep_edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"""
+), hub AS (SELECT dst AS file FROM dep_edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1
+), importer AS (SELECT source_file AS file FROM imports WHERE source_file <> 'src/main.rs' GROUP BY source_file ORDER BY count(*) DESC, source_file LIMIT 1)"""
 
 
 def reach(as_: str, start: str, reverse: bool = False) -> str:
@@ -115,3 +117,29 @@ def reach(as_: str, start: str, reverse: bool = False) -> str:
 
 
 RISK = "CASE WHEN {0} <= 3 THEN 'low' WHEN {0} <= 10 THEN 'medium' WHEN {0} <= 25 THEN 'high' ELSE 'critical' END"
+
+
+def flows(entries: str, depth: int, branching: int, conf: float, as_: str = "flow") -> str:
+    """CTE ``flow`` (entry, step, name, kind, file, line, depth), level by level; ``entries`` selects names."""
+    out = f""", {as_}_def AS MATERIALIZED (
+  SELECT name, id AS def_id, kind, file AS def_file, line AS def_line, row_number() OVER (PARTITION BY name ORDER BY file, line, id) AS which FROM symbols WHERE kind IN ('function', 'method')
+), {as_}_edge AS MATERIALIZED (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY caller_id ORDER BY confidence DESC, name, which) AS nth FROM (
+    SELECT caller_id, name, max(confidence) AS confidence FROM refs WHERE caller_id IS NOT NULL AND confidence >= {conf} GROUP BY ALL) LEFT JOIN {as_}_def USING (name)) WHERE nth <= {branching}
+), {as_}0 AS MATERIALIZED (
+  SELECT name AS entry, def_id AS id, name, kind, def_file AS file, def_line AS line, 0 AS depth, CAST(0 AS BIGINT) AS step FROM {as_}_def WHERE which = 1 AND name IN ({entries})
+)"""
+    for d in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT entry, name FROM {as_}{k}" for k in range(d))
+        out += f""", {as_}{d} AS MATERIALIZED (
+  SELECT entry, def_id AS id, name, coalesce(kind, 'function') AS kind, coalesce(def_file, '') AS file, coalesce(def_line, 0) AS line, {d} AS depth, base + row_number() OVER (PARTITION BY entry ORDER BY frm, nth) AS step FROM (
+    SELECT *, row_number() OVER (PARTITION BY entry, name ORDER BY frm, nth) AS r FROM (SELECT l.entry, l.step AS frm, e.* FROM {as_}{d - 1} l JOIN {as_}_edge e ON e.caller_id = l.id) ANTI JOIN ({seen}) USING (entry, name)
+  ) JOIN (SELECT entry, max(step) AS base FROM {as_}{d - 1} GROUP BY entry) USING (entry) WHERE r = 1
+)"""
+    every = " UNION ALL ".join(f"SELECT entry, step, name, kind, file, line, depth FROM {as_}{d}" for d in range(depth + 1))
+    return out + f""", {as_} AS (SELECT * FROM ({every}) WHERE entry IN (SELECT entry FROM ({every}) GROUP BY entry HAVING count(*) > 1))"""
+
+
+def entry_names(conf: float, limit: int | None = None) -> str:
+    """Names of the entry points, by place."""
+    return f"SELECT name FROM (SELECT * FROM symbols s WHERE kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.name = s.name AND r.caller_id IS NOT NULL AND r.confidence >= {conf}) ORDER BY file, line, id{f' LIMIT {limit}' if limit else ''})"

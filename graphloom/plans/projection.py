@@ -1,4 +1,7 @@
-"""The driver's tables seen as an index: parts are symbols, line items are references, documents are text."""
+"""The driver's tables seen as an index: parts are symbols, line items are references, documents are text.
+
+A line item of up to four pieces is a call from the part before it in its order; the others name their part as
+a type, outside any symbol, as type references have no caller. A file imports the files that it calls into."""
 
 from __future__ import annotations
 
@@ -39,13 +42,14 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refs(spark: SparkSession, sf_dir: str, syms: DataFrame) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
-    calls = table(spark, sf_dir, "lineitem").withColumn("caller_id", F.lag("l_partkey").over(order)).filter("l_quantity <= 4")
+    calls = table(spark, sf_dir, "lineitem").withColumn("before", F.lag("l_partkey").over(order))
     conf = F.when(F.col("l_discount") < 0.025, 0.95).when(F.col("l_discount") < 0.055, 0.85).when(F.col("l_discount") < 0.075, 0.8).otherwise(0.5)
     target = syms.select(F.col("id").alias("l_partkey"), "name")
-    caller = syms.select(F.col("id").alias("caller_id"), F.col("file").alias("caller_file"))
-    return calls.join(target, "l_partkey").join(caller, "caller_id", "left").select(
+    caller = syms.select(F.col("id").alias("before"), F.col("file").alias("caller_file"))
+    called = F.col("l_quantity") <= 4
+    return calls.join(target, "l_partkey").join(caller, "before", "left").select(
         "name", F.coalesce("caller_file", F.lit("src/main.rs")).alias("file"), F.col("l_linenumber").cast("long").alias("line"), F.lit(0).cast("long").alias("col"),
-        F.concat(F.lit("call "), "name").alias("context"), "caller_id", conf.alias("confidence"), F.col("l_partkey").alias("target_id"),
+        F.concat(F.when(called, "call ").otherwise("type "), "name").alias("context"), F.when(called, F.col("before")).alias("caller_id"), conf.alias("confidence"), F.col("l_partkey").alias("target_id"), called.alias("called"),
     )
 
 
@@ -53,12 +57,12 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     syms = symbols(spark, sf_dir)
     calls = refs(spark, sf_dir, syms)
     targets = syms.select(F.col("id").alias("target_id"), stem("file").alias("to"))
-    imports = calls.join(targets, "target_id").select(F.col("file").alias("source_file"), F.concat(F.lit("./"), "to").alias("import_path")).distinct()
+    imports = calls.filter("called").join(targets, "target_id").select(F.col("file").alias("source_file"), F.concat(F.lit("./"), "to").alias("import_path")).distinct()
     edges = syms.filter(F.col("kind").isin("class", "struct", "interface")).select(F.col("id").alias("child_id"), F.floor(F.col("id") / 3).cast("long").alias("parent_id"), F.when(F.col("id") % 2 == 0, "extends").otherwise("implements").alias("relationship"))
     files = syms.groupBy(F.col("file").alias("path")).agg(F.min("language").alias("language"), F.max("end_line").alias("line_count"), F.count("*").alias("symbols_count"))
     files = files.select("path", "language", F.md5("path").alias("hash"), F.lit(0).cast("long").alias("last_indexed"), "line_count", "symbols_count")
     vectors = table(spark, sf_dir, "embeddings").join(syms.select(F.col("id").alias("vec_id"), "file"), "vec_id", "left").select(F.col("vec_id").alias("symbol_id"), "file", F.col("embedding").alias("vector"), (F.col("vec_id") % 10 == 9).alias("stale"))
-    return Index(files, syms, calls, imports, edges, vectors)
+    return Index(files, syms, calls.drop("called"), imports, edges, vectors)
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +73,9 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_lines(ix: Index) -> DataFrame:
-    """Source lines made of the index: definitions, calls and imports."""
+    """Source lines made of the index: definitions, comments, calls and imports."""
     defs = ix.symbols.select("file", "line", F.concat(F.lit("fn "), "name").alias("content"))
     calls = ix.refs.select("file", (F.col("line") + 500).alias("line"), F.concat(F.lit("    "), "name", F.lit("();")).alias("content"))
     uses = ix.refs.filter("caller_id IS NULL").select("file", (F.col("line") + 900).alias("line"), F.concat(F.lit("use crate::"), "name", F.lit(";")).alias("content"))
-    return defs.unionByName(calls).unionByName(uses).distinct()
+    notes = ix.symbols.select("file", (F.col("line") + 1300).alias("line"), F.concat(F.lit("// see "), "name").alias("content"))
+    return defs.unionByName(calls).unionByName(uses).unionByName(notes).distinct()

@@ -22,7 +22,7 @@ def index(files: DataFrame) -> Index:
     """Index of ``files`` (path, content, language): extraction, resolution, confidence."""
     rows = parsed(files).persist()
     sym = rows.select(F.col("path").alias("file"), "language", F.explode("symbols").alias("s")).select("file", "language", "s.*")
-    symbols = sym.select(symbol_id("file", "line", "col", "name").alias("id"), "name", "kind", "file", "line", "col", "end_line", "scope", "signature", "language", "doc_comment").dropDuplicates(["id"])
+    symbols = sym.select(symbol_id("file", "line", "col", "name").alias("id"), "name", "kind", "file", "line", "col", "end_line", "scope", "signature", "language", "doc_comment").dropDuplicates(["file", "line", "col", "name"])
     imports = rows.select(F.col("path").alias("source_file"), F.explode("imports").alias("import_path")).distinct()
     refs = rows.select(F.col("path").alias("file"), F.explode("refs").alias("r")).select("file", "r.*")
     refs = resolve.confidence(resolve.targets(resolve.callers(refs, symbols), symbols), symbols, imports)

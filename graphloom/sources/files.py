@@ -68,7 +68,7 @@ def walk(spark: SparkSession, root: str, ignore: list[str] | None = None, known_
     for row in read(every.filter(F.col("path").rlike(r"(^|/)(\.gitignore|\.ignore)$"))).orderBy("path").collect():
         at = row["path"].rpartition("/")[0]
         inside = F.lit(True) if not at else F.col("path").startswith(at + "/")
-        here = F.col("path") if not at else F.substring("path", len(at) + 2, 1 << 20)
+        here = F.col("path") if not at else F.substr("path", F.lit(len(at) + 2))
         found = found.filter(~(inside & X.ignored(here, row["content"].splitlines())))
     if ignore:
         found = found.filter(~X.ignored("path", ignore))

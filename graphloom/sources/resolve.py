@@ -40,10 +40,10 @@ def confidence(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataF
 
 
 def parents(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(child_id, parent_id, relationship) of named inheritance: the parent in the same file, else the least id of its name."""
+    """(child_id, parent_id, relationship) of named inheritance: the parent in the same file, else the first of its name by place."""
     child = local_definitions(symbols).select("file", F.col("name").alias("child"), F.col("id").alias("child_id"))
     near = local_definitions(symbols).select("file", F.col("name").alias("parent"), F.col("id").alias("near_id"))
-    any_ = symbols.groupBy(F.col("name").alias("parent")).agg(F.min("id").alias("any_id"))
+    any_ = symbols.groupBy(F.col("name").alias("parent")).agg(F.min_by("id", F.struct("file", "line", "id")).alias("any_id"))
     out = edges.join(child, ["file", "child"]).join(near, ["file", "parent"], "left").join(any_, "parent", "left")
     return out.select("child_id", F.coalesce("near_id", "any_id").alias("parent_id"), "relationship").filter("parent_id IS NOT NULL").distinct()
 

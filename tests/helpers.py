@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import pandas as pd
 
 from graphloom.index import SCHEMAS, Index
 
@@ -27,7 +27,7 @@ def rows(df, *columns):
 
 
 def cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return "NULL"
     if isinstance(v, bool):
         return str(v)
