@@ -53,6 +53,18 @@ def page_info(budgeted: DataFrame, skipped_count: bool = False) -> DataFrame:
     return out.withColumn("has_more", F.col("truncated") > 0)
 
 
+def answer(rows: DataFrame, order: list, limit: int, page: int = 1, skipped_count: bool = False) -> DataFrame:
+    """One row: ``results`` (JSON, in order; what fits ``limit`` tokens), ``page``, ``shown``, ``total``, ``has_more`` and ``hint``."""
+    budgeted = within(rows, limit, order, page)
+    one = F.struct("position", F.to_json(F.struct(*rows.columns)).alias("json"))
+    results = budgeted.filter("taken").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["json"]).alias("results"))
+    facts = page_info(budgeted, skipped_count).withColumn("page", F.lit(page)).withColumn("total", F.col("shown") + F.col("truncated"))
+    facts = facts.crossJoin(budgeted.agg(F.count("*").alias("matches")))  # one row each
+    more = F.when(F.col("has_more"), F.format_string(" Use page=%d for more.", F.col("page") + 1)).otherwise(" No more pages.")
+    hint = F.concat(F.format_string("Page %d. Showing %d of %d matches.", "page", "shown", "matches"), more)
+    return facts.withColumn("hint", hint).crossJoin(results).select("results", "page", "shown", F.col("matches").alias("total"), "has_more", "hint")
+
+
 def body_limit(remaining_chars: int, average_line: int) -> int:
     """Lines of a body that still fit, between 20 and 80."""
     return max(20, min(80, remaining_chars // max(1, average_line)))

@@ -14,6 +14,7 @@ from ..streaming import events
 from . import oracle as O
 from . import projection as P
 from .frames import first_per
+from .service import Service
 
 def seed(ix) -> str:
     """The most referenced name: a parameter, one row."""
@@ -127,9 +128,8 @@ _SEARCH_SQL = """, hits AS (SELECT c.* FROM code c, seed s WHERE contains(c.cont
 
 def _rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = P.index(spark, sf_dir)
-    structural = ranking.ranked_rows(X.grep(P.code_lines(ix), seed(ix)), "file", "line", "content")
-    semantic = ranking.ranked_rows(vectors.resolved(vectors.top_k(ix.embeddings, _query_vector(spark, sf_dir), 20), ix), F.desc("score"), "symbol_id")
-    return _rounded(ranking.fuse(structural, semantic), "score")
+    service = Service(ix, P.code_lines(ix), lambda _: _query_vector(spark, sf_dir))
+    return _rounded(service.search(seed(ix), mode="semantic", include_tests=True), "score")
 
 
 _Q = ", q AS (SELECT vector AS qv FROM vectors WHERE symbol_id = 0), scored AS (SELECT v.symbol_id, v.file, v.stale, list_dot_product(v.vector, q.qv) AS score FROM vectors v, q)"
@@ -225,6 +225,26 @@ def _budget_sql(page: int) -> str:
     )
 
 
+def _service_page(page: int):
+    """A page of the callers, by the service, in their order."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ix = P.index(spark, sf_dir)
+        return Service(ix).call("callers", limit=300, page=page, name=seed(ix), depth=2, include_tests=True)
+
+    return run
+
+
+def _service_page_sql(page: int) -> str:
+    return f"""WITH RECURSIVE called AS ({O.callers(2)}),
+numbered AS (SELECT *, row_number() OVER (ORDER BY depth, file, line, caller_name) AS position, CAST(ceil(octet_length(encode(CAST(to_json({{'caller_name': caller_name, 'caller_kind': caller_kind, 'file': file, 'line': line, 'signature': signature, 'depth': depth, 'target_file': target_file, 'confidence': confidence}}) AS VARCHAR))) / 4.0) AS BIGINT) AS tokens FROM called),
+fold(position, skip, used, taken) AS (
+  SELECT CAST(0 AS BIGINT), CAST({(page - 1) * 300} AS BIGINT), CAST(0 AS BIGINT), false UNION ALL
+  SELECT n.position, CASE WHEN f.skip > 0 AND n.tokens <= f.skip THEN f.skip - n.tokens ELSE 0 END, CASE WHEN f.skip = 0 AND f.used + n.tokens <= 300 THEN f.used + n.tokens ELSE f.used END, f.skip = 0 AND f.used + n.tokens <= 300
+  FROM fold f JOIN numbered n ON n.position = f.position + 1
+) SELECT n.* EXCLUDE (position) FROM fold JOIN numbered n USING (position) WHERE taken"""
+
+
 def _stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     follower = events.Follower(spark)
     return follower.run(events.file_event_stream(spark, sf_dir)).select("path", "op", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "hash")
@@ -381,6 +401,12 @@ SELECT CAST(b.depth AS BIGINT) AS hop, b.name, s.kind, s.file, s.line FROM back
 SELECT f.node AS path, CASE WHEN f.node = '.' THEN NULL WHEN contains(f.node, '/') THEN regexp_replace(f.node, '/[^/]*$', '') ELSE '.' END AS parent, CAST(CASE WHEN f.node = '.' THEN 0 ELSE len(string_split(f.node, '/')) END AS BIGINT) AS depth, files, lines, coalesce(symbols, 0) AS symbols, coalesce(deps, 0) AS deps FROM f LEFT JOIN s USING (node) LEFT JOIN d USING (node)"""
         ),
     ),
+    "summary_depth": (
+        _on(lambda ix: summary.tree(ix, "src", 1).select("path", "parent", F.col("level").cast("long").alias("level"), "type", "files", "lines", "symbols", "deps")),
+        O.sql("""SELECT p.path, CASE WHEN p.path = 'src' THEN NULL ELSE 'src' END AS parent, CAST(CASE WHEN p.path = 'src' THEN 0 ELSE 1 END AS BIGINT) AS level, 'directory' AS type, (SELECT count(*) FROM files WHERE starts_with(path, p.path || '/')) AS files,
+  (SELECT CAST(sum(line_count) AS BIGINT) FROM files WHERE starts_with(path, p.path || '/')) AS lines, (SELECT count(*) FROM symbols WHERE starts_with(file, p.path || '/')) AS symbols, (SELECT count(DISTINCT import_path) FROM imports WHERE starts_with(source_file, p.path || '/')) AS deps
+FROM (SELECT 'src' AS path UNION SELECT DISTINCT 'src/' || string_split(path, '/')[2] FROM files) p"""),
+    ),
     "summary_children": (_on(lambda ix: summary.children(ix, ".").select("path", "files", "lines", "symbols")), O.sql("SELECT 'src/' || string_split(path, '/')[2] AS path, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines, CAST(sum(symbols_count) AS BIGINT) AS symbols FROM files GROUP BY 1")),
     "summary_import_edges": (
         _on(lambda ix: summary.import_edges(ix, "src/m1")),
@@ -426,6 +452,8 @@ WHEN EXISTS (SELECT 1 FROM symbols s WHERE s.file = r.file AND s.name = r.name)
     "languages_seen": (_on(lambda ix: ix.files.agg(F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages"))), O.sql("SELECT string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM files")),
     "token_budget": (_budget(1), _budget_sql(1)),
     "token_budget_page2": (_budget(2), _budget_sql(2)),
+    "service_page": (_service_page(1), _service_page_sql(1)),
+    "service_page2": (_service_page(2), _service_page_sql(2)),
     "stream_debounce_batch": (
         _debounced,
         f"WITH e AS ({_EVENTS}), b AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOURS THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)), c AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM b), d AS (SELECT *, row_number() OVER (PARTITION BY path, burst ORDER BY ts DESC, event_id DESC) AS r FROM c) SELECT path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS \"first\", strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS \"last\", count(*) AS events, max(op) FILTER (r = 1) AS op FROM d GROUP BY path, burst",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..index import Index
+from ..plans.frames import written
 from . import resolve
 from .parse import parsed
 
@@ -18,11 +19,16 @@ def symbol_id(*columns: str):
     return F.xxhash64(*columns)
 
 
+def symbols_of(rows: DataFrame) -> DataFrame:
+    """The symbols of parsed files; one row a place and name."""
+    sym = rows.select(F.col("path").alias("file"), "language", F.explode("symbols").alias("s")).select("file", "language", "s.*")
+    return sym.select(symbol_id("file", "line", "col", "name").alias("id"), "name", "kind", "file", "line", "col", "end_line", "scope", "signature", "language", "doc_comment").dropDuplicates(["file", "line", "col", "name"])
+
+
 def index(files: DataFrame) -> Index:
     """Index of ``files`` (path, content, language): extraction, resolution, confidence."""
-    rows = parsed(files).persist()
-    sym = rows.select(F.col("path").alias("file"), "language", F.explode("symbols").alias("s")).select("file", "language", "s.*")
-    symbols = sym.select(symbol_id("file", "line", "col", "name").alias("id"), "name", "kind", "file", "line", "col", "end_line", "scope", "signature", "language", "doc_comment").dropDuplicates(["file", "line", "col", "name"])
+    rows = written(parsed(files), "parsed")  # a file is parsed once, whatever is lost later
+    symbols = symbols_of(rows)
     imports = rows.select(F.col("path").alias("source_file"), F.explode("imports").alias("import_path")).distinct()
     refs = rows.select(F.col("path").alias("file"), F.explode("refs").alias("r")).select("file", "r.*")
     refs = resolve.confidence(resolve.targets(resolve.callers(refs, symbols), symbols), symbols, imports)
@@ -109,11 +115,27 @@ def cut_bytes(header, code, most: int):
     return cut(header, code)
 
 
-def embedded(chunk: DataFrame, embed, size: int = 50) -> DataFrame:
+def reembedded(ix: Index, files: DataFrame, changed: DataFrame, embed, healthy=lambda: True) -> DataFrame:
+    """Vectors after some files changed (``changed``: path). Where the model server is down, those of the files' symbols
+    are marked stale; else they go, and the files' symbols are embedded anew, one that fails left out."""
+    if not healthy():
+        return marked_stale(ix.embeddings, changed)
+    paths = changed.select(F.col("path").alias("file")).distinct()
+    kept = ix.embeddings.join(paths, "file", "left_anti").select(*ix.embeddings.columns)
+    own = chunks(ix.symbols.join(paths, "file", "left_semi"), ix.imports, files)
+    return stored(kept, embedded(own, embed, partial=True))
+
+
+def embedded(chunk: DataFrame, embed, size: int = 50, partial: bool = False) -> DataFrame:
     """(symbol_id, file, vector) by ``embed`` (texts -> vectors), ``size`` texts at a time.
 
-    A batch that fails is tried text by text; a text that fails alone is left out. A batch that
-    answers with another number of vectors ends the job."""
+    A batch that is too long for the model (``OverflowError``, or an error that speaks of a context length or of
+    too many tokens; any error where ``partial``) is tried text by text; a text that fails alone is left out. A
+    batch that answers with another number of vectors ends the job, unless ``partial``."""
+
+    def passed(error: Exception) -> bool:
+        said = str(error).lower()
+        return partial or isinstance(error, OverflowError) or "context length" in said or "too many tokens" in said
 
     def run(batches):
         for pdf in batches:
@@ -123,12 +145,16 @@ def embedded(chunk: DataFrame, embed, size: int = 50) -> DataFrame:
                     vectors = embed(list(part["chunk"]))
                     if len(vectors) != len(part):
                         raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
-                except OverflowError:
+                except Exception as error:  # noqa: BLE001
+                    if not passed(error):
+                        raise
                     vectors = []
                     for t in part["chunk"]:
                         try:
                             vectors.append(embed([t])[0])
-                        except OverflowError:
+                        except Exception as alone:  # noqa: BLE001
+                            if not passed(alone):
+                                raise
                             vectors.append(None)
                 ok = [v is not None for v in vectors]
                 yield pd.DataFrame({"symbol_id": part["symbol_id"][ok], "file": part["file"][ok], "vector": [list(map(float, v)) for v in vectors if v is not None]})

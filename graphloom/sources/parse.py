@@ -1,4 +1,4 @@
-"""Parsing of source files: Python by its own grammar, other languages by their defining and calling forms.
+"""Parsing of source files: Python by its own grammar, other languages (and Python files with an error) by their defining and calling forms.
 
 One row a file goes in and one comes out, with arrays of symbols, references, imports and
 inheritance; Arrow batches, no state between files.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -114,14 +115,18 @@ _FORMS = {
 }
 _FORMS["typescript"] = [*_FORMS["javascript"], (r"\binterface\s+(\w+)", "interface"), (r"\benum\s+(\w+)", "enum"), (r"^\s*(?:export\s+)?type\s+(\w+)[^=]*=", "type_alias")]
 _FORMS["cpp"] = [*_FORMS["c"], (r"\bclass\s+(\w+)[^;]*\{", "class"), (r"\bnamespace\s+(\w+)", "module")]
+#: For files that the grammar refuses.
+_FORMS["python"] = [(r"^\s*(?:async\s+)?def\s+(\w+)", "function"), (r"^\s*class\s+(\w+)", "class"), (r"^([A-Z][A-Z0-9_]*)\s*=", "constant")]
 _FORMS["csharp"] = [*_FORMS["java"], (r"\bstruct\s+(\w+)", "struct"), (r"\bnamespace\s+([\w.]+)", "module"), (r"\bdelegate\s+\w+\s+(\w+)", "type_alias")]
 
 _IMPORT = {
+    "python": r"^\s*(?:from\s+([\w.]+)\s+import\b|import\s+([\w.]+))",
     "rust": r"^\s*(?:pub\s+)?use\s+([^;]+);", "javascript": r"""(?:import\b[^'"]*|require\s*\(\s*)['"]([^'"]+)""", "typescript": r"""(?:import\b[^'"]*|require\s*\(\s*)['"]([^'"]+)""",
     "go": r"""^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"\s*$""", "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", "c": r"""^\s*#include\s*[<"]([^>"]+)""", "cpp": r"""^\s*#include\s*[<"]([^>"]+)""",
     "ruby": r"""^\s*require(?:_relative)?\s*\(?['"]([^'"]+)""", "php": r"""^\s*(?:use\s+([\w\\]+)|(?:include|require)(?:_once)?\s*\(?['"]([^'"]+))""", "csharp": r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;",
 }
 _INHERIT = {
+    "python": [(r"^\s*class\s+(?P<child>\w+)\s*\((?P<parents>[^)]*)\)", "extends")],
     "rust": [(r"^\s*impl\b(?:\s*<[^>]*>)?\s+(?P<parents>[\w:]+)(?:<[^>]*>)?\s+for\s+(?P<child>\w+)", "implements")],
     "javascript": [(r"\bclass\s+(?P<child>\w+)\s+extends\s+(?P<parents>[\w.]+)", "extends")],
     "typescript": [(r"\bclass\s+(?P<child>\w+)[^{]*?\bextends\s+(?P<parents>[\w.]+)", "extends"), (r"\bclass\s+(?P<child>\w+)[^{]*?\bimplements\s+(?P<parents>[\w., ]+)", "implements"), (r"\binterface\s+(?P<child>\w+)\s+extends\s+(?P<parents>[\w., ]+)", "extends")],
@@ -135,41 +140,93 @@ _CALL = re.compile(r"(?:([\w.]+)\s*\.\s*)?\b(\w+)!?\s*\(")
 _NOT_CALLS = frozenset("if for while switch match return catch fn def func function class struct sizeof typeof new in and or not elsif unless loop with assert".split())
 
 
-def _braces(lines: list[str], line: int) -> int:
-    """Last line of the block that opens at or just after a line."""
-    depth, opened = 0, False
-    for k in range(line - 1, min(len(lines), line + 2000)):
-        depth += lines[k].count("{") - lines[k].count("}")
-        opened |= "{" in lines[k]
-        if opened and depth <= 0:
-            return k + 1
-        if not opened and (";" in lines[k] or k > line):
-            return k + 1 if ";" in lines[k] else line
-    return line
-
-
-def _ruby_end(lines: list[str], line: int) -> int:
-    indent = len(lines[line - 1]) - len(lines[line - 1].lstrip())
-    return next((k + 1 for k in range(line, len(lines)) if lines[k].strip() == "end" and len(lines[k]) - len(lines[k].lstrip()) <= indent), line)
+class _Blocks:
+    """Ends of all blocks of a file, found in one pass."""
+
+    def __init__(self, lines: list[str], language: str):
+        self.lines, self.language = lines, language
+        self.indent = [len(x) - len(x.lstrip()) for x in lines]
+        if language == "ruby":
+            self.ends: dict[int, list[int]] = {}
+            for n, x in enumerate(lines, 1):
+                if x.strip() == "end":
+                    self.ends.setdefault(self.indent[n - 1], []).append(n)
+        elif language == "python":
+            self.close, open_, last = {}, [], 0
+            for n, x in enumerate(lines, 1):
+                if not x.strip():
+                    continue
+                while open_ and self.indent[n - 1] <= self.indent[open_[-1] - 1]:
+                    self.close[open_.pop()] = last
+                open_.append(n)
+                last = n
+            self.close |= dict.fromkeys(open_, last)
+        else:
+            self.marks = [(n, m.start(), m[0]) for n, x in enumerate(lines, 1) for m in re.finditer(r"[{}();]", x)]
+            self.close, open_ = {}, []
+            for k, (n, _, c) in enumerate(self.marks):
+                if c == "{":
+                    open_.append(k)
+                elif c == "}" and open_:
+                    self.close[open_.pop()] = n
+            self.close |= dict.fromkeys(open_, len(lines))  # a block that nothing closes goes on to the end
+
+    def end(self, line: int, col: int) -> int:
+        """Last line of the block of a definition at a place; its own line where it has none."""
+        if self.language == "ruby":
+            after = (self.ends[i][k] for i in self.ends if i <= self.indent[line - 1] and (k := bisect_right(self.ends[i], line)) < len(self.ends[i]))
+            return min(after, default=line)
+        if self.language == "python":
+            return self.close.get(line, line)
+        depth, upto = 0, line + 2  # a block opens on one of the next lines, or behind parentheses that are still open
+        for k in range(bisect_left(self.marks, (line, col)), len(self.marks)):
+            n, _, c = self.marks[k]
+            if n > upto and depth <= 0:
+                break
+            depth += (c == "(") - (c == ")")
+            if depth <= 0:
+                upto = max(upto, n + 2) if c == ")" else upto
+                if c == "{":
+                    return self.close[k]
+                if c in ";}":
+                    return n if c == ";" else line
+        return line
+
+
+def _innermost(spans: list[tuple], kinds: tuple[str, ...]):
+    """A function of ascending lines: name of the last span of some kinds that is open there."""
+    left, open_ = sorted((s for s in spans if s[3] in kinds), key=lambda s: s[1], reverse=True), []
+
+    def at(line: int) -> str | None:
+        while left and left[-1][1] <= line:
+            open_.append(left.pop())
+        while open_ and open_[-1][2] < line:
+            open_.pop()
+        return next((s[0] for s in reversed(open_) if s[2] >= line), None)
+
+    return at
 
 
 def _by_forms(lines: list[str], language: str) -> tuple[list, list, list, list]:
-    symbols, refs, imports, edges, spans = [], [], [], [], []
+    symbols, refs, imports, edges, spans, seen = [], [], [], [], [], set()
     forms = [(re.compile(p), kind) for p, kind in _FORMS.get(language, ())]
     owners = ("class", "struct", "enum", "trait", "interface") + (("module",) if language in ("rust", "ruby") else ())
-    comment = []
+    blocks, open_, comment = _Blocks(lines, language), [], []
     for n, line in enumerate(lines, 1):
+        while open_ and open_[-1][2] < n:
+            open_.pop()
         if re.match(r"\s*(///|/\*\*|\* |#[^!\[i]|//)", line):
             comment.append(re.sub(r"^\s*(///?|/\*\*|\*|#)\s?|\*/\s*$", "", line))
             continue
         for form, kind in forms:
-            if (m := form.search(line)) and not any(s[0] == m[1] and s[2] == n for s in symbols):
-                end = _ruby_end(lines, n) if language == "ruby" else _braces(lines, n)
-                inside = [s for s in spans if s[1] <= n <= s[2] and s[3] in owners]
-                scope = inside[-1][0] if inside else None
+            if (m := form.search(line)) and (m[1], n) not in seen:
+                seen.add((m[1], n))
+                end = blocks.end(n, m.start(1))
+                scope = next((s[0] for s in reversed(open_) if s[3] in owners and s[2] >= n), None)
                 kind = "method" if kind == "function" and scope else kind
-                symbols.append((m[1], kind, n, m.start(1), end, scope, signature(lines, n), doc("\n".join(comment))))
+                symbols.append((m[1], kind, n, m.start(1), end, scope, signature(lines, n).rstrip(":"), doc("\n".join(comment))))
                 spans.append((m[1], n, end, kind))
+                open_.append(spans[-1])
         if line.strip() and not line.lstrip().startswith(("#[", "@")):
             comment = []
         if (p := _IMPORT.get(language)) and (m := re.search(p, line)):
@@ -178,17 +235,15 @@ def _by_forms(lines: list[str], language: str) -> tuple[list, list, list, list]:
         for p, relation in _INHERIT.get(language, ()):
             if m := re.search(p, line):
                 parents = [re.sub(r"\b(public|private|protected|virtual)\b", "", x).strip() for x in m["parents"].split(",")]
-                for k, parent in enumerate(x for x in parents if x):
+                for k, parent in enumerate(x for x in parents if x and "=" not in x):
                     how = relation if relation != "base" else "extends" if k == 0 or m["kind"] == "interface" else "implements"
                     edges.append((m["child"], parent, how))
-    callers = [s for s in spans if s[3] in ("function", "method")]
+    caller = _innermost(spans, ("function", "method"))
     for n, line in enumerate(lines, 1):
+        inside = caller(n)
         for m in _CALL.finditer(line):
-            if m[2] in _NOT_CALLS or any(s[0] == m[2] and s[1] == n for s in spans):
-                continue
-            inside = [s for s in callers if s[1] <= n <= s[2]]
-            name = f"{m[1]}.{m[2]}" if m[1] and language in ("java", "ruby") else m[2]
-            refs.append((name, "call", n, m.start(2), line.strip(), inside[-1][0] if inside else None))
+            if m[2] not in _NOT_CALLS and (m[2], n) not in seen:
+                refs.append((f"{m[1]}.{m[2]}" if m[1] and language in ("java", "ruby") else m[2], "call", n, m.start(2), line.strip(), inside))
     return symbols, refs, imports, edges
 
 
@@ -201,7 +256,7 @@ def parse(text: str, language: str) -> tuple[list, list, list, list]:
             visitor.visit(ast.parse(text))
             return visitor.symbols, visitor.refs, visitor.imports, visitor.edges
         except (SyntaxError, ValueError, RecursionError):
-            return [], [], [], []
+            pass  # a file with an error still has definitions and calls
     return _by_forms(lines, language)
 
 
