@@ -318,7 +318,7 @@ def resolve(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text:
     of its near-duplicate class), ``class_id`` (least doc_id of it) and ``n_links`` (documents it is linked to)."""
     spark = docs.sparkSession
     wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stash(wanted.mapInArrow(_sign(join), SIGNED).withColumn("uid", F.monotonically_increasing_id()), "near-signatures")
+    signed = stash(wanted.mapInArrow(T.tidy(_sign(join)), SIGNED).withColumn("uid", F.monotonically_increasing_id()), "near-signatures")
     worded = signed.filter("n_words > 0")
     classes = stash(worded.groupBy("w1", "w2").agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("n_words").alias("words")), "near-classes")
     reps = worded.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), "sig")
@@ -357,7 +357,7 @@ def resolve(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text:
     if _repeats(signed):  # rows that repeat an id and its words would meet themselves
         texts = texts.mapInArrow(_verify_words(join), texts.schema).dropDuplicates(["rep"])
     met = partnered.join(texts.select("rep", "text"), "rep").repartition(partitions(spark, partnered.count(), join.group_rows), "gid").sortWithinPartitions("gid")
-    met = stash(met.mapInArrow(_compare(join), "rep long, links long, root long, alone boolean"), "near-links")
+    met = stash(met.mapInArrow(T.tidy(_compare(join)), "rep long, links long, root long, alone boolean"), "near-links")
     discard(partnered)
 
     linked = met.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -381,7 +381,7 @@ def keep_one(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text:
     """``docs`` with one document of each class: that of the least id."""
     found = resolve(docs, join, doc_id, text)
     keepers = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "w1", "w2")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.w1").alias("__w1"), F.col("k.w2").alias("__w2"), F.col("root").alias("__root"))
-    keyed = docs.mapInArrow(_with_words(text), docs.select("*", F.lit(0).cast("long").alias("__v1"), F.lit(0).cast("long").alias("__v2")).schema)
+    keyed = docs.mapInArrow(T.tidy(_with_words(text)), docs.select("*", F.lit(0).cast("long").alias("__v1"), F.lit(0).cast("long").alias("__v2")).schema)
     joined = keyed.join(keepers, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__v1") == F.col("__w1")) & (F.col("__v2") == F.col("__w2")))
     return (joined.dropDuplicates(["__root"]) if _repeats(found) else joined).select(*docs.columns)
 

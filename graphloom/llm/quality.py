@@ -131,7 +131,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """A row for each document: ``doc_id``, ``text_hash``, its counts, ``n_line_words`` (in frequent
     lines), ``cut`` (numbers of those lines), ``base_failed`` and ``kept``."""
     wanted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    found = stash(wanted.mapInArrow(_features(rules), FEATURES).withColumn("uid", F.monotonically_increasing_id()), "quality")
+    found = stash(wanted.mapInArrow(T.tidy(_features(rules)), FEATURES).withColumn("uid", F.monotonically_increasing_id()), "quality")
     lines = found.select("uid", "doc_id", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.explode("lines").alias("line")).select("uid", "doc_id", "host", "no_host", F.col("line.hash").alias("line_hash"), "line.at", "line.words")
     hosts = found.groupBy(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host")).agg(F.count("*").alias("host_docs"))
     frequent = (

@@ -261,7 +261,7 @@ def spans(docs: DataFrame, p: Windows = Windows(), doc_id: str = "doc_id", text:
         place = F.struct("doc", "start")
         return stash(places.groupBy("anchor", "seg").agg(F.min(place).alias("first"), F.max(place).alias("later"), F.max("n").alias("n")), f"{name}-segments")
 
-    places = recurring(keyed.mapInArrow(_emit(p), EMITTED), "substring")
+    places = recurring(keyed.mapInArrow(T.tidy(_emit(p)), EMITTED), "substring")
     segs = different(places, "substring")
     tables = [segs]
     hot = stash(segs.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > p.hot).select("anchor"), "substring-hot")
@@ -277,7 +277,7 @@ def spans(docs: DataFrame, p: Windows = Windows(), doc_id: str = "doc_id", text:
     wanted = segs.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("anchor", "seg", F.col("first.start").alias("start"), "n", F.col("later.doc").alias("d1"), F.col("later.start").alias("s1"))).alias("wanted"))
     shipped = keyed.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_ship, SHIPPED)
     shards = partitions(docs.sparkSession, segs.count(), p.shard_segments)
-    found = stash(shipped.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_search(p), FOUND), "substring-found")
+    found = stash(shipped.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(T.tidy(_search(p)), FOUND), "substring-found")
     discard(*tables)
     whose = places.join(found, ["anchor", "seg"]).filter(((F.col("doc") != F.col("d0")) | (F.col("start") != F.col("s0"))) == F.col("later"))
     return whose.select("doc", (F.col("start") + F.col("a")).cast("int").alias("s"), (F.col("start") + F.col("b")).cast("int").alias("e"))

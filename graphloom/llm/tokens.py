@@ -197,7 +197,7 @@ def _write(folder: str, layout: Layout):
                 encode = encoder(layout.tokenizer, layout.cache)
                 packer = _Packer(f"{folder}/{name}.arrow", layout, encode.dtype, attempt)
                 index = _File(f"{folder}/{name}.index.arrow", _INDEX, attempt)
-            for lo, hi in T.slices(batch["text"], 8 << 20):
+            for lo, hi in T.slices(batch["text"], 2 << 20):
                 ids, sizes = encode(batch["text"].slice(lo, hi - lo), layout.end_id)
                 packer.add(ids.tobytes())
                 starts = at + T.split_offsets(sizes)
@@ -215,7 +215,7 @@ def write(docs: DataFrame, folder: str, layout: Layout, doc_id: str = "doc_id",
     """Write all documents under ``folder``; returns its files in order: ``part``, ``file``, ``ids``."""
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = ordered.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return stash(parts.mapInArrow(_write(folder, layout), "part long, file string, ids long"), "token-files")
+    return stash(parts.mapInArrow(T.tidy(_write(folder, layout)), "part long, file string, ids long"), "token-files")
 
 
 def open_rows(file: str):

@@ -76,3 +76,31 @@ def test_pipeline_stage_by_stage(spark, documents):
     assert fourth.columns == columns and fourth.count() > 0
     fifth = p.token_output(spark, fourth, SF)
     assert fifth.count() == fourth.count()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, empty and very long texts, extra columns with clashing names; then no rows at all."""
+    import random
+
+    import corpus_pipeline as p
+
+    r = random.Random(3)
+    prose = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    text = prose(60)
+    rows = [(k, prose(40), "en", f"s{k % 3}", 1, "a", 2) for k in range(40)] + [(100, text, None, None, None, None, None)] * 3
+    rows += [(None, prose(50), None, "s0", None, None, 7), (200, None, "en", "s0", 0, "b", 1), (201, "", "en", None, 0, "b", 1), (202, prose(40_000), "fr", "s1", 9, "b", 1), (203, text + " end", "en", "s2", 5, None, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int"
+    items = [(1, rows[5][1]), (None, "nothing of this kind at all in any of the documents here"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for given, some in ((rows, True), ([], False)):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in p.STAGES:
+            before, docs = docs, stage(spark, docs, str(tmp_path)).cache()
+            assert name == "token_output" or docs.columns == before.columns
+            n = docs.count()
+            if name == "near_duplicates" and some:
+                ids = [x.doc_id for x in docs.collect()]
+                assert ids.count(100) == 1 and 203 not in ids and None in ids and 202 in ids and len(ids) == len(set(ids))
+            if name == "decontamination" and some:
+                assert 5 not in [x.doc_id for x in docs.collect()]
+        assert (n > 0) == some
