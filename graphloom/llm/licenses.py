@@ -7,7 +7,8 @@ lines, so both a file that *is* a licence and a file that carries a notice line
 unit must equal a known text as a whole, never contain it.
 
 Edge cases: null or blank texts have no units and no licence; two texts with one canonical form
-match alike; repeated rows each get a row; an empty table gives an empty table.
+match alike; repeated rows each get a row; very long texts are canonical as a whole; an empty table gives
+an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -44,6 +45,14 @@ KNOWN = (
 )
 
 
+#: Identifiers whose tag line names a licence.
+TAGS = (
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Artistic-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CDDL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later",
+    "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT-0", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "Unlicense", "WTFPL", "Zlib",
+)
+KNOWN += tuple((tag, f"SPDX-License-Identifier: {tag}") for tag in TAGS)
+
+
 def canonical(text):
     """Canonical form with line ends kept: see the module's text."""
     out = F.regexp_replace(F.regexp_replace(F.lower(text), F.lit(COPYRIGHT), F.lit("")), F.lit(r"[^\p{L}\p{N}\n]+"), F.lit(" "))
@@ -56,9 +65,10 @@ def one_line(text):
     return F.trim(F.regexp_replace(text, F.lit(r"[ \n]+"), F.lit(" ")))
 
 
-def registry(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license) of known texts, each digest once."""
+def registry(spark: SparkSession, known=KNOWN, texts: DataFrame | None = None) -> DataFrame:
+    """(digest, license) of known texts, each digest once; ``texts`` (license, text) adds whole licences, however many, such as a folder's files."""
     table = spark.createDataFrame([*known], "license string, text string")
+    table = table if texts is None else table.unionByName(texts.select("license", "text").filter("text IS NOT NULL"))
     return table.groupBy(F.sha2(one_line(canonical(F.col("text"))), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
