@@ -96,6 +96,28 @@ def test_walk(spark, tmp_path):
     assert {r.path for r in files.walk(spark, str(tmp_path), ["src/"]).collect()} == {".github/d.py"}
 
 
+def test_walk_in_tasks(spark, tmp_path):
+    """More directories than the driver goes through, odd names, nested ignore files that take back, links, no file at all."""
+    tree = {f"d{k}/e{k % 3}/f.py": f"x = {k}" for k in range(60)} | {"a b/c#%20.py": "y", "n/.gitignore": "*.py\n!keep.py\n# n/\n/g/\n", "n/a.py": "", "n/keep.py": "", "n/g/keep.py": "", "n/m/.ignore": "keep.py\n", "n/m/keep.py": "", "node_modules/x/y.py": ""}
+    for p, c in tree.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(c)
+    (tmp_path / "d0" / "loop").symlink_to(tmp_path)
+    found = {r.path: r.content for r in files.walk(spark, str(tmp_path)).collect()}
+    assert found == {p: c for p, c in tree.items() if p.startswith(("d", "a")) or p == "n/keep.py"}
+    assert "node_modules/x/y.py" not in {r.path for r in files.listed(spark, str(tmp_path)).collect()}
+    (tmp_path / "none").mkdir()
+    assert files.walk(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_contents_are_passed_on_by_bytes(tmp_path):
+    for k in range(5):
+        (tmp_path / f"{k}.py").write_text("x" * 60)
+    names = [f"{k}.py" for k in range(5)]
+    got = list(files._contents(100)(iter([files._named(f"file://{tmp_path}", names)])))
+    assert [b.num_rows for b in got] == [2, 2, 1] and [n for b in got for n in b["path"].to_pylist()] == names
+
+
 def test_git_hunks(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
     run("init", "-q")
