@@ -21,8 +21,9 @@ text as a whole.
 
 Edge cases: a text without words scores the model's bias alone; null labels and labelled ids
 without a document are not trained on; without any label all scores are 0.5; repeated rows
-each get a row, equal texts equal scores; very long texts are scored whole; columns other than
-those named are not looked at.
+each get a row, equal texts equal scores; very long texts are scored whole; a row with a null id is
+scored and never trained on, and ``held_out`` of the query is null there; an empty table gives an
+empty table; columns other than those named are not looked at.
 """
 
 from __future__ import annotations
