@@ -34,10 +34,11 @@ def outside_nested(files: DataFrame, markers: DataFrame) -> DataFrame:
 
 def _inside(uri: str, at: str) -> tuple[list[str], list[str]]:
     """Directories to walk and other names directly in directory ``at``, relative to ``uri``. What is never indexed is not
-    entered, nor are linked directories, which can lead back; a ``.git`` directory is a name."""
-    fs, base = pafs.FileSystem.from_uri(uri)
+    entered, nor are linked directories, which can lead back; a ``.git`` directory is a name. A directory that has gone
+    since is empty, but a root that is not there is an error."""
+    fs, base = pafs.FileSystem.from_uri(f"{uri}/")
     dirs, names = [], []
-    for f in fs.get_file_info(pafs.FileSelector(f"{base.rstrip('/')}/{at}".rstrip("/") or "/", allow_not_found=True)):
+    for f in fs.get_file_info(pafs.FileSelector(f"{base.rstrip('/')}/{at}".rstrip("/") or "/", allow_not_found=bool(at))):
         name = f"{at}/{f.base_name}".lstrip("/")
         if f.type != pafs.FileType.Directory:
             names.append(name)

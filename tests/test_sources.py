@@ -108,6 +108,9 @@ def test_walk_in_tasks(spark, tmp_path):
     assert "node_modules/x/y.py" not in {r.path for r in files.listed(spark, str(tmp_path)).collect()}
     (tmp_path / "none").mkdir()
     assert files.walk(spark, str(tmp_path / "none")).isEmpty()
+    assert files._inside(f"file://{tmp_path}", "gone") == ([], []) and "/etc" not in files._inside("file:", "")[0] and "etc" in files._inside("file:", "")[0]
+    with pytest.raises(FileNotFoundError):
+        files.walk(spark, str(tmp_path / "missing"))
 
 
 def test_contents_are_passed_on_by_bytes(tmp_path):
