@@ -116,3 +116,17 @@ def test_random_graph_against_plain_search(spark):
         seen |= new
     got = dict(rows(graph.callers(ix, "s0", 6), "caller_name", "depth"))
     assert got == {f"s{a}": d for a, d in level.items()}
+
+
+def test_blast_of_many_deals_out_what_it_finds_once(spark):
+    """Reached names' files are dealt by ranges of sources, which is their order as well; counts carry no more than places."""
+    ix = chain(spark)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    many = graph.blast(ix, ix.symbols.select("name"), depth=2)
+    dealt = [x for x in plan(many).splitlines() if "Exchange" in x and "source" in x and "frontier" not in x]
+    assert sum("rangepartitioning(source" in x for x in dealt) == 1 and not any("depth" in x for x in dealt)
+    assert rows(many, "source", "name", "depth") == [("b", "a", 1), ("c", "b", 1), ("c", "a", 2)]
+    counted = graph.blast_risk(many).select("source", "total")
+    at = next(x for x in plan(counted).splitlines() if "rangepartitioning(source" in x)
+    assert plan(counted).count("less") == 0, at
+    assert dict(rows(counted, "source", "total")) == {"b": 1, "c": 2}
