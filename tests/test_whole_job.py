@@ -97,3 +97,19 @@ def test_hunks_are_all_line_items(spark):
     merged = rows(catalog.queries()["change_merge"](spark, SF), "file", "name")
     named = catalog.P.symbols(spark, SF).select("id", "file", "name").toPandas()
     assert {(f, n) for i, f, n in named.itertuples(index=False) if i in want} <= set(merged)
+
+
+@on_tables
+def test_tables_that_grow_are_not_sent_through_the_driver(spark):
+    """Parts weigh far more than their file; a count of references needs neither callers nor their window; a context computes references once."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 2 * os.path.getsize(f"{SF}/part.parquet"))
+    try:
+        ix = catalog.P.index(spark, SF)
+        assert "BroadcastHashJoin" not in plan(ix.refs.select("name", "file", "caller_id"))
+        assert "Window" not in plan(ix.refs.groupBy("name").count())
+        ix = ix.with_(imports=spark.createDataFrame([], "source_file string, import_path string"))
+        assert "lag(" not in plan(catalog.context.symbol_context(ix, catalog.seed(ix)).select("id", "callers", "type_users", "callees", "flows"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
