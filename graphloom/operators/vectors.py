@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -83,20 +84,46 @@ def without_structural(semantic: DataFrame, structural: DataFrame) -> DataFrame:
     return semantic.join(structural.select("file", "line").distinct(), ["file", "line"], "left_anti")
 
 
+#: Vectors times changes that a task's products hold at a time: 8 MB of scores, and a few times that while they are ranked.
+PRODUCTS = 1 << 20
+
+
+def _merged(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column the k rows of highest score, then least id, exactly: ties at the k-th score go by id."""
+    order = np.argsort(ids, axis=0, kind="stable")
+    score, ids = np.take_along_axis(score, order, 0), np.take_along_axis(ids, order, 0)
+    best = np.argsort(-score, axis=0, kind="stable")[:k]
+    return np.take_along_axis(score, best, 0), np.take_along_axis(ids, best, 0)
+
+
 def _nearest(shared, k: int):
-    """Of each batch, the vectors whose product with a change is among its k largest, ties included."""
+    """Of a task's vectors, the k nearest to each change; ties by id. What a task holds follows neither its rows nor ties."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        wanted = np.load(BytesIO(shared.value))  # a worker keeps the bytes only
+        n = len(wanted)
+        best, who = np.full((k, n), -np.inf), np.full((k, n), np.iinfo(np.int64).max)
+        rows = max(1, PRODUCTS // n)
         for batch in batches:
             batch = batch.filter(batch["vector"].is_valid())
-            n = batch.num_rows
-            if not n:
-                continue
-            flat = batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(flat.reshape(n, -1) @ wanted.T, 12)  # products of equal vectors are equal wherever they stand
-            row, change = np.nonzero(scores >= np.partition(scores, max(0, n - k), axis=0)[max(0, n - k)])
-            yield pa.RecordBatch.from_arrays([pa.array(change.astype(np.int32)), batch["symbol_id"].cast(pa.int64()).take(pa.array(row)), pa.array(scores[row, change])], ["change", "symbol_id", "score"])
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = part["symbol_id"].cast(pa.int64()).to_numpy(zero_copy_only=False)
+                by_id = np.argsort(ids, kind="stable")
+                ids = ids[by_id]
+                flat = part["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                scores = np.round(flat.reshape(len(ids), -1)[by_id] @ wanted.T, 12)  # products of equal vectors are equal wherever they stand
+                least = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(n, -np.inf)
+                above = scores > least
+                equal = scores == least  # the first of them by id fill what is left of k
+                equal &= np.cumsum(equal, axis=0, dtype=np.int32) <= k - above.sum(axis=0)
+                change, row = np.nonzero((above | equal).T)
+                nth = np.arange(len(change)) - np.searchsorted(change, change)
+                found, own = np.full((k, n), -np.inf), np.full((k, n), np.iinfo(np.int64).max)
+                found[nth, change], own[nth, change] = scores[row, change], ids[row]
+                best, who = _merged(np.concatenate([best, found]), np.concatenate([who, own]), k)
+        nth, change = np.nonzero(who != np.iinfo(np.int64).max)
+        yield pa.RecordBatch.from_arrays([pa.array(change.astype(np.int32)), pa.array(who[nth, change]), pa.array(best[nth, change])], ["change", "symbol_id", "score"])
 
     return run
 
@@ -104,13 +131,14 @@ def _nearest(shared, k: int):
 def impact(changed: DataFrame, ix: Index, k: int = 20, block: int = 1024) -> DataFrame:
     """Symbols near changed ones: ``changed`` has (name, vector), and kind, file and scope where names alone do not tell
     changes apart. Each change's k nearest other symbols, then the best change for each symbol. Changes go to every
-    task ``block`` at a time, which is what bounds the broadcast; a task sends on k rows a batch and change."""
+    task ``block`` at a time, which is what bounds the broadcast; a task sends on k rows a change."""
     itself = [c for c in ("name", "kind", "file") if c in changed.columns]
     spark, session, number = ix.symbols.sparkSession.sparkContext, ix.symbols.sparkSession, 0
     near, held = None, []
 
     def scored(rows: list) -> DataFrame:
-        shared = spark.broadcast(np.array([r["vector"] for r in rows], np.float64))
+        np.save(packed := BytesIO(), np.array([r["vector"] for r in rows], np.float64))
+        shared = spark.broadcast(packed.getvalue())
         names = session.createDataFrame([(n, number, *[r[c] for c in itself]) for n, r in enumerate(rows)], "change int, part int, " + ", ".join(f"own_{c} string" for c in itself))
         return ix.embeddings.select("symbol_id", "vector").mapInArrow(_nearest(shared, k), "change int, symbol_id long, score double").join(names, "change")
 

@@ -1,3 +1,6 @@
+import io
+from types import SimpleNamespace
+
 import pytest
 from helpers import make, rows
 from pyspark.sql import functions as F
@@ -179,3 +182,31 @@ def test_cut_body(spark):
     assert len(out) == 31 and out[-1] == "... (70 more lines)"
     assert [budget.body_limit(r, a) for r, a in ((0, 10), (500, 10), (10**6, 10))] == [20, 50, 80]
     assert X.confidence(0.3) == 0.3
+
+
+def test_nearest_holds_and_sends_k_a_change_whatever_the_ties():
+    """A task with thousands of equal vectors in several batches gives k rows a change, those of least id."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    changes = r.normal(size=(512, 8))
+    packed = io.BytesIO()
+    np.save(packed, changes)
+    ids = r.permutation(20_000)
+    given = np.tile(np.float32([1, 0, 0, 0, 0, 0, 0, 0]), (20_000, 1))
+    given[ids >= 15_000] = r.normal(size=(5_000, 8)).astype(np.float32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 10_000]), pa.array(list(given[a : a + 10_000]))], ["symbol_id", "vector"]) for a in (0, 10_000)]
+    tracemalloc.start()
+    got = list(vectors._nearest(SimpleNamespace(value=packed.getvalue()), 20)(iter(batches)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == 20 * len(changes) and most < 60e6
+    found = {}
+    for change, i in zip(*(c for b in got for c in (b["change"].to_pylist(), b["symbol_id"].to_pylist()))):
+        found.setdefault(change, set()).add(i)
+    scores = np.round(given.astype(float) @ changes.T, 12)
+    for c in range(0, len(changes), 16):
+        assert found[c] == set(ids[np.lexsort((ids, -scores[:, c]))[:20]].tolist())
