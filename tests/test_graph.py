@@ -130,3 +130,16 @@ def test_blast_of_many_deals_out_what_it_finds_once(spark):
     at = next(x for x in plan(counted).splitlines() if "rangepartitioning(source" in x)
     assert plan(counted).count("less") == 0, at
     assert dict(rows(counted, "source", "total")) == {"b": 1, "c": 2}
+
+
+def test_sizes_are_the_rows_of_a_blast(spark, monkeypatch):
+    """On a random graph with tests, types and over 64 sources, held a few edges at a time."""
+    r = random.Random(5)
+    symbols = [(k, f"s{r.randrange(90)}", "class", f"f{r.randrange(9)}{r.choice(('', '', '_test'))}.rs", k) for k in range(300)]
+    refs = [(f"s{r.randrange(90)}", "x.rs", 1, r.randrange(300), r.choice((0.5, 0.95))) for _ in range(500)]
+    ix = make(spark, symbols, refs=refs, edges=[(r.randrange(300), r.randrange(300), "extends") for _ in range(60)])
+    names = spark.createDataFrame([(f"s{k}",) for k in range(80)] + [("absent",)], "name string")
+    monkeypatch.setattr(graph, "HELD", 40)
+    for direction, depth, tests, least in (("upstream", 1, False, None), ("upstream", 2, False, None), ("upstream", 3, True, 0.9), ("upstream", 6, False, None), ("downstream", 2, False, None)):
+        want = dict(rows(graph.blast_risk(graph.blast(ix, names, direction, depth, tests, least)), "source", "total"))
+        assert want and dict(rows(graph.blast_sizes(ix, names, direction, depth, tests, least), "source", "total")) == want
