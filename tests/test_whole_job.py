@@ -113,3 +113,22 @@ def test_tables_that_grow_are_not_sent_through_the_driver(spark):
         assert "lag(" not in plan(catalog.context.symbol_context(ix, catalog.seed(ix)).select("id", "callers", "type_users", "callees", "flows"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@on_tables
+def test_a_high_threshold_sends_no_table_that_grows(spark):
+    """Where the session's threshold is above all tables, references and callers still join symbols without the driver."""
+    tree = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        ix = catalog.P.index(spark, SF)
+        assert "BroadcastHashJoin" not in tree(ix.refs)
+        assert "Window" not in tree(ix.refs.groupBy("name").count())
+        callers = catalog.graph.callers(ix, catalog.seed(ix), 1)
+        callers.collect()
+        plans = tree(callers)
+        assert "SortMergeJoin" in plans and "[caller_id" in plans
+        assert not [x for x in plans.splitlines() if "BroadcastHashJoin" in x and "caller_id" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
